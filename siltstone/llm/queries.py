@@ -19,6 +19,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_ledger import apply_policy, ledger
+
+    return apply_policy(ledger(documents(spark, sf_dir)))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_ledger import ablations, ledger
+
+    return ablations(ledger(documents(spark, sf_dir)))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ogg_media import media_column, media_digest
 
@@ -37,5 +49,29 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_ogg_media, op6_sum_of_squares_packing, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op5_ogg_media, op6_sum_of_squares_packing, op8_token_counts)}
+
+_LEDGER = r"""
+w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, list_slice(words, i, i + 4) AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+      coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^\p{Lu}]', '', 'g'))::BIGINT AS n_upper,
+      len(regexp_extract_all(text, '!!'))::BIGINT AS n_shouts FROM w LEFT JOIN cover USING (doc_id)),
+led AS (SELECT *, ((n_words < 10)::BIGINT + (100 * n_repeat_words > 20 * n_words)::BIGINT * 2 + (10 * n_symbols > n_words)::BIGINT * 4
+      + (100 * n_dup_lines > 30 * n_lines)::BIGINT * 8 + (100 * n_upper > 40 * word_chars)::BIGINT * 16
+      + (10 * n_shouts > n_words)::BIGINT * 32 + (word_chars > 15 * n_words)::BIGINT * 64) AS fail_bits FROM m)"""
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_ledger": f"""WITH {_LEDGER}
+SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, 3::INTEGER AS policy_version,
+       (CASE WHEN bit_count(fail_bits) = 1 THEN fail_bits ELSE 0 END)::BIGINT AS decisive_bits FROM led""",
+    "quality_ablations": f"""WITH {_LEDGER},
+p(policy_version, mask) AS (VALUES (1, 3), (2, 7), (3, 127)),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('capitals', 16), ('shouts', 32), ('long_words', 64))
+SELECT policy_version, rule, count(fail_bits)::BIGINT AS n_docs, count(*) FILTER ((fail_bits & mask) = 0)::BIGINT AS n_kept,
+       count(*) FILTER ((fail_bits & bit) <> 0)::BIGINT AS n_failing, count(*) FILTER ((fail_bits & mask & ~bit) = 0)::BIGINT AS n_kept_without
+FROM p JOIN r ON (mask & bit) <> 0 LEFT JOIN led ON true GROUP BY ALL""",
+}
