@@ -49,7 +49,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op5_ogg_media, op6_sum_of_squares_packing, op8_token_counts)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op5_ogg_media, op6_sum_of_squares_packing, op8_token_counts, op10_suffix_array_dedup)}
 
 _LEDGER = r"""
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
