@@ -31,6 +31,12 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(ledger(documents(spark, sf_dir)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ogg_media import media_column, media_digest
 
@@ -55,7 +61,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op5_ogg_media, op6_sum_of_squares_packing, op8_token_counts, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op8_token_counts, op10_suffix_array_dedup)}
 
 _LEDGER = r"""
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
