@@ -31,6 +31,12 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablations(ledger(documents(spark, sf_dir)))
 
 
+def op3_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .piece_lattice import encode
+
+    return encode(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -49,6 +55,12 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import identifier_digest
+
+    return identifier_digest(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
@@ -61,7 +73,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op8_token_counts, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op3_n_best_pieces, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op7_contextual_pii, op8_token_counts, op10_suffix_array_dedup)}
 
 _LEDGER = r"""
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
