@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, scratch
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _compacted(spark: SparkSession, sf_dir: str):
+    from .shards import ShardTable
+
+    table = ShardTable(spark, scratch(spark, "sharded"))
+    table.append(documents(spark, sf_dir))
+    table.compact()
+    table.vacuum()
+    return table
+
+
+def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as the committed manifest's shards hold it."""
+    from pyspark.sql import functions as F
+
+    rows = _compacted(spark, sf_dir).read()
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The committed manifest: one row per live shard."""
+    version, shards, _ = _compacted(spark, sf_dir).manifest()
+    return spark.createDataFrame([(version, s.path, s.bytes, s.rows) for s in shards], "version long, path string, n_bytes long, n_rows long")
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_ledger import apply_policy, ledger
 
@@ -67,13 +91,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
     return remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, quality_ablations, op3_n_best_pieces, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op7_contextual_pii, op8_token_counts, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, shard_manifest, op2_quality_ledger, quality_ablations, op3_n_best_pieces, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op7_contextual_pii, op8_token_counts, op9_secret_forest, op10_suffix_array_dedup)}
 
 _LEDGER = r"""
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -89,6 +119,7 @@ led AS (SELECT *, ((n_words < 10)::BIGINT + (100 * n_repeat_words > 20 * n_words
       + (100 * n_dup_lines > 30 * n_lines)::BIGINT * 8 + (100 * n_upper > 40 * word_chars)::BIGINT * 16
       + (10 * n_shouts > n_words)::BIGINT * 32 + (word_chars > 15 * n_words)::BIGINT * 64) AS fail_bits FROM m)"""
 ORACLE_SQL: dict[str, str] = {
+    "op1_size_tiered_shards": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op2_quality_ledger": f"""WITH {_LEDGER}
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, 3::INTEGER AS policy_version,
        (CASE WHEN bit_count(fail_bits) = 1 THEN fail_bits ELSE 0 END)::BIGINT AS decisive_bits FROM led""",
