@@ -45,6 +45,19 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BLOCK_BITS = 10  # rows of a block: 2 ** BLOCK_BITS consecutive ones of a partition
+
+
+def in_blocks(df: DataFrame, what: str) -> DataFrame:
+    """``df`` (with a ``row`` of ``numbered``) as a table in the shared folder, bucketed by ``block``. Written
+    without a shuffle; later joins and groups by block read the texts in place, and ``row`` is fixed."""
+    spark = df.sparkSession
+    name = f"siltstone_{uuid.uuid4().hex}"
+    blocks = df.withColumn("block", F.shiftright("row", BLOCK_BITS))
+    blocks.write.bucketBy(max(8, parts(spark)), "block").sortBy("block").option("path", scratch(spark, what)).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

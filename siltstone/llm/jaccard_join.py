@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, power_of_two, settle
+from .common import BLOCK_BITS, in_blocks, parts, power_of_two, settle
 from .components import components
 
 WORDS = 5
@@ -121,7 +121,7 @@ def _dealt(rows: np.ndarray, shares: int) -> np.ndarray:
     return (_mix(rows.view(np.uint64)) % np.uint64(shares)).astype(np.int64)
 
 
-def repeated_shingles(docs: DataFrame) -> DataFrame:
+def repeated_shingles(docs: DataFrame, row: str | None = None) -> DataFrame:
     """row, doc_id, n (set size), fp1 and fp2 (the set's fingerprint), leads (first of its set in its
     batch), shared (sorted hashes of the shingles that other sets have too, if enough for a link), and
     prefix (the shingles by which it can meet a set that it links with)."""
@@ -233,7 +233,8 @@ def repeated_shingles(docs: DataFrame) -> DataFrame:
             "n": about[:, 3], "fp1": about[:, 4], "fp2": about[:, 5], "leads": about[:, 6] == 1, "shared": shared, "prefix": prefix,
         })
 
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+    row = F.monotonically_increasing_id() if row is None else F.col(row)
+    plain = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     sieved = plain.mapInArrow(shingle, offered).groupBy("share").applyInPandas(sieve, "share int, rows binary, counts binary, hashes binary, often binary, about binary")
     return sieved.groupBy("share").applyInPandas(gather, "row long, doc_id long, n long, fp1 long, fp2 long, leads boolean, shared binary, prefix array<long>")
 
@@ -367,9 +368,10 @@ def links(sets: DataFrame) -> DataFrame:
     return settle(found.union(_in_tiles(others.unionByName(asking))), "links")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; ``kept`` marks one row of each component."""
-    sets = settle(repeated_shingles(docs), "sets")
+def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row, doc_id, n_shingles, component_id for every row of ``docs``; ``kept`` marks one row of each component.
+    row: a column that numbers the rows, if there is one."""
+    sets = settle(repeated_shingles(docs, row), "sets")
     key = ["fp1", "fp2", "n"]
     classes = sets.where("n > 0").groupBy(*key).agg(F.min(F.when(F.col("leads"), F.col("row"))).alias("head"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     classes = settle(classes, "classes")
@@ -380,4 +382,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     told = settle(labelled.select(*key, "component").join(whole, "component").select(*key, "component_id", F.col("best.row").alias("best")), "components")
     out = sets.select("row", "doc_id", *key).join(told, key, "left")
     alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("best"))).alias("kept"))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("best"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without all but one row of each component (the smallest doc_id stays)."""
+    staged = in_blocks(docs.withColumn("row", F.monotonically_increasing_id()), "near-copies")
+    kept = jaccard_components(staged, "row").where("kept").select(F.shiftright("row", BLOCK_BITS).alias("block"), "row")
+    return staged.join(kept, ["block", "row"], "left_semi").select(*docs.columns)

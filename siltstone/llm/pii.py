@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import BLOCK_BITS, in_blocks, settle
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SEEDS, SMOOTHING, BELIEVED = 3, 3, 2.0, 0.5
@@ -139,15 +139,15 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
 
 def find_identifiers(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """row, doc_id, base and all spans (arrays of start, kind, end in order), and carried columns."""
-    found = settle(_scan(docs, carry), "pii-scan")
+    found = in_blocks(_scan(docs, carry), "pii-scan")
     slot = found.where("size(slots) > 0").select("row", F.explode("slots").alias("s")).select("row", "s.*")
     value = F.sha2(F.lower("value"), 256)
     edges = slot.groupBy("pattern", value.alias("value")).agg(F.max("kind").alias("seed"))
     patterns, belief = score_patterns(edges)
     sure = patterns.where(F.col("confidence") >= BELIEVED).select("pattern", F.col("kind").alias("as_kind"), "confidence")
     new = slot.where("fits").select("row", "pattern", value.alias("value"), "start", "end").join(sure, "pattern").join(belief.where(F.col("belief") >= BELIEVED), "value")
-    new = new.groupBy("row", "start", "end").agg(F.max_by("as_kind", "confidence").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    return found.join(new, "row", "left").select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"), *carry)
+    new = new.groupBy("row", "start", "end").agg(F.max_by("as_kind", "confidence").alias("kind")).groupBy(F.shiftright("row", BLOCK_BITS).alias("block"), "row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    return found.join(new, ["block", "row"], "left").select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"), *carry)
 
 
 def told(spans: str):

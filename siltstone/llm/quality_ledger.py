@@ -47,9 +47,11 @@ POLICIES = {1: BASE, 2: BASE | 0b0000100, 3: 0b1111111}
 CURRENT = 3
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and MEASURES of every row."""
-    t = docs.select("doc_id", text_or_empty().alias("text"))
+def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, MEASURES, and the columns ``carry`` as one struct ``carried``, of every row."""
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    t = docs.select("doc_id", text_or_empty().alias("text"), *carried)
+    carried = ["carried"] if carry else []
     t = t.withColumn("trimmed", F.expr(r"btrim(text, ' \t\n\u000b\f\r')"))
     t = t.select(
         "doc_id",
@@ -58,6 +60,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.expr("regexp_count(text, '[#*$%&|<>]')").cast("long").alias("n_symbols"),
         F.expr(r"regexp_count(text, '\\p{Lu}')").cast("long").alias("n_upper"),
         F.expr("regexp_count(text, '!!')").cast("long").alias("n_shouts"),
+        *carried,
     )
     hashed = ", ".join(f"words[i + {k}]" for k in range(WINDOW))
     t = t.withColumn("windows", F.expr(f"if(size(words) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(words) - {WINDOW}), i -> xxhash64({hashed})))"))
@@ -75,15 +78,16 @@ def measure(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         "n_upper",
         "n_shouts",
+        *carried,
     )
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Measurements and ``fail_bits`` (bit r set: rule r failed)."""
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs, carry).withColumn("fail_bits", bits)
 
 
 def kept(mask: int) -> Column:
@@ -103,6 +107,12 @@ def apply_policy(led: DataFrame, version: int = CURRENT, policies: dict[int, int
     )
 
 
+def keep_good(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps."""
+    judged = apply_policy(ledger(docs, carry=tuple(docs.columns)), version)
+    return judged.where("kept").select("carried.*")
+
+
 def ablations(led: DataFrame, policies: dict[int, int] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per policy and rule: documents, kept by the policy, failing the rule, and kept once the
     rule is left out. The ledger is first reduced to its distinct bit patterns (at most 2**len(rules))."""

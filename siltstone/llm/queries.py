@@ -64,7 +64,7 @@ def op3_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
-    return jaccard_components(documents(spark, sf_dir)).drop("kept")
+    return jaccard_components(documents(spark, sf_dir)).drop("row", "kept")
 
 
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,6 @@ result; other columns are carried only if asked for.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,10 +37,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, power_of_two, scratch
+from .common import BLOCK_BITS, in_blocks, parts, power_of_two
 
 MATCH, GRAM = 100, 32
-BLOCK_BITS = 10  # documents of a block: 2 ** BLOCK_BITS consecutive ones of a scan partition
 HOT = 20_000
 CHUNK = 1 << 19  # bytes hashed at a time
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -251,18 +249,14 @@ def _unpack(x: bytes, width: int = 3) -> np.ndarray:
 def stage_blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """A table in the shared folder: block, row, id (doc_id as long), doc_id, body (UTF-8 bytes), carried
     columns; bucketed by block, written without a shuffle."""
-    spark = docs.sparkSession
-    row = F.monotonically_increasing_id()
     staged = docs.select(
-        row.alias("row"),
+        F.monotonically_increasing_id().alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"),
         F.col("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"),
         *carry,
-    ).withColumn("block", F.shiftright("row", BLOCK_BITS))
-    name = f"siltstone_blocks_{uuid.uuid4().hex}"
-    staged.write.bucketBy(max(8, parts(spark)), "block").sortBy("block").option("path", scratch(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    )
+    return in_blocks(staged, "blocks")
 
 
 def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
