@@ -110,7 +110,10 @@ def apply_policy(led: DataFrame, version: int = CURRENT, policies: dict[int, int
 def keep_good(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps."""
     judged = apply_policy(ledger(docs, carry=tuple(docs.columns)), version)
-    return judged.where("kept").select("carried.*")
+    # A filter above plain projections would be pushed down through them, with every measurement written out
+    # again wherever it is used, many times over; it does not pass a projection that numbers rows.
+    numbered = judged.select("carried", "kept", F.monotonically_increasing_id().alias("nth"))
+    return numbered.where("kept and nth >= 0").select("carried.*")
 
 
 def ablations(led: DataFrame, policies: dict[int, int] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
