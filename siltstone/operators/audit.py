@@ -13,7 +13,7 @@ def record(results: DataFrame) -> DataFrame:  # L01, M09
     """Audit rows from query results: sources from the contexts' identity, graph paths as ``a -> b -> c``."""
     paths = F.transform("graph_paths", lambda p: F.array_join(p, " -> "))
     return results.select(
-        "query_id", "timestamp", "tenant_id", "user_id", "question", "route", F.transform("contexts", context_key).alias("sources_retrieved"), paths.alias("graph_paths_traversed"),
+        "query_id", "timestamp", "tenant_id", "user_id", "question", "route", F.transform("contexts", lambda x: context_key(x)).alias("sources_retrieved"), paths.alias("graph_paths_traversed"),
         confidence(F.col("cache_hit"), F.col("grounded"), F.col("useful")).alias("confidence"), "cache_hit", "latency_ms")
 
 

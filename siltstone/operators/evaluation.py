@@ -43,7 +43,7 @@ def entity_presence(answer: Column, entities: Column) -> Column:  # E04
 
 
 def citation_overlap(cited: Column, expected: Column) -> Column:  # E05
-    low = lambda a: F.array_distinct(F.transform(a, F.lower))
+    low = lambda a: F.array_distinct(F.transform(a, lambda x: F.lower(x)))
     return F.when(F.coalesce(F.size(expected), F.lit(0)) < 1, 1.0).otherwise(F.size(F.array_intersect(low(cited), low(expected))) / F.size(low(expected)))
 
 

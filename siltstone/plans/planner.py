@@ -38,7 +38,7 @@ def topics(question: Column) -> Column:  # Q02
 
 def parts(question: Column) -> Column:
     """What stands between question marks, cleaned."""
-    return F.filter(F.transform(F.split(question, r"\?+"), clean_question), lambda p: p != "")
+    return F.filter(F.transform(F.split(question, r"\?+"), lambda x: clean_question(x)), lambda p: p != "")
 
 
 def meaning(text: Column) -> Column:
@@ -53,7 +53,7 @@ def overlap(a: Column, b: Column) -> Column:  # U02
 def decomposes(question: Column) -> Column:  # Q03
     p, q = parts(question), clean_question(question)
     low = F.lower(q)
-    mixed = F.size(F.array_distinct(F.transform(p, route_hint))) > 1
+    mixed = F.size(F.array_distinct(F.transform(p, lambda x: route_hint(x)))) > 1
     apart = F.exists(F.slice(p, 2, 1 << 20), lambda x: overlap(F.get(p, F.lit(0)), x) < APART)
     both = any_in(low, fixed.MARKERS["transcripts"]) & any_in(low, fixed.MARKERS["filings"])
     return ((F.size(p) > 1) & (mixed | apart)) | (is_comparison(q) & ((F.size(topics(q)) >= 2) | both))
