@@ -52,7 +52,7 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     carried = [F.struct(*carry).alias("carried")] if carry else []
     t = docs.select("doc_id", text_or_empty().alias("text"), *carried)
     carried = ["carried"] if carry else []
-    t = t.withColumn("trimmed", F.expr(r"btrim(text, ' \t\n\u000b\f\r')"))
+    t = t.withColumn("trimmed", F.expr(r"btrim(text, ' \t\n\u000b\u000c\r')"))
     t = t.select(
         "doc_id",
         F.expr(r"if(trimmed = '', array(), split(trimmed, '[\\x20\\x09-\\x0D]+'))").alias("words"),
