@@ -36,15 +36,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/siltstone/{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
+def settle(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and any executor can
-    reread the result after another one is lost."""
+    reread the result after another one is lost. files: for results of few rows, how many files hold
+    them, whatever the number of shuffle partitions."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df if files is None else df.coalesce(files)
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files_for(spark: SparkSession, rows: int, per_file: int = 100_000) -> int:
+    return max(1, min(parts(spark), -(-rows // per_file)))
+
+
 BLOCK_BITS = 10  # rows of a block: 2 ** BLOCK_BITS consecutive ones of a partition
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import files_for, settle
 
 MAX_ROUNDS = 60
 
@@ -17,12 +17,13 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
     the root about halve. Rounds are written to the shared folder: a lost executor costs one round."""
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = settle(both, f"{what}-edges")
-    labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), what)
+    files = files_for(both.sparkSession, both.count())  # a count of Parquet footers
+    labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), what, files)
     for _ in range(MAX_ROUNDS):
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
         hooked = labels.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         onward = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = settle(hooked.join(onward, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), what)
+        moved = settle(hooked.join(onward, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), what, files)
         labels = moved.select("node", "root")
         if not moved.where("was <> root").limit(1).count():
             return labels

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, in_blocks, parts, power_of_two, settle
+from .common import BLOCK_BITS, files_for, in_blocks, parts, power_of_two, settle
 from .components import components
 
 WORDS = 5
@@ -331,7 +331,9 @@ def links(sets: DataFrame) -> DataFrame:
     tiles = large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     tiled = settle(large.join(tiles, ["cluster", "band"]).withColumn("tile", F.expr("cast(pmod(xxhash64(row), tiles) as int)")), "tiled")
     in_large = tiled.select("cluster", F.col("band").alias("u"), F.col("tile").alias("v"), "row", "n", "shared", F.col("row").alias("part"), F.lit(True).alias("asks"))
-    found = settle(_in_tiles(in_small.unionByName(in_large)), "links")
+    few = files_for(sets.sparkSession, held.count())
+    keep = lambda df: settle(df.repartition(few), "links")  # noqa: E731  links are few, however many tiles gave them
+    found = keep(_in_tiles(in_small.unionByName(in_large)))
     if not tiled.limit(1).count():
         return found
 
@@ -343,7 +345,7 @@ def links(sets: DataFrame) -> DataFrame:
     heads = with_parts(found).where("row = part")
     count = heads.groupBy("cluster").agg(F.ceil(F.count("*") / (4 * TILE)).cast("int").alias("many"))
     heads = heads.join(count, "cluster").select("cluster", F.lit(-1).alias("u"), F.expr("cast(pmod(xxhash64(row, 1), many) as int)").alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
-    found = settle(found.union(_in_tiles(heads)), "links")
+    found = keep(found.union(_in_tiles(heads)))
 
     # whatever is outside its cluster's largest part, against all other sets of neighbouring bands
     every = settle(with_parts(found), "parted")
@@ -353,7 +355,7 @@ def links(sets: DataFrame) -> DataFrame:
     if not minor.limit(1).count():
         return found
     asked = minor.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("asked"))
-    asked = settle(asked, "asked")
+    asked = settle(asked, "asked", 1)
     place = F.expr("cast(pmod(xxhash64(row, 2), asked) as int)")
     # key: (asking band and tile, other band and tile), each packed in an int
     pack_u, pack_v = (lambda b, t: b * 1_000_000 + t), (lambda b, t: b * 1_000_000 + t)
@@ -365,7 +367,7 @@ def links(sets: DataFrame) -> DataFrame:
     asking = minor.drop("tiles").join(asked, ["cluster", "band"]).withColumn("other", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     asking = asking.join(bands, ["cluster", "other"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     asking = asking.select("cluster", pack_u(F.col("band"), place).alias("u"), pack_v(F.col("other"), F.col("o")).alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
-    return settle(found.union(_in_tiles(others.unionByName(asking))), "links")
+    return keep(found.union(_in_tiles(others.unionByName(asking))))
 
 
 def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -375,11 +377,13 @@ def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
     key = ["fp1", "fp2", "n"]
     classes = sets.where("n > 0").groupBy(*key).agg(F.min(F.when(F.col("leads"), F.col("row"))).alias("head"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     classes = settle(classes, "classes")
+    few = files_for(docs.sparkSession, classes.count())
     heads = sets.where("shared is not null").select("row", "n", "shared", "prefix").join(classes.select(F.col("head").alias("row")), "row", "left_semi")
     joined = components(links(heads), "joined").withColumnsRenamed({"node": "head", "root": "component"})
-    labelled = classes.join(joined, "head", "left").withColumn("component", F.coalesce("component", "head"))
-    whole = labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.min("best").alias("best"))
-    told = settle(labelled.select(*key, "component").join(whole, "component").select(*key, "component_id", F.col("best.row").alias("best")), "components")
+    labelled = settle(classes.join(joined, "head", "left").withColumn("component", F.coalesce("component", "head")), "labelled", few)
+    # written, so that both sides of the join below are plain exchanges, whose hot keys Spark can split
+    whole = settle(labelled.groupBy("component").agg(F.min("low").alias("component_id"), F.min("best").alias("best")), "whole", few)
+    told = settle(labelled.select(*key, "component").join(whole, "component").select(*key, "component_id", F.col("best.row").alias("best")), "components", few)
     out = sets.select("row", "doc_id", *key).join(told, key, "left")
     alone = F.col("n") == 0
     return out.select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("best"))).alias("kept"))
@@ -389,4 +393,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component (the smallest doc_id stays)."""
     staged = in_blocks(docs.withColumn("row", F.monotonically_increasing_id()), "near-copies")
     kept = jaccard_components(staged, "row").where("kept").select(F.shiftright("row", BLOCK_BITS).alias("block"), "row")
-    return staged.join(kept, ["block", "row"], "left_semi").select(*docs.columns)
+    # one array of at most 2 ** BLOCK_BITS rows per block, so that the join is by the texts' bucketing alone
+    rows = kept.groupBy("block").agg(F.collect_list("row").alias("rows"))
+    return staged.join(rows, "block").where(F.array_contains("rows", F.col("row"))).select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, in_blocks, settle
+from .common import BLOCK_BITS, files_for, in_blocks, settle
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, LEAST_SEEDS, SMOOTHING, BELIEVED = 3, 3, 2.0, 0.5
@@ -128,13 +128,14 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     kinds = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("c"))
     induced = settle(kinds.groupBy("pattern").agg(F.sum("c").alias("seeds"), F.max_by("seed", F.struct("c", -F.col("seed"))).alias("kind")).where(F.col("seeds") >= LEAST_SEEDS), "pii-patterns")
     live = settle(edges.join(induced.select("pattern"), "pattern", "left_semi"), "pii-graph")
+    few = files_for(edges.sparkSession, live.count())
     belief = live.groupBy("value").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("belief"))
     for _ in range(rounds):
         patterns = live.join(belief, "value").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence"))
         doubt = F.exp(F.sum(F.log(1 - F.col("confidence"))))
-        belief = settle(live.join(patterns, "pattern").groupBy("value").agg(F.when(F.max(F.col("seed").isNotNull()), 1.0).otherwise(1 - doubt).alias("belief")), "pii-beliefs")
+        belief = settle(live.join(patterns, "pattern").groupBy("value").agg(F.when(F.max(F.col("seed").isNotNull()), 1.0).otherwise(1 - doubt).alias("belief")), "pii-beliefs", few)
     patterns = live.join(belief, "value").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence"))
-    return settle(patterns.join(induced, "pattern").select("pattern", "kind", "confidence"), "pii-scores"), belief
+    return settle(patterns.join(induced, "pattern").select("pattern", "kind", "confidence"), "pii-scores", few), belief
 
 
 def find_identifiers(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -147,7 +148,10 @@ def find_identifiers(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     sure = patterns.where(F.col("confidence") >= BELIEVED).select("pattern", F.col("kind").alias("as_kind"), "confidence")
     new = slot.where("fits").select("row", "pattern", value.alias("value"), "start", "end").join(sure, "pattern").join(belief.where(F.col("belief") >= BELIEVED), "value")
     new = new.groupBy("row", "start", "end").agg(F.max_by("as_kind", "confidence").alias("kind")).groupBy(F.shiftright("row", BLOCK_BITS).alias("block"), "row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
-    return found.join(new, ["block", "row"], "left").select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"), *carry)
+    # by block alone, as the scan is bucketed: what the few rows of a block gained comes as one array
+    new = new.groupBy("block").agg(F.collect_list(F.struct("row", "more")).alias("gained"))
+    own = F.flatten(F.transform(F.filter("gained", lambda x: x["row"] == F.col("row")), lambda x: x["more"]))
+    return found.join(new, "block", "left").select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce(own, F.array().cast(_SPAN)))).alias("spans"), *carry)
 
 
 def told(spans: str):
