@@ -319,19 +319,20 @@ def links(sets: DataFrame) -> DataFrame:
     that links connect."""
     posts = sets.select("row", F.explode("prefix").alias("shingle"))
     firsts = posts.groupBy("shingle").agg(F.min("row").alias("b"), F.count("*").alias("c")).where("c > 1")
+    firsts = settle(firsts, "firsts")  # written, so that Spark can split the join's hot keys; so are the small tables below
     near = posts.join(firsts, "shingle").where("row <> b").select(F.col("row").alias("a"), "b").distinct()
     clusters = components(near, "clusters").withColumnsRenamed({"node": "row", "root": "cluster"})
     held = settle(sets.select("row", "n", "shared").join(clusters, "row"), "clustered")
     band = F.floor(F.log("n") / math.log(SIMILAR[1] / SIMILAR[0])).cast("int")
     held = held.withColumn("band", band)
-    size = held.groupBy("cluster").agg(F.count("*").alias("size"))
+    few = files_for(sets.sparkSession, held.count())
+    size = settle(held.groupBy("cluster").agg(F.count("*").alias("size")), "sizes", few)
     small = held.join(size.where(f"size <= {TILE}"), "cluster")
     large = held.join(size.where(f"size > {TILE}"), "cluster").drop("size")
     in_small = small.select("cluster", F.lit(0).alias("u"), F.lit(0).alias("v"), "row", "n", "shared", F.col("row").alias("part"), F.lit(True).alias("asks"))
-    tiles = large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = settle(large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "tiles", few)
     tiled = settle(large.join(tiles, ["cluster", "band"]).withColumn("tile", F.expr("cast(pmod(xxhash64(row), tiles) as int)")), "tiled")
     in_large = tiled.select("cluster", F.col("band").alias("u"), F.col("tile").alias("v"), "row", "n", "shared", F.col("row").alias("part"), F.lit(True).alias("asks"))
-    few = files_for(sets.sparkSession, held.count())
     keep = lambda df: settle(df.repartition(few), "links")  # noqa: E731  links are few, however many tiles gave them
     found = keep(_in_tiles(in_small.unionByName(in_large)))
     if not tiled.limit(1).count():
@@ -343,14 +344,14 @@ def links(sets: DataFrame) -> DataFrame:
 
     # one set of each part, band by band, a tile at a time: joins most parts of large groups of copies
     heads = with_parts(found).where("row = part")
-    count = heads.groupBy("cluster").agg(F.ceil(F.count("*") / (4 * TILE)).cast("int").alias("many"))
+    count = settle(heads.groupBy("cluster").agg(F.ceil(F.count("*") / (4 * TILE)).cast("int").alias("many")), "heads", few)
     heads = heads.join(count, "cluster").select("cluster", F.lit(-1).alias("u"), F.expr("cast(pmod(xxhash64(row, 1), many) as int)").alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
     found = keep(found.union(_in_tiles(heads)))
 
     # whatever is outside its cluster's largest part, against all other sets of neighbouring bands
     every = settle(with_parts(found), "parted")
     weight = every.groupBy("cluster", "part").agg(F.count("*").alias("c"))
-    largest = weight.groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
+    largest = settle(weight.groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("largest")), "largest", few)
     minor = every.join(largest, "cluster").where("part <> largest").drop("largest")
     if not minor.limit(1).count():
         return found
