@@ -262,7 +262,7 @@ def stage_blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """block, ranges: packed (row, start, end) byte ranges of repeated windows."""
     spark = staged.sparkSession
-    shares = power_of_two(parts(spark))
+    shares = power_of_two(2 * parts(spark))  # smaller groups to merge, dealt more evenly
     shift = np.uint64(64 - shares.bit_length() + 1)
 
     def offer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
