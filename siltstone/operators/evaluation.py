@@ -65,3 +65,33 @@ def deltas(means: DataFrame, baseline: str = BASELINE) -> DataFrame:  # E08, J14
 
 def latest_run(runs: DataFrame) -> DataFrame:  # W08
     return runs.agg(F.max_by("run_id", F.struct("completed_at", "run_id")).alias("run_id"))
+
+
+def judged(items: DataFrame, judge, metrics: tuple[str, ...] = ("completeness", "contradiction_rate")) -> DataFrame:  # E06, E07
+    """Scores of a judge function over items (id, answer, expected): one row per metric. judge(list of
+    (answer, expected)) gives dicts; an unreadable answer scores 0, an item with nothing expected 1."""
+    import pandas as pd
+
+    kind = dict(items.dtypes)["id"]
+
+    def run(frames):
+        for f in frames:
+            pairs = list(zip(f["answer"], f["expected"]))
+            given = judge([p for p in pairs if p[1]])
+            at, out = iter(given), []
+            for i, (_, expected) in zip(f["id"], pairs):
+                got = next(at) if expected else None
+                for m in metrics:
+                    try:
+                        value = 1.0 if got is None else min(1.0, max(0.0, float(got[m])))
+                    except (KeyError, TypeError, ValueError):
+                        value = 0.0
+                    out.append((i, m, value))
+            yield pd.DataFrame(out, columns=["id", "metric", "value"])
+
+    return items.select("id", "answer", "expected").mapInPandas(run, f"id {kind}, metric string, value double")
+
+
+def skipped_failures(scores: DataFrame) -> DataFrame:  # A10
+    """Scores of items that could be evaluated: a failed item has none and does not count."""
+    return scores.where(F.col("value").isNotNull())

@@ -72,11 +72,11 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", digits
     bags = docs.select("qid", key, tokens(text).alias("_t")).withColumn("dl", F.size("_t"))
     size = bags.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = bags.select("qid", key, "dl", F.explode("_t").alias("term")).groupBy("qid", key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(size, "qid")
+    df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(F.broadcast(size), "qid")  # a row per question
     idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.groupBy("qid").agg(F.avg("idf").alias("mean"))
-    idf = idf.join(mean, "qid").withColumn("idf", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")))
-    hits = tf.join(terms, ["qid", "term"]).join(idf.select("qid", "term", "idf", "avgdl"), ["qid", "term"])
+    idf = idf.join(F.broadcast(mean), "qid").withColumn("idf", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")))
+    hits = tf.join(F.broadcast(terms), ["qid", "term"]).join(idf.select("qid", "term", "idf", "avgdl"), ["qid", "term"])
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = hits.groupBy("qid", key).agg(F.round(F.sum(weight), digits).alias("bm25"))
     return docs.select("qid", key).join(score, ["qid", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
