@@ -60,6 +60,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(_doubles(a), _doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """The vector at length 1 (a zero vector stays), so that a cosine is a dot product: the length is
+    computed once per vector and not once per pair."""
+    size = norm(v)
+    return F.when(size == 0, _doubles(v)).otherwise(F.transform(_doubles(v), lambda x: x / size))
+
+
 def cosine(a: Column, b: Column) -> Column:  # M06
     size = norm(a) * norm(b)
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)

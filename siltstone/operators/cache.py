@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.numeric import cosine
+from ..functions.numeric import dot, unit
 from ..functions.text import any_in
 from . import relational
 
@@ -29,8 +29,9 @@ def similar(cache: DataFrame, probes: DataFrame, threshold: float = SIMILAR, dig
     """probe_id, entry_id, similarity: each probe's most similar entry of the same scope, from ``threshold`` on.
     cache: entry_id, source_filter, embedding; probes: probe_id, source_filter, embedding. An equi-join on
     the scope; the best is kept by an aggregation, so only one candidate per probe and task travels."""
-    pairs = probes.join(cache.withColumnRenamed("embedding", "_e"), "source_filter")
-    scored = pairs.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("_e")), digits)).where((F.col("similarity") >= threshold) & (F.col("similarity") > 0))
+    entries = cache.select("entry_id", "source_filter", unit(F.col("embedding")).alias("_e"))
+    pairs = probes.select("probe_id", "source_filter", unit(F.col("embedding")).alias("_p")).join(entries, "source_filter")
+    scored = pairs.withColumn("similarity", F.round(dot(F.col("_p"), F.col("_e")), digits)).where((F.col("similarity") >= threshold) & (F.col("similarity") > 0))
     return scored.groupBy("probe_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("o"))).alias("b")).select("probe_id", (-F.col("b.o")).alias("entry_id"), F.col("b.similarity").alias("similarity"))
 
 

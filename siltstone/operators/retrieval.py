@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import blended, cosine
+from ..functions.numeric import blended, cosine, dot, unit
 from ..functions.text import tokens
 from . import relational
 
@@ -61,7 +61,9 @@ def dense(vectors: DataFrame, query: Column, k: int, key: str, spec: Mapping | N
 
 def dense_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, digits: int = 6) -> DataFrame:  # J12
     """Top k for each query (qid, query), of which there are few: a stated set of questions is broadcast."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("query")), digits))
+    asked = queries.select("qid", unit(F.col("query")).alias("query"))
+    each = vectors.select(key, unit(F.col("embedding")).alias("_unit"))
+    pairs = each.crossJoin(F.broadcast(asked)).withColumn("score", F.round(dot(F.col("_unit"), F.col("query")), digits))
     return relational.top_per(pairs.select("qid", key, "score"), ["qid"], [F.desc("score"), F.col(key)], k)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric, text
 from ..operators import audit, cache, chunking, contradiction, evaluation, graph, relational, retrieval, tree
 from ..sources import html as html_source
+from ..sources.tables import table
 from . import planner
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +38,6 @@ def query(sql: str | None = None, bench: bool = False) -> Callable[[Query], Quer
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _first_vector(t: DataFrame) -> DataFrame:
     return t.where("vec_id = 0").select(F.col("embedding").alias("query"))
 
@@ -54,7 +51,8 @@ _COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUB
 def _dense(t: DataFrame, k: int, spec: dict | None = None) -> DataFrame:
     # one question: its vector is one row, broadcast to an exact scan of the filtered vectors
     q = _first_vector(t)
-    scored = t.where(retrieval.metadata_filter(spec)).crossJoin(F.broadcast(q)).select("vec_id", "label", F.round(numeric.cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    q = q.select(numeric.unit(F.col("query")).alias("query"))
+    scored = t.where(retrieval.metadata_filter(spec)).crossJoin(F.broadcast(q)).select("vec_id", "label", F.round(numeric.dot(numeric.unit(F.col("embedding")), F.col("query")), 6).alias("score"))
     best = scored.orderBy(F.desc("score"), "vec_id").limit(k)
     return relational.top_per(best.withColumn("q", F.lit(0)), ["q"], [F.desc("score"), F.col("vec_id")], k).drop("q")
 
