@@ -71,15 +71,18 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", digits
     """qid, key, bm25 of every candidate document. docs: qid, key, text (a question's candidates); terms:
     qid, term (a term asked twice counts twice). Okapi weights; a negative idf becomes a quarter of the
     mean idf over the candidates' terms."""
+    # Only term counts per question travel (summed up before the shuffle); a document's own counts of the
+    # few asked terms are taken from its words in place.
     bags = docs.select("qid", key, tokens(text).alias("_t")).withColumn("dl", F.size("_t"))
     size = bags.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = bags.select("qid", key, "dl", F.explode("_t").alias("term")).groupBy("qid", key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("qid", "term").agg(F.count("*").alias("df")).join(F.broadcast(size), "qid")  # a row per question
-    idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = bags.select("qid", F.explode(F.array_distinct("_t")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(size), "qid").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # a row per question
+    asked = terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
+    of_asked = idf.join(F.broadcast(asked), ["qid", "term"])
     mean = idf.groupBy("qid").agg(F.avg("idf").alias("mean"))
-    idf = idf.join(F.broadcast(mean), "qid").withColumn("idf", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")))
-    hits = tf.join(F.broadcast(terms), ["qid", "term"]).join(idf.select("qid", "term", "idf", "avgdl"), ["qid", "term"])
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    of_asked = of_asked.join(F.broadcast(mean), "qid").select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    hits = bags.join(F.broadcast(of_asked), "qid").where(F.array_contains("_t", F.col("term"))).withColumn("tf", F.size(F.filter("_t", lambda x: x == F.col("term"))))
+    weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = hits.groupBy("qid", key).agg(F.round(F.sum(weight), digits).alias("bm25"))
     return docs.select("qid", key).join(score, ["qid", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
