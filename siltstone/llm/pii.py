@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contextual extraction.
 
-The fixed patterns give seed entities. A value that follows a cue (a word, then ``:`` or ``=``, perhaps a
-quote) is an instance of the lexical pattern which that cue makes; seeds found behind a cue induce their
-pattern. Patterns and instances form a bipartite graph, scored by Spark in turns: a pattern by the share
-of its distinct values that are believed, a value by the patterns that hold it. Values behind a pattern of
-high confidence become spans of the pattern's kind, although no fixed pattern knows them.
+The fixed patterns give seed entities. The words to the left and right of a seed, wherever it stands, induce
+lexical patterns: one word before, two words before, one word after, one on each side, each with the signs
+between it and the value. Places that could hold an identifier (a digit or an ``@``) are recorded with their
+contexts in the first pass; a second pass over all texts counts what else stands in the induced patterns.
+Patterns and values form a bipartite graph, scored by Spark in turns: a pattern by the share of its distinct
+values that are believed, a value by the patterns that hold it. Values in a pattern of high confidence become
+spans of the pattern's kind, although no fixed pattern knows them.
 
 Edges: null text has no spans; any length works (all scanners take linear time); a null doc_id stays null;
 repeated rows give repeated rows; an empty table gives an empty result; other columns are carried only
@@ -14,6 +16,8 @@ if asked for.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BITS, files_for, in_blocks, settle
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, LEAST_SEEDS, SMOOTHING, BELIEVED = 3, 3, 2.0, 0.5
+LEAST_SEEDS, SMOOTHING, BELIEVED = 3, 2.0, 0.5
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # possessive: what a run has taken is not tried again from its middle, with the same matches
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -31,8 +35,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CUE = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,32})\x20{0,2}([:=])\x20{0,2}([\"'(<]?)(?=[^\s\"'<>()])")
-_VALUE = re.compile(r"[^\s\"'<>()]+")
+_CUE = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,32})\x20{0,2}([:=])\x20{0,2}")
+_RUN = re.compile(r"(?<![^\s\"'<>()])[^\s\"'<>()0-9@]*+[0-9@][^\s\"'<>()]*+")
+_EDGES = re.compile(r"(\W*)(?:.*\w)?(\W*)", re.S)
+WORD, WINDOW = 32, 160  # characters of a context's word at most, and around a value where it is looked for
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -75,32 +81,78 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int, int | None]]:
-    """Values behind cues: (pattern, value, start, end, kind of the seed or None)."""
-    if ":" not in text and "=" not in text:
-        return []
-    seeds = {a: (k, b) for a, k, b in reversed(base)}
+def plain_words(text: str) -> list[str]:
+    """Words as contexts know them: small letters, each run of digits as 0, a cue apart from its value."""
+    if ":" in text or "=" in text:
+        text = _CUE.sub(r"\1\2 ", text)
+    return re.sub("[0-9]+", "0", text.lower()).split()
+
+
+def keys(two: str | None, one: str | None, lead: str, tail: str, after: str | None) -> list[str]:
+    """The patterns of a place: the words before it, the signs that touch it, the word after it."""
     out = []
-    for m in _CUE.finditer(text):
-        at = m.end()
-        pattern = f"{m[1].lower()}{m[2]}{m[3]}"
-        if at in seeds:
-            kind, end = seeds[at]
-            out.append((pattern, text[at:end], at, end, kind))
-            continue
-        value = _VALUE.match(text, at)[0].rstrip(".,;:!?*$%#&")
-        if value and not any(a < at + len(value) and at < b for a, _, b in base):
-            out.append((pattern, value, at, at + len(value), None))
+    if one is not None:
+        out.append(f"<1 {one} {lead}")
+        if two is not None:
+            out.append(f"<2 {two} {one} {lead}")
+    if after is not None:
+        out.append(f">1 {tail} {after}")
+        if one is not None:
+            out.append(f"<> {one} {lead} {tail} {after}")
+    return out
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns in which text[start:end] stands. A value that touches letters has none on that side."""
+    left, right = text[max(0, start - WINDOW):start], text[end:end + WINDOW]
+    if start > WINDOW:
+        left = re.sub(r"^\S+", "", left)
+    if len(text) > end + WINDOW:
+        right = re.sub(r"(?<!\S)\S+$", "", right)
+    words = plain_words(left + "\0")
+    lead, words = words[-1][:-1], [w if len(w) <= WORD else None for w in words[:-1]]
+    if re.search(r"\w", lead):
+        lead, words = "", []
+    then = plain_words("\0" + right)
+    tail, after = then[0][1:], then[1] if len(then) > 1 and len(then[1]) <= WORD else None
+    if re.search(r"\w", tail):
+        after = None
+    one = words[-1] if words else None
+    return keys(words[-2] if len(words) > 1 else None, one, lead, tail, after)
+
+
+def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int | None]]:
+    """Places that could hold an identifier: (start, end, kind of the seed or None), seeds first."""
+    out = [(a, b, k) for a, k, b in base]
+    taken: list[tuple[int, int]] = []
+    for a, _, b in base:
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    for m in _RUN.finditer(text):
+        cues = list(_CUE.finditer(m[0])) if ":" in m[0] or "=" in m[0] else []
+        for i, st in enumerate([0, *(c.end() for c in cues)]):
+            value = m[0][st:cues[i].start() if i < len(cues) else None].rstrip(".,;:!?*$%#&")
+            at = m.start() + st
+            if ("@" in value or _DIGIT.search(value)) and not free(taken, at, at + len(value)) < 0:
+                out.append((at, at + len(value), None))
     return out
 
 
+def free(taken: list[tuple[int, int]], start: int, end: int) -> int:
+    """-1 if start:end meets one of the spans (in order, apart from each other)."""
+    i = bisect_right(taken, (start, 1 << 60))
+    return -1 if i and taken[i - 1][1] > start or i < len(taken) and taken[i][0] < end else i
+
+
 def identifies(value: str) -> bool:
     """Whether an unseen value may be an identifier at all: six characters or more, a digit or an @."""
     return len(value) >= 6 and ("@" in value or _DIGIT.search(value) is not None)
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
-_SLOT = "array<struct<pattern:string,value:string,start:int,end:int,kind:int,fits:boolean>>"
+_SLOT = "array<struct<patterns:array<string>,value:string,start:int,end:int,kind:int,fits:boolean>>"
 
 
 def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
@@ -108,7 +160,7 @@ def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     plain = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), *carry)
     kinds = dict(plain.dtypes)
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    slot = pa.list_(pa.struct([("pattern", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("fits", pa.bool_())]))
+    slot = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("fits", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,38 +168,96 @@ def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
             for text in b.column(2).to_pylist():
                 base = base_spans(text)
                 bases.append([{"start": a, "kind": k, "end": e} for a, k, e in base])
-                found.append([{"pattern": p, "value": v, "start": a, "end": e, "kind": k, "fits": k is None and identifies(v)} for p, v, a, e, k in slots(text, base)])
+                found.append([{"patterns": contexts(text, a, e), "value": text[a:e], "start": a, "end": e, "kind": k, "fits": k is None and identifies(text[a:e])} for a, e, k in slots(text, base)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bases, span), pa.array(found, slot), *(b.column(3 + i) for i in range(len(carry)))], names=["row", "doc_id", "base", "slots", *carry])
 
     return plain.mapInArrow(run, ", ".join(["row long", f"doc_id {kinds['doc_id']}", f"base {_SPAN}", f"slots {_SLOT}", *(f"`{c}` {kinds[c]}" for c in carry)]))
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """edges: pattern, value, seed (kind or null), one row each. Returns patterns (pattern, kind,
-    confidence) with enough seeds, and values (value, belief)."""
-    kinds = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("c"))
-    induced = settle(kinds.groupBy("pattern").agg(F.sum("c").alias("seeds"), F.max_by("seed", F.struct("c", -F.col("seed"))).alias("kind")).where(F.col("seeds") >= LEAST_SEEDS), "pii-patterns")
-    live = settle(edges.join(induced.select("pattern"), "pattern", "left_semi"), "pii-graph")
-    few = files_for(edges.sparkSession, live.count())
-    belief = live.groupBy("value").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("belief"))
-    for _ in range(rounds):
-        patterns = live.join(belief, "value").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence"))
-        doubt = F.exp(F.sum(F.log(1 - F.col("confidence"))))
-        belief = settle(live.join(patterns, "pattern").groupBy("value").agg(F.when(F.max(F.col("seed").isNotNull()), 1.0).otherwise(1 - doubt).alias("belief")), "pii-beliefs", few)
-    patterns = live.join(belief, "value").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + F.lit(SMOOTHING))).alias("confidence"))
-    return settle(patterns.join(induced, "pattern").select("pattern", "kind", "confidence"), "pii-scores", few), belief
+def other_words(texts: Iterator[str], limits: dict[str, int]) -> Iterator[tuple[str, str | None]]:
+    """Distinct (pattern, word) of words without a digit or ``@`` that stand in the patterns of ``limits``. A
+    pattern with more of them than its limit gives one null instead: it is known to be untrustworthy."""
+    live = {p: set() for p in limits}
+    before, behind = Counter(), Counter()  # how many live patterns need this word on that side
+
+    def words(p: str) -> tuple[Counter, str]:
+        return (behind, p.rsplit(" ", 1)[1]) if p[:2] == ">1" else (before, p.split(" ")[2 if p[:2] == "<2" else 1])
+
+    for p in limits:
+        side, w = words(p)
+        side[w] += 1
+    for text in texts:
+        if not live:
+            break
+        toks = plain_words(text)
+        last = len(toks) - 1
+        for i, t in enumerate(toks):
+            one, after = toks[i - 1] if i else None, toks[i + 1] if i < last else None
+            if not (one in before or after in behind) or "0" in t or "@" in t:
+                continue
+            lead, tail = _EDGES.fullmatch(t).groups()
+            for p in keys(toks[i - 2] if i > 1 else None, one, lead, tail, after):
+                if (had := live.get(p)) is not None:
+                    had.add(t[len(lead):len(t) - len(tail)] or t)
+                    if len(had) > limits[p]:
+                        del live[p]
+                        side, w = words(p)
+                        side[w] -= 1
+                        if not side[w]:
+                            del side[w]
+                        yield p, None
+    for p, had in live.items():
+        yield from ((p, w) for w in had)
+
+
+def count_others(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """patterns: pattern, n (its distinct values with a digit or @). Returns pattern, others: how many distinct
+    other words stand in it in all texts, null where more than n do. Only the patterns go to the workers; each has
+    LEAST_SEEDS believed values or more, and a value's place is in four patterns."""
+    limits = {r.pattern: r.n for r in patterns.collect()}
+    kind = "pattern string, word string"
+    if not limits:
+        return patterns.select("pattern", F.lit(0).cast("long").alias("others"))
+    sent = docs.sparkSession.sparkContext.broadcast(limits)
+    schema = pa.schema([("pattern", pa.string()), ("word", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple[str, str | None]] = []
+        for pair in other_words((t for b in batches for t in b.column(0).to_pylist() if t), sent.value):
+            got.append(pair)
+            if len(got) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*got)], schema=schema)
+                got = []
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*got)], schema=schema)
+
+    pairs = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, kind).distinct()
+    counted = pairs.groupBy("pattern").agg(F.count("word").alias("c"), F.max(F.col("word").isNull()).alias("over"))
+    return patterns.join(counted, "pattern", "left").select("pattern", F.when(F.coalesce("over", F.lit(False)), None).otherwise(F.coalesce("c", F.lit(0))).alias("others"))
+
+
+def score_patterns(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """edges: pattern, value, seed (kind or null), one row each. Returns the trusted patterns (pattern, kind,
+    confidence): LEAST_SEEDS believed values and BELIEVED of all its values and other words, SMOOTHING added."""
+    spark = edges.sparkSession
+    edges = settle(edges, "pii-graph")
+    few = files_for(spark, edges.count())
+    per = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("seeds"), F.count("seed").cast("double").alias("sum"))
+    majority = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("c")).groupBy("pattern").agg(F.max_by("seed", F.struct("c", -F.col("seed"))).alias("kind"))
+    able = settle(per.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("sum") >= BELIEVED * (F.col("n") + SMOOTHING))), "pii-induced", few)
+    others = settle(count_others(docs, able.select("pattern", "n")), "pii-others", few)
+    scored = able.join(others.where("others is not null"), "pattern").withColumn("confidence", F.col("sum") / (F.col("n") + F.col("others") + SMOOTHING))
+    return settle(scored.where(F.col("confidence") >= BELIEVED).join(majority, "pattern").select("pattern", "kind", "confidence"), "pii-scores", few)
 
 
 def find_identifiers(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """row, doc_id, base and all spans (arrays of start, kind, end in order), and carried columns."""
     found = in_blocks(_scan(docs, carry), "pii-scan")
     slot = found.where("size(slots) > 0").select("row", F.explode("slots").alias("s")).select("row", "s.*")
-    value = F.sha2(F.lower("value"), 256)
-    edges = slot.groupBy("pattern", value.alias("value")).agg(F.max("kind").alias("seed"))
-    patterns, belief = score_patterns(edges)
-    sure = patterns.where(F.col("confidence") >= BELIEVED).select("pattern", F.col("kind").alias("as_kind"), "confidence")
-    new = slot.where("fits").select("row", "pattern", value.alias("value"), "start", "end").join(sure, "pattern").join(belief.where(F.col("belief") >= BELIEVED), "value")
-    new = new.groupBy("row", "start", "end").agg(F.max_by("as_kind", "confidence").alias("kind")).groupBy(F.shiftright("row", BLOCK_BITS).alias("block"), "row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    slot = slot.select("row", F.explode("patterns").alias("pattern"), F.sha2(F.lower("value"), 256).alias("value"), "start", "end", "kind", "fits")
+    sure = score_patterns(slot.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), docs)
+    new = slot.where("fits").join(sure.withColumnRenamed("kind", "as_kind"), "pattern")
+    new = new.groupBy("row", "start", "end").agg(F.max_by("as_kind", F.struct("confidence", "pattern")).alias("kind")).groupBy(F.shiftright("row", BLOCK_BITS).alias("block"), "row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     # by block alone, as the scan is bucketed: what the few rows of a block gained comes as one array
     new = new.groupBy("block").agg(F.collect_list(F.struct("row", "more")).alias("gained"))
     own = F.flatten(F.transform(F.filter("gained", lambda x: x["row"] == F.col("row")), lambda x: x["more"]))

@@ -63,3 +63,13 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail é a@b.co or 10.0.0.1!", "en"), (2, None, "en"), (3, "plain", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.text for r in redact(df, ("doc_id", "text", "lang")).collect()}
     assert got == {1: "mail é <email> or <ip>!", 2: None, 3: "plain"}
+
+
+def test_contexts_in_prose_find_unseen_identifiers(spark):
+    texts = [f"Word{i} he said call me at +1 (555) 555-{1000 + i} thing{i}." for i in range(8)]
+    texts += [f"so many meet at place{chr(97 + i)} here" for i in range(20)]  # 'at' alone is common, 'me at' is not
+    texts += ["you call me at 555.0199x12 soon", "we meet at 555.0199x13 soon"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in identifier_digest(df).collect()}
+    assert got[28].spans == "phone:15:26" and got[28].n_found == 1
+    assert got[29].n_found == 0 and all(got[i].n_found == 0 and got[i].n_phone == (i < 8) for i in range(28))
