@@ -6,7 +6,9 @@ between it and the value. Places that could hold an identifier (a digit or an ``
 contexts in the first pass; a second pass over all texts counts what else stands in the induced patterns.
 Patterns and values form a bipartite graph, scored by Spark in turns: a pattern by the share of its distinct
 values that are believed, a value by the patterns that hold it. Values in a pattern of high confidence become
-spans of the pattern's kind, although no fixed pattern knows them.
+spans of the pattern's kind, although no fixed pattern knows them; they are believed from then on and induce
+patterns of their own, until a turn brings no new value. A place has a reading for each class of kinds: without
+spaces, and for cards and phones with the spaces, dots, hyphens and parentheses between groups of digits.
 
 Edges: null text has no spans; any length works (all scanners take linear time); a null doc_id stays null;
 repeated rows give repeated rows; an empty table gives an empty result; other columns are carried only
@@ -21,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_BITS, files_for, in_blocks, settle
@@ -38,6 +40,11 @@ _DIGIT = re.compile(r"[0-9]")
 _CUE = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,32})\x20{0,2}([:=])\x20{0,2}")
 _RUN = re.compile(r"(?<![^\s\"'<>()])[^\s\"'<>()0-9@]*+[0-9@][^\s\"'<>()]*+")
 _EDGES = re.compile(r"(\W*)(?:.*\w)?(\W*)", re.S)
+_FIRST = re.compile(r"\+?[0-9]+")
+_EXTENSION = re.compile(r"\x20?(?:x|ext\.?)\x20?[0-9]{1,6}(?!\w)", re.I)
+# how groups of digits go on, and how many digits at most: cards, phones
+_GROUPS = ((re.compile(r"[\x20-][0-9]+"), 19), (re.compile(r"[\x20().\-/]{1,3}[0-9]+"), 15))
+CLASSES = (0, 0, 1, 2)  # of each kind: a run without spaces, a card, a phone
 WORD, WINDOW = 32, 160  # characters of a context's word at most, and around a value where it is looked for
 
 
@@ -121,9 +128,40 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return keys(words[-2] if len(words) > 1 else None, one, lead, tail, after)
 
 
-def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int | None]]:
-    """Places that could hold an identifier: (start, end, kind of the seed or None), seeds first."""
-    out = [(a, b, k) for a, k, b in base]
+def reach(text: str, at: int, stop: int, of: int) -> int:
+    """Where groups of digits that begin at ``at`` end, as a card (of = 1) or a phone (2); ``at`` if none does."""
+    joint, most = _GROUPS[of - 1]
+    m, digits, good = _FIRST.match(text, at, stop), 0, at
+    while m:
+        digits += sum(c in "0123456789" for c in m[0])
+        if digits > most:
+            break
+        end = m.end()
+        if not re.match(r"[\w@]", text[end:end + 1]):
+            good = end
+        if of == 2 and (x := _EXTENSION.match(text, end, stop)):
+            return x.end()
+        m = joint.match(text, end, stop)
+    return good
+
+
+def readings(text: str, start: int, end: int, stop: int) -> dict[tuple[int, int], int]:
+    """(start, end) of each way to read the place, with a bit for each of CLASSES that reads it so."""
+    out = {(start, end): 1}
+    for of in (1, 2):
+        a, b = start, reach(text, start, stop, of)
+        if of == 2 and start and text[start - 1] == "(" and ")" in text[start:b]:
+            a -= 1
+        at = (a, b) if b > end or (a < start and b >= end) else (start, end)
+        out[at] = out.get(at, 0) | 1 << of
+    return out
+
+
+def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int | None, int]]:
+    """Places that could hold an identifier: (start, end, kind of the seed or None, bits of the classes that read
+    it so), seeds first."""
+    out: list[tuple[int, int, int | None, int]] = [(a, b, k, 7) for a, k, b in base]
+    over = 0
     taken: list[tuple[int, int]] = []
     for a, _, b in base:
         if taken and a < taken[-1][1]:
@@ -132,16 +170,23 @@ def slots(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
             taken.append((a, b))
     for m in _RUN.finditer(text):
         cues = list(_CUE.finditer(m[0])) if ":" in m[0] or "=" in m[0] else []
-        for i, st in enumerate([0, *(c.end() for c in cues)]):
-            value = m[0][st:cues[i].start() if i < len(cues) else None].rstrip(".,;:!?*$%#&")
+        for c, st in enumerate([0, *(x.end() for x in cues)]):
+            value = m[0][st:cues[c].start() if c < len(cues) else None].rstrip(".,;:!?*$%#&")
             at = m.start() + st
-            if ("@" in value or _DIGIT.search(value)) and not free(taken, at, at + len(value)) < 0:
-                out.append((at, at + len(value), None))
+            end = at + len(value)
+            if not ("@" in value or _DIGIT.search(value)) or (i := free(taken, at, end)) < 0:
+                continue
+            if end <= over:  # a later group of a number
+                out.append((at, end, None, 1))
+                continue
+            for (a, b), bits in readings(text, at, end, taken[i][0] if i < len(taken) else len(text)).items():
+                out.append((a, b, None, bits))
+                over = max(over, b)
     return out
 
 
 def free(taken: list[tuple[int, int]], start: int, end: int) -> int:
-    """-1 if start:end meets one of the spans (in order, apart from each other)."""
+    """Which of the spans (in order, apart from each other) comes next; -1 if start:end meets one."""
     i = bisect_right(taken, (start, 1 << 60))
     return -1 if i and taken[i - 1][1] > start or i < len(taken) and taken[i][0] < end else i
 
@@ -152,7 +197,7 @@ def identifies(value: str) -> bool:
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
-_SLOT = "array<struct<patterns:array<string>,value:string,start:int,end:int,kind:int,fits:boolean>>"
+_SLOT = "array<struct<patterns:array<string>,value:string,start:int,end:int,kind:int,bits:int,fits:boolean>>"
 
 
 def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
@@ -160,7 +205,7 @@ def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     plain = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), *carry)
     kinds = dict(plain.dtypes)
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    slot = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("fits", pa.bool_())]))
+    slot = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("bits", pa.int32()), ("fits", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +213,7 @@ def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
             for text in b.column(2).to_pylist():
                 base = base_spans(text)
                 bases.append([{"start": a, "kind": k, "end": e} for a, k, e in base])
-                found.append([{"patterns": contexts(text, a, e), "value": text[a:e], "start": a, "end": e, "kind": k, "fits": k is None and identifies(text[a:e])} for a, e, k in slots(text, base)])
+                found.append([{"patterns": contexts(text, a, e), "value": text[a:e], "start": a, "end": e, "kind": k, "bits": bits, "fits": k is None and identifies(text[a:e])} for a, e, k, bits in slots(text, base)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bases, span), pa.array(found, slot), *(b.column(3 + i) for i in range(len(carry)))], names=["row", "doc_id", "base", "slots", *carry])
 
     return plain.mapInArrow(run, ", ".join(["row long", f"doc_id {kinds['doc_id']}", f"base {_SPAN}", f"slots {_SLOT}", *(f"`{c}` {kinds[c]}" for c in carry)]))
@@ -236,27 +281,54 @@ def count_others(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return patterns.join(counted, "pattern", "left").select("pattern", F.when(F.coalesce("over", F.lit(False)), None).otherwise(F.coalesce("c", F.lit(0))).alias("others"))
 
 
+def _reads(kind: str) -> Column:
+    """Whether ``bits`` has the class of the kind."""
+    return F.expr(f"(bits & shiftleft(1, element_at(array{CLASSES}, {kind} + 1))) <> 0")
+
+
 def score_patterns(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """edges: pattern, value, seed (kind or null), one row each. Returns the trusted patterns (pattern, kind,
-    confidence): LEAST_SEEDS believed values and BELIEVED of all its values and other words, SMOOTHING added."""
+    """edges: pattern, value, seed (kind or null), bits, fits, one row each. Returns the trusted patterns (pattern,
+    kind, confidence): LEAST_SEEDS believed values and BELIEVED of all its values and other words, SMOOTHING added.
+
+    Beliefs are whole hundredths and never fall, so the turns end: when one neither brings a new value nor
+    strengthens one."""
     spark = edges.sparkSession
     edges = settle(edges, "pii-graph")
     few = files_for(spark, edges.count())
-    per = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("seeds"), F.count("seed").cast("double").alias("sum"))
-    majority = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("c")).groupBy("pattern").agg(F.max_by("seed", F.struct("c", -F.col("seed"))).alias("kind"))
-    able = settle(per.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("sum") >= BELIEVED * (F.col("n") + SMOOTHING))), "pii-induced", few)
-    others = settle(count_others(docs, able.select("pattern", "n")), "pii-others", few)
-    scored = able.join(others.where("others is not null"), "pattern").withColumn("confidence", F.col("sum") / (F.col("n") + F.col("others") + SMOOTHING))
-    return settle(scored.where(F.col("confidence") >= BELIEVED).join(majority, "pattern").select("pattern", "kind", "confidence"), "pii-scores", few)
+    sizes = settle(edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.expr(f"(bits & {1 << c}) <> 0")).alias(f"n{c}") for c in range(3))), "pii-sizes", few)
+    believed = settle(edges.where("seed is not null").groupBy("value").agg(F.max("seed").alias("kind"), F.lit(100).alias("belief")), "pii-beliefs", few)
+    seeds, strength = believed.select("value"), 0
+    counted = spark.createDataFrame([], "pattern string, others long")
+    while True:
+        hits = edges.join(believed, "value").groupBy("pattern", "kind").agg(F.count("*").alias("c"), *(F.sum(F.expr(f"if((bits & {1 << c}) <> 0, belief, 0)")).alias(f"s{c}") for c in range(3)))
+        hits = hits.groupBy("pattern").agg(F.sum("c").alias("c"), F.max_by("kind", F.struct("c", -F.col("kind"))).alias("kind"), *(F.sum(f"s{c}").alias(f"s{c}") for c in range(3)))
+        of = [F.expr(f"element_at(array({x}0, {x}1, {x}2), 1 + element_at(array{CLASSES}, kind + 1))").alias(a) for x, a in (("n", "size"), ("s", "sum"))]
+        able = hits.where(F.col("c") >= LEAST_SEEDS).join(sizes, "pattern").select("pattern", "kind", "n", *of)
+        able = settle(able.where(F.col("sum") >= 100 * BELIEVED * (F.col("size") + SMOOTHING)), "pii-induced", few)
+        others = settle(count_others(docs, able.join(counted, "pattern", "left_anti").select("pattern", "n")), "pii-others", few)
+        counted = counted.unionByName(others)
+        scored = able.join(counted.where("others is not null"), "pattern").withColumn("confidence", F.col("sum") / 100 / (F.col("size") + F.col("others") + SMOOTHING))
+        trusted = settle(scored.where(F.col("confidence") >= BELIEVED).select("pattern", "kind", "confidence"), "pii-scores", few)
+        # patterns that share their nearest word speak once
+        told = edges.where("fits").join(trusted, "pattern").where(_reads("kind")).join(seeds, "value", "left_anti")
+        told = told.withColumn("near", F.expr("case left(pattern, 2) when '<2' then split_part(pattern, ' ', 3) when '>1' then pattern else split_part(pattern, ' ', 2) end"))
+        told = told.groupBy("value", "near").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
+        belief = F.floor(F.round(100 - 100 * F.exp(F.sum(F.log(1 - F.col("best.confidence")))), 4)).cast("int")
+        new = told.groupBy("value").agg((-F.max("best")["col2"]).cast("int").alias("kind"), belief.alias("belief"))
+        both = believed.unionByName(new).groupBy("value").agg(F.max_by("kind", F.struct("belief", -F.col("kind"))).alias("kind"), F.max("belief").alias("belief"))
+        believed = settle(both, "pii-beliefs", few)
+        was, strength = strength, believed.agg(F.coalesce(F.sum("belief"), F.lit(0))).first()[0]
+        if new.isEmpty() or strength == was:
+            return trusted
 
 
 def find_identifiers(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """row, doc_id, base and all spans (arrays of start, kind, end in order), and carried columns."""
     found = in_blocks(_scan(docs, carry), "pii-scan")
     slot = found.where("size(slots) > 0").select("row", F.explode("slots").alias("s")).select("row", "s.*")
-    slot = slot.select("row", F.explode("patterns").alias("pattern"), F.sha2(F.lower("value"), 256).alias("value"), "start", "end", "kind", "fits")
-    sure = score_patterns(slot.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), docs)
-    new = slot.where("fits").join(sure.withColumnRenamed("kind", "as_kind"), "pattern")
+    slot = slot.select("row", F.explode("patterns").alias("pattern"), F.sha2(F.lower("value"), 256).alias("value"), "start", "end", "kind", "bits", "fits")
+    sure = score_patterns(slot.groupBy("pattern", "value").agg(F.max("kind").alias("seed"), F.bit_or("bits").alias("bits"), F.max("fits").alias("fits")), docs)
+    new = slot.where("fits").join(sure.withColumnRenamed("kind", "as_kind"), "pattern").where(_reads("as_kind"))
     new = new.groupBy("row", "start", "end").agg(F.max_by("as_kind", F.struct("confidence", "pattern")).alias("kind")).groupBy(F.shiftright("row", BLOCK_BITS).alias("block"), "row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     # by block alone, as the scan is bucketed: what the few rows of a block gained comes as one array
     new = new.groupBy("block").agg(F.collect_list(F.struct("row", "more")).alias("gained"))

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from siltstone.llm.pii import base_spans, identifier_digest, luhn, redact
+from siltstone.llm.pii import base_spans, identifier_digest, luhn, redact, slots
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -73,3 +73,23 @@ def test_contexts_in_prose_find_unseen_identifiers(spark):
     got = {r.doc_id: r for r in identifier_digest(df).collect()}
     assert got[28].spans == "phone:15:26" and got[28].n_found == 1
     assert got[29].n_found == 0 and all(got[i].n_found == 0 and got[i].n_phone == (i < 8) for i in range(28))
+
+
+def test_discovered_values_induce_patterns(spark):
+    texts = [f"w{chr(97 + i)} phone: +1 (555) 555-{1000 + i} z{chr(97 + i)}" for i in range(12)]
+    shared = ["030 1234 5678", "(030) 123-4567", "555.0199x12", "040 7654 321", "0171-222 33 44"]
+    texts += [f"a{chr(97 + i)} phone: {v} b{chr(97 + i)}" for i, v in enumerate(shared)]
+    texts += [f"c{chr(97 + i)} fax: {v} d{chr(97 + i)}" for i, v in enumerate(shared)]
+    texts += ["lone fax: 089 4444 555 here", "lone nothing: 089 4444 556 here"]  # no seed stands behind 'fax:'
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in identifier_digest(df).collect()}
+    for i, v in enumerate(shared):
+        for at, lead in ((12 + i, "aa phone: "), (17 + i, "ca fax: ")):
+            assert got[at].spans == f"phone:{len(lead)}:{len(lead) + len(v)}", (v, got[at])
+    assert got[22].spans == "phone:10:22" and got[23].n_found == 0
+    assert all(got[i].n_found == 0 for i in range(12))
+
+
+def test_slots_take_linear_time():
+    for t in ("ab:" * 60_000, "ab:1" * 60_000, "1 " * 100_000, "(1) " * 60_000, "x" * 200_000 + "1", "1" * 200_000):
+        slots(t, base_spans(t))
