@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of 16 or more key characters with a digit among them. Features: length, character
+Candidates are runs of 16 or more key characters with a digit among them; a name and ``=`` that lead the run
+(``api_key=...``) are not part of the value, but a neighbouring word of it. Features: length, character
 transitions, how much of it dictionary words cover, character classes, path signs, and the neighbouring
 words. A random forest (MLlib) trained from labelled findings tells secrets from commit ids, checksums,
 numbers, paths and the like. Only DataFrame functions and MLlib run, all on the JVM.
@@ -26,6 +27,8 @@ LABELLED = 6000
 TREES, DEPTH, SEED = 24, 7, 17
 KEY = "A-Za-z0-9+/_=\\\\-"
 _HAS = f"(?<![{KEY}])(?=[A-Za-z+/_=\\\\-]*+[0-9])[{KEY}]{{16,}}"
+# what names the value in a run: all up to the last = that eight characters or more follow, with a digit
+_NAMED = "^.*=(?=[^=0-9]*[0-9])(?=[^=]{8,}=*$)"
 # Words that speak for and against a secret beside a value, and words that fill names.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "private", "access")
 PLAIN_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "guid", "id", "isbn", "version", "rev", "revision", "file", "path", "url", "http", "https", "see", "order", "card", "number", "phone", "page")
@@ -39,7 +42,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     t = t.select("doc_id", F.split("body", r"[\x20\x09-\x0D]+").alias("words"))
     near = "struct(i as word_at, w as word, coalesce(get(words, i - 2), '') as before2, coalesce(get(words, i - 1), '') as before, coalesce(get(words, i + 1), '') as after)"
     t = t.select("doc_id", F.explode(F.expr(f"filter(transform(words, (w, i) -> if(w rlike '{_HAS}', {near}, null)), x -> x is not null)")).alias("x")).select("doc_id", "x.*")
-    return t.select("doc_id", "word_at", F.posexplode(F.expr(f"regexp_extract_all(word, '({_HAS})', 1)")).alias("nth", "value"), "word", "before2", "before", "after")
+    return t.select("doc_id", "word_at", F.posexplode(F.expr(f"transform(regexp_extract_all(word, '({_HAS})', 1), x -> regexp_replace(x, '{_NAMED}', ''))")).alias("nth", "value"), "word", "before2", "before", "after")
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -71,28 +74,41 @@ def with_features(c: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, first: int = 0, n: int = LABELLED) -> DataFrame:
-    """Generated examples (half of them secrets), the same for the same ids."""
+    """Generated examples (half of them secrets), the same for the same ids. Neither a secret word nor an
+    assignment tells the label alone: secrets stand bare in prose, behind a word, or as ``name=value``, and what
+    is none stands behind secret words and in assignments too."""
     pick = lambda words, salt: f"element_at(array({', '.join(repr(w) for w in words)}), 1 + cast(pmod(xxhash64(id, {salt}), {len(words)}) as int))"
     hexes = "sha2(cast(id * 7919 + 13 as string), 256)"
     b64 = f"base64(unhex({hexes}))"
     num = "lpad(cast(pmod(xxhash64(id, 5), 10000000000000000) as string), 16, '4')"
+    letters = f"translate({hexes}, '0123456789', 'ghijklmnop')"
     prose = ("the", "of", "and", "was", "thing", "over", "le", "der", "los", "with", "from,", "et", "to")
-    positive = f"""case pmod(xxhash64(id, 1), 6)
+    positive = f"""case kind % 7
         when 0 then left({hexes}, 40) when 1 then left({hexes}, 32) when 2 then left(translate({b64}, '=', 'x'), 40)
-        when 3 then concat('AKIA', upper(left({hexes}, 16))) when 4 then concat('ghp_', left(translate({b64}, '+/=', 'abc'), 36)) else concat('sk-', left(translate({b64}, '+/=', 'xyz'), 32)) end"""
-    negative = f"""case pmod(xxhash64(id, 1), 8)
+        when 3 then concat('AKIA', upper(left({hexes}, 16))) when 4 then concat('ghp_', left(translate({b64}, '+/=', 'abc'), 36))
+        when 5 then concat('sk-', left(translate({b64}, '+/=', 'xyz'), 32)) else concat(left({letters}, 6), pmod(id, 97), substring({letters}, 9, 5 + pmod(id, 5)), pmod(id, 89)) end"""
+    negative = f"""case kind % 8
         when 0 then left({hexes}, 40) when 1 then {hexes} when 2 then {num}
         when 3 then regexp_replace(left({hexes}, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '$1-$2-$3-$4-')
         when 4 then concat({pick(NAME_WORDS, 2)}, '_', {pick(NAME_WORDS, 3)}, '_', {pick(NAME_WORDS, 4)}, '_v', pmod(id, 90))
         when 5 then concat({pick(NAME_WORDS, 2)}, '/', {pick(NAME_WORDS, 3)}, '/', {pick(NAME_WORDS, 4)}, '/', pmod(id, 999))
         when 6 then concat(repeat(cast(pmod(id, 10) as string), 16), pmod(id, 7)) else concat({pick(NAME_WORDS, 2)}, '-', {pick(NAME_WORDS, 3)}, '-', {pick(NAME_WORDS, 4)}, '-20', lpad(pmod(id, 30), 2, '0')) end"""
+    cased = "case pmod(xxhash64(id, 17), 6) when 0 then upper(value) when 1 then replace(initcap(translate(value, '_-', '  ')), ' ', '') else value end"
+    secret, plain, sign = pick(SECRET_WORDS, 6), pick(PLAIN_WORDS, 8), pick(("=", "=", ":"), 18)
     quote = "if(pmod(xxhash64(id, 9), 3) = 0, '', '\"')"
-    t = spark.range(first, first + n).selectExpr("id", "cast(pmod(id, 2) as double) as label", f"if(pmod(id, 2) = 1, {positive}, {negative}) as value")
+    t = spark.range(first, first + n).selectExpr("id", "cast(pmod(id, 2) as double) as label", "cast(pmod(xxhash64(id, 1), 56) as int) as kind", "cast(pmod(xxhash64(id, 15), 5) as int) as form")
+    t = t.selectExpr("*", f"if(label = 1, {positive}, {negative}) as value").withColumn("value", F.expr(f"if(label = 1, value, {cased})"))
+    # secrets, form 0 to 2: word and sign before; 3: name=value; 4: bare, of a shape that shows it, or else behind a word
+    # others, form 0 and 1: in prose or behind a plain word; 2 and 3: a secret word is near; 4: name=value
+    named = f"if(label = 0 and kind % 8 not in (4, 5, 7), {plain}, {secret})"
     return t.selectExpr(
         "label", "value",
-        f"if(label = 1, concat({quote}, value, {quote}), if(pmod(xxhash64(id, 10), 3) = 0, concat({quote}, value, {quote}), value)) as word",
-        f"if(label = 1, {pick(SECRET_WORDS, 6)}, {pick(prose, 6)}) as before2",
-        f"if(label = 1, {pick(('=', ':', '=', ':='), 7)}, if(pmod(xxhash64(id, 11), 2) = 0, concat({pick(PLAIN_WORDS, 8)}, {pick(('', ':', ''), 12)}), {pick(prose, 13)})) as before",
+        f"""case when form = if(label = 1, 3, 4) then concat({named}, {sign}, value) when label = 1 and form = 4 then value
+            when label = 1 then concat({quote}, value, {quote}) else if(pmod(xxhash64(id, 10), 3) = 0, concat({quote}, value, {quote}), value) end as word""",
+        f"if(if(label = 1, form < 3, form in (2, 3)), {secret}, {pick(prose, 6)}) as before2",
+        f"""case when form = if(label = 1, 3, 4) then {pick(prose, 13)}
+            when label = 1 and form < 3 then {pick(('=', ':', '=', ':='), 7)} when label = 1 then if(kind % 7 in (0, 1, 6), {secret}, {pick(prose, 13)})
+            when form in (2, 3) or pmod(xxhash64(id, 11), 2) = 0 then concat({plain}, {pick(('', ':', ''), 12)}) else {pick(prose, 13)} end as before""",
         f"{pick(prose, 14)} as after",
     )
 

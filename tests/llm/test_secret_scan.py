@@ -20,3 +20,19 @@ def test_findings(spark):
     assert not got[1, 0].is_secret and not got[2, 0].is_secret
     assert s.scan(df.limit(0)).count() == 0
     assert s.candidates(df.union(df)).count() == 2 * s.candidates(df).count()
+
+
+def test_unquoted_assignments_and_bare_tokens(spark):
+    hex40 = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    secrets = [f"then api_key={hex40} more", "set password=hunter2hunter2 now", f"export DB_SECRET={hex40}", "thing ghp_aB3dE6gH9jK2mN5pQ8sT1vW4yZ7cF0iL3oR6 over", f"then token {hex40} more"]
+    others = [f"then commit={hex40} more", "see key file data_model_train_v12 there", f"access commit {hex40} for it", "the api_key=example_data_value_v12 here"]
+    df = spark.createDataFrame(list(enumerate(secrets + others)), "doc_id long, text string")
+    got = {r.doc_id: r for r in s.scan(df).collect()}
+    assert [got[i].is_secret for i in range(len(got))] == [True] * len(secrets) + [False] * len(others)
+    assert got[0].n_chars == 40 and got[1].n_chars == 14 and got[2].value_sha256 == got[0].value_sha256
+
+
+def test_no_feature_tells_the_label_alone(spark):
+    rows = s.with_features(s.labelled_findings(spark))
+    seen = {(r.label, r.said_secret, r.assigned) for r in rows.select("label", "said_secret", "assigned").distinct().collect()}
+    assert seen == {(y, a, b) for y in (0.0, 1.0) for a in (0.0, 1.0) for b in (0.0, 1.0) if (y, a, b) != (1.0, 0.0, 1.0)}
