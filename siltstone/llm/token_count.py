@@ -12,6 +12,7 @@ not read, so their names cannot clash; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -26,6 +27,21 @@ from .common import text_or_empty
 CACHE_ENTRIES = 600_000
 #: White space never reaches the merges, so a pre-token is one of these runs.
 _RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\p{White_Space}\\p{L}\\p{N}]+"
+#: Letters and numbers of Unicode versions that the library does not know (first, last). It
+#: splits them off as signs.
+_LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF4), (0x16FF5, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_LATER_SET = "".join(f"{chr(a)}-{chr(b)}" for a, b in _LATER)
+_SIGNS = f"[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]|[{_LATER_SET}]"
+_RUNS_WITH_LATER = f"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![{_LATER_SET}])\\p{{L}})+|(?![{_LATER_SET}])\\p{{N}}|(?:{_SIGNS})+"
 _POS = 28
 
 
@@ -60,7 +76,7 @@ class PairMerger(dict):
         self.last = [vocab[c + end] for c in names]
         added = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.find = regex.compile(_RUNS).findall
+        self.find, self.find_with_later = regex.compile(_RUNS).findall, regex.compile(_RUNS_WITH_LATER).findall
 
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE_ENTRIES:
@@ -103,12 +119,39 @@ class PairMerger(dict):
         extra, segments = 0, (text,)
         if self.special is not None and (found := self.special.findall(text)):
             extra, segments = len(found), self.special.split(text)
-        return extra + sum(sum(map(self.__getitem__, self.find(_lower(unicodedata.normalize("NFC", s))))) for s in segments if s)
+        return extra + sum(sum(map(self.__getitem__, self.pre_tokens(_lower(_composed(s))))) for s in segments if s)
+
+    def pre_tokens(self, text: str) -> list[str]:
+        return (self.find if text.isascii() or not _HAS_LATER.search(text) else self.find_with_later)(text)
+
+
+#: Small forms that the library knows and Python's character tables of this version do not.
+_NEWER = {0xA7CB: 0x264, 0xA7DC: 0x19B, **{c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+_HAS_LATER = re.compile(f"[{_LATER_SET}]")
+_HAS_NEWER = re.compile("[" + "".join(map(chr, sorted(_NEWER))) + "]")
+_library_nfc = None
+
+
+def _composed(text: str) -> str:
+    """NFC as the library's: its tables order marks of later Unicode versions otherwise, so a text that is not
+    composed already goes through it."""
+    global _library_nfc
+    if text.isascii() or unicodedata.is_normalized("NFC", text):
+        return text
+    if _library_nfc is None:
+        from tokenizers.normalizers import NFC
+
+        _library_nfc = NFC()
+    return _library_nfc.normalize_str(text)
 
 
 def _lower(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    if _HAS_NEWER.search(text):
+        text = text.translate(_NEWER)
     # code point by code point: a word-final capital sigma becomes the ordinary small one
-    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
 
 
 _mergers: dict[str, PairMerger] = {}
