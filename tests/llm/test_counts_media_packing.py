@@ -8,7 +8,7 @@ import zlib
 import pytest
 
 from siltstone.llm.ogg_media import FRAME, META, SAMPLES, OggError, media_column, media_digest, page_checksum, payload_of, read_clip, read_streams, write_clip
-from siltstone.llm.packing import Level, Packer, encoder, pack
+from siltstone.llm.packing import LONG_RUN, Level, Packer, encoder, pack
 from siltstone.llm.queries import vocabulary
 from siltstone.llm.token_count import PairMerger, token_counts
 
@@ -37,6 +37,21 @@ def test_a_long_pre_token_takes_log_linear_time():
     assert m.count("ab" * 100_000) > 0
 
 
+def code_points():
+    return [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+def test_every_code_point_counts_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), PairMerger(vocabulary("word_bpe_49k.json"))
+    every = code_points()
+    texts = [" ".join(f"a{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}" for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    assert [own.count(t) for t in texts] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    marks = [f"e{chr(c)}\u0323\u0301" for c in every if c < 0x20000]
+    assert [own.count(t) for t in marks] == [len(e.ids) for e in lib.encode_batch(marks, add_special_tokens=False)]
+
+
 def slow_checksum(data):
     crc = 0
     for b in data:
@@ -88,7 +103,28 @@ def test_rank_file_gives_the_json_files_ids():
     lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     enc = encoder(vocabulary("byte_bpe_50k.tiktoken"), SPECIAL)
     for t in odd_texts():
-        assert lib.encode(t or "", add_special_tokens=False).ids == enc.encode(t or "", allowed_special="all")
+        assert lib.encode(t or "", add_special_tokens=False).ids == enc.ids(t or "")
+    every = code_points()
+    texts = ["".join(f"a{chr(c)}1{chr(c)}. {chr(c)}" for c in every[i : i + 32]) for i in range(0, len(every), 32)]
+    assert [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)] == [enc.ids(t) for t in texts]
+
+
+@pytest.mark.parametrize("white", [" ", "\n", "\t", "\u3000", " \n"])
+def test_long_white_space_gives_the_json_files_ids(white):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    enc = encoder(vocabulary("byte_bpe_50k.tiktoken"), SPECIAL)
+    for n in (LONG_RUN - 1, LONG_RUN, 2 * LONG_RUN):
+        w = (white * n)[:n]
+        for t in (w, "a" + w + "b", w + " c" + w + "<|endoftext|>" + w + "'s", "x " + w + "\n."):
+            assert lib.encode(t, add_special_tokens=False).ids == enc.ids(t)
+    assert len(enc.ids("a" + white * 2_000_000 + "b")) > 2
+
+
+@pytest.mark.parametrize("sign", ["a", "1", "#", "\x1c", "\U0001F600"])
+def test_long_runs_of_other_signs(sign):
+    assert len(encoder(vocabulary("byte_bpe_50k.tiktoken"), SPECIAL).ids(sign * 500_000)) > 0
 
 
 def test_level_choice_is_the_least_sum_of_squares():
@@ -122,7 +158,7 @@ def test_packing_keeps_every_id_once(spark):
         seqs.setdefault(r.sequence_id, []).append(r)
         assert r.length == len(r.ids) > 0 and r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids))
     for i, t in enumerate(texts):
-        want = enc.encode(t or "", allowed_special="all") + [0]
+        want = enc.ids(t or "") + [0]
         parts = sorted(docs[i], key=lambda r: r.start)
         assert [x for p in parts for x in p.ids] == want and all(p.doc_tokens == len(want) for p in parts)
         assert [p.start for p in parts] == [sum(q.length for q in parts[:k]) for k in range(len(parts))]
@@ -146,6 +182,29 @@ def test_full_windows_leave_the_packer_at_once():
     assert list(p.finish()) == []
 
 
+def test_the_end_of_a_stream_moves_only_what_fills_gaps():
+    import numpy as np
+
+    r = random.Random(3)
+    p = Packer(64)
+    sizes = [r.randint(1, 200) for _ in range(500)]
+    out = [x for i, n in enumerate(sizes) for x in p.add(i, np.arange(n))]
+    gaps = sum(64 - level for level in range(1, 64) for _ in p.levels.open[level])
+    kept = {which: [x[:2] for x in items] for which, items in p.held.items()}
+    ended = list(p.finish())
+    assert p.moved <= gaps and p.moved < p.placed / 8
+    seqs = {}
+    for x in out + ended:
+        seqs.setdefault(x[4], []).append(x)
+    assert all((n := sum(len(x[2]) for x in s)) == 64 or n & (n - 1) == 0 for s in seqs.values())
+    stay = [w for w in kept if w in seqs]
+    assert len(stay) >= len(kept) // 2 and all([x[:2] for x in seqs[w]][: len(kept[w])] == kept[w] for w in stay)
+    got = {}
+    for x in out + ended:
+        got.setdefault(x[0], []).append((x[1], len(x[2])))
+    assert all(sorted(got[i]) == [(a, b) for a, b in sorted(got[i])] and sum(b for _, b in got[i]) == n for i, n in enumerate(sizes))
+
+
 def test_vocabulary_files_agree():
     with open(vocabulary("byte_bpe_50k.tiktoken"), "rb") as f:
         assert sum(1 for line in f if base64.b64decode(line.split()[0])) == 50_256
