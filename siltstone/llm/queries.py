@@ -25,7 +25,7 @@ def _compacted(spark: SparkSession, sf_dir: str):
     table = ShardTable(spark, scratch(spark, "sharded"))
     table.append(documents(spark, sf_dir))
     table.compact()
-    table.vacuum()
+    table.vacuum(stale_s=0)  # no other writer knows this table
     return table
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from siltstone.llm.common import scratch
-from siltstone.llm.shards import Conflict, Shard, ShardTable
+from siltstone.llm.shards import Conflict, SchemaClash, Shard, ShardTable
 
 
 def rows(a, b):
@@ -44,3 +44,79 @@ def test_empty_arrival_and_repeated_rows(spark):
     assert t.read().count() == 0 and t.compact() == 1
     t.append(spark.createDataFrame(rows(1, 3) + rows(1, 3), SCHEMA))
     assert sorted(map(tuple, t.read().collect())) == sorted(rows(1, 3) * 2)
+
+
+def test_an_added_column_is_kept_through_a_merge(spark):
+    t = ShardTable(spark, scratch(spark, "shards"), target=1 << 20, small=1 << 10)
+    t.append(spark.createDataFrame([(i, "a") for i in range(8)], "doc_id long, text string").repartition(4))
+    t.append(spark.createDataFrame([(8, "b", 1.5)], "doc_id long, text string, weight double"))
+    t.append(spark.createDataFrame([(9, 2.5)], "doc_id long, weight double"))
+    want = [(i, "a", None) for i in range(8)] + [(8, "b", 1.5), (9, None, 2.5)]
+    assert sorted(map(tuple, t.read().collect())) == want and t.read(1).columns == ["doc_id", "text"]
+    t.compact()
+    t.vacuum()
+    assert len(t.manifest()[1]) < 4 and sorted(map(tuple, t.read().collect())) == want
+
+
+@pytest.mark.parametrize("schema", ["doc_id string, text string", "doc_id long, Text string"])
+def test_a_clashing_column_is_refused_before_anything_is_written(spark, schema):
+    t = ShardTable(spark, scratch(spark, "shards"))
+    t.append(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1))
+    with pytest.raises(SchemaClash):
+        t.append(spark.createDataFrame([], schema))
+    assert t.manifest()[0] == 1 and t.read().count() == 1 and t.vacuum() == 0
+
+
+def test_vacuum_spares_another_writers_arrival(spark):
+    root = scratch(spark, "shards")
+    a, b = ShardTable(spark, root), ShardTable(spark, root)
+    a.append(spark.createDataFrame(rows(0, 5), SCHEMA))
+    commit, removed = a._commit, []
+    a._commit = lambda *x: (removed.append(b.vacuum()), commit(*x))[1]
+    a.append(spark.createDataFrame(rows(5, 10), SCHEMA))
+    assert removed == [0] and b.read().count() == 10
+    folder = a._folder("arrival")  # a writer that dies now leaves its intent and files
+    spark.createDataFrame(rows(0, 1), SCHEMA).coalesce(1).write.parquet(f"{root}/{folder}")
+    assert b.vacuum() == 0 and b.vacuum(stale_s=0) == 1 and b.read().count() == 10
+
+
+def test_two_writers_commit_both(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = scratch(spark, "shards")
+    writers = [ShardTable(spark, root, target=1 << 20, small=1 << 10) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: writers[k].append(spark.createDataFrame(rows(10 * k, 10 * k + 10), SCHEMA)), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4] and writers[0].read().count() == 40
+    with ThreadPoolExecutor(4) as pool:
+        wins = list(pool.map(lambda w: _wins(w, 5), writers))
+    assert sum(wins) == 1
+
+
+def _wins(table, version):
+    try:
+        table._commit(version, *table.manifest()[1:])
+        return True
+    except Conflict:
+        return False
+
+
+def test_a_compaction_that_was_overtaken_plans_anew(spark):
+    root = scratch(spark, "shards")
+    a, b = (ShardTable(spark, root, target=1 << 20, small=1 << 10) for _ in range(2))
+    for k in range(5):
+        a.append(spark.createDataFrame(rows(10 * k, 10 * k + 10), SCHEMA).coalesce(1))
+    merge, once = a._merge, []
+
+    def overtaken(*x):
+        if not once:
+            once.append(b.compact())
+        return merge(*x)
+
+    a._merge = overtaken
+    a.compact()
+    assert sorted(r.doc_id for r in a.read().collect()) == list(range(50))
+    assert {s.path.split("/")[1] for s in a.manifest()[1]} >= {s.path.split("/")[1] for s in b.manifest()[1]}
+    live = {s.path for s in a.manifest()[1]}
+    a.vacuum()
+    assert {s.path for s in a.manifest()[1]} == live and a.read().count() == 50
