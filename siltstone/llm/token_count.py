@@ -81,6 +81,8 @@ class PairMerger(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
+        if not token.isascii() and _RARE.search(token):
+            raise _Rare  # never kept, so that each text with one comes here
         n = self.merge(token.encode("utf-8", "replace"))
         if len(token) <= 64:
             self[token] = n
@@ -119,16 +121,23 @@ class PairMerger(dict):
         extra, segments = 0, (text,)
         if self.special is not None and (found := self.special.findall(text)):
             extra, segments = len(found), self.special.split(text)
-        return extra + sum(sum(map(self.__getitem__, self.pre_tokens(_lower(_composed(s))))) for s in segments if s)
+        try:
+            return extra + sum(sum(map(self.__getitem__, self.find(_lower(_composed(s))))) for s in segments if s)
+        except _Rare:
+            return extra + sum(map(self.count_rare, (t for s in segments for t in self.find_with_later(_lower(_composed(s).translate(_NEWER))))))
 
-    def pre_tokens(self, text: str) -> list[str]:
-        return (self.find if text.isascii() or not _HAS_LATER.search(text) else self.find_with_later)(text)
+    def count_rare(self, token: str) -> int:
+        n = self.get(token)
+        return self.merge(token.encode("utf-8", "replace")) if n is None else n
+
+
+class _Rare(Exception):
+    """A text has characters that the library's tables have and Python's or regex's have not, or the other way round."""
 
 
 #: Small forms that the library knows and Python's character tables of this version do not.
 _NEWER = {0xA7CB: 0x264, 0xA7DC: 0x19B, **{c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
-_HAS_LATER = re.compile(f"[{_LATER_SET}]")
-_HAS_NEWER = re.compile("[" + "".join(map(chr, sorted(_NEWER))) + "]")
+_RARE = re.compile("[" + _LATER_SET + "".join(map(chr, sorted(_NEWER))) + "]")
 _library_nfc = None
 
 
@@ -146,10 +155,6 @@ def _composed(text: str) -> str:
 
 
 def _lower(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    if _HAS_NEWER.search(text):
-        text = text.translate(_NEWER)
     # code point by code point: a word-final capital sigma becomes the ordinary small one
     return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
 
