@@ -27,7 +27,16 @@ def any_in(c: Column | str, words: Iterable[str]) -> Column:
     return _col(c).rlike("|".join(r"\Q" + w + r"\E" for w in words))
 
 
+#: ASCII capitals and their small forms: what counts as one letter is decided before lower-casing.
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def tokens(c: Column | str) -> Column:  # F01
+    return F.regexp_extract_all(F.translate(_col(c), _CAPITALS, _SMALL), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def lowered_tokens(c: Column | str) -> Column:
+    """Tokens of the lower-cased text, in which other signs may have become letters of ASCII."""
     return F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9]+"), F.lit(0))
 
 

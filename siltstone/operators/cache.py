@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import fixed
 from ..functions.numeric import dot, unit
 from ..functions.text import any_in
 from . import relational
+from .retrieval import question_blocks
 
 TTL_SECONDS, SIMILAR = 3600, 0.92
 UNCACHED_ROUTES = ("contradiction", "graph", "multi_hop")
@@ -27,12 +30,20 @@ def exact(cache: DataFrame, probes: DataFrame, key: str = "key") -> DataFrame:
 
 def similar(cache: DataFrame, probes: DataFrame, threshold: float = SIMILAR, digits: int = 6) -> DataFrame:  # C02, C03
     """probe_id, entry_id, similarity: each probe's most similar entry of the same scope, from ``threshold`` on.
-    cache: entry_id, source_filter, embedding; probes: probe_id, source_filter, embedding. An equi-join on
-    the scope; the best is kept by an aggregation, so only one candidate per probe and task travels."""
-    entries = cache.select("entry_id", "source_filter", unit(F.col("embedding")).alias("_e"))
-    pairs = probes.select("probe_id", "source_filter", unit(F.col("embedding")).alias("_p")).join(entries, "source_filter")
-    scored = pairs.withColumn("similarity", F.round(dot(F.col("_p"), F.col("_e")), digits)).where((F.col("similarity") >= threshold) & (F.col("similarity") > 0))
-    return scored.groupBy("probe_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("o"))).alias("b")).select("probe_id", (-F.col("b.o")).alias("entry_id"), F.col("b.similarity").alias("similarity"))
+    cache: entry_id, source_filter, embedding; probes: probe_id, source_filter, embedding. A null scope is a scope of
+    its own. Probes are broadcast a block at a time and entries stay where they are, so a scope that holds most
+    entries is no hot key; the best is kept by an aggregation, so one candidate per probe and task travels."""
+    scope = F.coalesce(F.col("source_filter").cast("string"), F.lit("")).alias("_scope")
+    entries = cache.select("entry_id", scope, unit(F.col("embedding")).alias("_e"))
+    asked = probes.select("probe_id", scope, unit(F.col("embedding")).alias("_p"))
+    found = []
+    for block in question_blocks(asked, "probe_id"):
+        scored = entries.join(F.broadcast(block), "_scope").withColumn("similarity", F.round(dot(F.col("_p"), F.col("_e")), digits))
+        best = scored.where((F.col("similarity") >= threshold) & (F.col("similarity") > 0)).groupBy("probe_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("o"))).alias("b"))
+        found.append(best.select("probe_id", (-F.col("b.o")).alias("entry_id"), F.col("b.similarity").alias("similarity")))
+    if not found:
+        return entries.crossJoin(asked.select("probe_id")).select("probe_id", "entry_id", F.lit(0.0).alias("similarity")).limit(0)
+    return reduce(DataFrame.unionByName, found)
 
 
 def is_time_sensitive(question: Column) -> Column:  # C05

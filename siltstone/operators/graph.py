@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..sources.workspace import settled
 from . import relational
 
 NODES = ("Company", "Filing", "Section", "Subsidiary", "BoardMember", "Patent", "TechnologyDomain")
@@ -64,14 +65,21 @@ def on_topic(question: Column) -> Column:  # G08
     return text.any_in(F.lower(question), fixed.MARKERS["graph"])
 
 
-def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:  # G09
-    """Paths (arrays of node ids) that return to their start, each from its smallest node, found by joining a
-    frontier of simple paths with the edges. edges: src, dst."""
-    edges = edges.select("src", "dst").distinct()
-    found = edges.where("src = dst").select(F.array("src").alias("path"))
-    front = edges.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    for _ in range(longest - 1):
-        step = front.join(edges, front["at"] == edges["src"])
+def cycles(edges: DataFrame) -> DataFrame:  # G09
+    """Paths (arrays of node ids) of every ring, each from its smallest node. edges: src, dst.
+
+    Edges that lie on no ring go first, until none is left to go (a tree ends here); what remains is walked by joining
+    a frontier of simple paths with the edges, for as long as there is a frontier: rings of any length are found."""
+    core = settled(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "ring-edges")
+    found = core.where("src = dst").select(F.array("src").alias("path"))
+    core, n = core.where("src <> dst"), -1
+    while (left := core.count()) != n:
+        n = left
+        heads, tails = core.select(F.col("src").alias("dst")).distinct(), core.select(F.col("dst").alias("src")).distinct()
+        core = settled(core.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"), "ring-edges")
+    front = core.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
+    while not front.isEmpty():
+        step = settled(front.join(core, front["at"] == core["src"]).where("dst >= start").select("start", "path", "dst"), "ring-paths")
         found = found.unionByName(step.where("dst = start").select("path"))
         front = step.where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
     return found.distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import blended, cosine, dot, unit
 from ..functions.text import tokens
+from ..sources.workspace import settled
 from . import relational
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -59,12 +60,28 @@ def dense(vectors: DataFrame, query: Column, k: int, key: str, spec: Mapping | N
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))
 
 
+#: Questions whose vectors are broadcast at a time: 1024 vectors of 1536 doubles are 12 MB.
+QUESTION_BLOCK = 1024
+
+
+def question_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+    """``queries`` in blocks of QUESTION_BLOCK rows, numbered once in the shared folder; each may be broadcast."""
+    w = Window.orderBy(key)  # of the keys alone
+    numbered = settled(queries.join(queries.select(key).distinct().withColumn("_n", F.row_number().over(w) - 1), key), "questions")
+    n = numbered.agg(F.coalesce(F.max("_n") + 1, F.lit(0))).first()[0]
+    return [numbered.where((F.col("_n") >= a) & (F.col("_n") < a + QUESTION_BLOCK)).drop("_n") for a in range(0, n, QUESTION_BLOCK)]
+
+
 def dense_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, digits: int = 6) -> DataFrame:  # J12
-    """Top k for each query (qid, query), of which there are few: a stated set of questions is broadcast."""
+    """Exact top k for each query (qid, query): a block of queries at a time is broadcast to a scan of all vectors, whose
+    group limit keeps k rows per query and task, so vectors never travel."""
     asked = queries.select("qid", unit(F.col("query")).alias("query"))
     each = vectors.select(key, unit(F.col("embedding")).alias("_unit"))
-    pairs = each.crossJoin(F.broadcast(asked)).withColumn("score", F.round(dot(F.col("_unit"), F.col("query")), digits))
-    return relational.top_per(pairs.select("qid", key, "score"), ["qid"], [F.desc("score"), F.col(key)], k)
+    best = [each.crossJoin(F.broadcast(block)).select("qid", key, F.round(dot(F.col("_unit"), F.col("query")), digits).alias("score")) for block in question_blocks(asked, "qid")]
+    if not best:
+        best = [each.crossJoin(asked).select("qid", key, F.lit(0.0).alias("score")).limit(0)]
+    order = [F.desc("score"), F.col(key)]
+    return reduce(DataFrame.unionByName, (relational.top_per(b, ["qid"], order, k) for b in best))
 
 
 def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", digits: int = 6) -> DataFrame:  # R02, A16
@@ -104,16 +121,17 @@ def hybrid(candidates: DataFrame, terms: DataFrame, key: str, k: int, text: str
     return relational.top_per(fused, ["qid"], [F.desc("rrf"), F.col("dense_rank")], k, "final_rank")
 
 
-def expand(hits: DataFrame, edges: DataFrame, nodes: DataFrame, levels: int = 3, cap: int | None = None) -> DataFrame:  # R05, J11
+def expand(hits: DataFrame, edges: DataFrame, nodes: DataFrame, cap: int | None = None) -> DataFrame:  # R05, J11
     """Leaves under the summaries among ``hits`` (id, score, node_type), with the summary's score and the
     immediate parent; direct leaves come as they are. edges: parent_id, child_id, pos; nodes: id, node_type.
-    A path never returns to a node it has passed. Bounded by the tree's height, so the plan is fixed."""
+    A path never returns to a node it has passed, and goes on until it meets no summary, however deep the tree."""
     out = hits.where("node_type = 'leaf'").select("id", "score", F.lit(None).cast("string").alias("via"))
     front = hits.where("node_type = 'summary'").select("id", "score", F.array("id").alias("path"))
     links = edges if cap is None else relational.top_per(edges, ["parent_id"], [F.col("pos"), F.col("child_id")], cap, "_n").drop("_n")
-    for _ in range(levels):
+    while not front.isEmpty():
         step = front.join(links, front["id"] == links["parent_id"]).select(F.col("child_id"), "score", F.col("parent_id").alias("via"), "path")
         step = step.where(~F.array_contains("path", F.col("child_id"))).join(nodes.select(F.col("id").alias("child_id"), "node_type"), "child_id")
+        step = settled(step, "expanded")
         out = out.unionByName(step.where("node_type = 'leaf'").select(F.col("child_id").alias("id"), "score", "via"))
         front = step.where("node_type = 'summary'").select(F.col("child_id").alias("id"), "score", F.concat("path", F.array("child_id")).alias("path"))
     return out

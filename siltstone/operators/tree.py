@@ -7,30 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LEVELS, LEAST_NODES, TEXTS_PER_SUMMARY = 3, 4, 10
+from ..sources.workspace import settled
+from .relational import top_per
 
+MAX_LEVELS, LEAST_NODES, TEXTS_PER_SUMMARY, COMPONENTS = 3, 4, 10, 10
 
-def cluster(nodes: DataFrame, seed: int = 42) -> DataFrame:  # A18, T01
-    """Adds ``cluster`` to nodes (id, embedding): a Gaussian mixture of half as many parts as nodes.
-    Memberships depend on the library; what is checked is the tree's structure."""
+
+def cluster(nodes: DataFrame, seed: int = 42, components: int = COMPONENTS, turns: int = 100) -> DataFrame:  # A18, T01
+    """Adds ``cluster`` to nodes (id, embedding): a Gaussian mixture of ``components`` parts, of half as many as nodes if
+    those are fewer. Memberships depend on the library; what is checked is the tree's structure."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.functions import array_to_vector
 
-    n = nodes.count()
-    k = min(n, max(1, n // 2), 32)
-    points = nodes.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    k = min(components, max(1, nodes.count() // 2))
     if k < 2:
         return nodes.withColumn("cluster", F.lit(0))
-    return GaussianMixture(k=k, seed=seed, maxIter=5).fit(points).transform(points).select(*nodes.columns, F.col("prediction").alias("cluster"))
+    points = nodes.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    return GaussianMixture(k=k, seed=seed, maxIter=turns).fit(points).transform(points).select(*nodes.columns, F.col("prediction").alias("cluster"))
 
 
 def summaries(clustered: DataFrame, level: int, summarize: Callable) -> DataFrame:
-    """One summary per cluster: id (hash of its children), child_ids in order, text of at most ten children.
-    The children's texts are cut to ten within the aggregation's result, one row per cluster."""
-    kids = clustered.groupBy("source_doc_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("kids"))
-    ids = F.transform("kids", lambda x: x["id"])
-    texts = F.transform(F.slice("kids", 1, TEXTS_PER_SUMMARY), lambda x: x["text"])
-    return kids.select(F.sha2(F.concat_ws("|", F.lit(str(level)), F.array_join(ids, ",")), 256).alias("id"), summarize(texts).alias("text"), F.lit(level).alias("level"), F.lit("summary").alias("node_type"), ids.alias("child_ids"), "source_doc_id")
+    """One summary per cluster: id (hash of its children), child_ids in order, text of its first ten children. Only
+    those ten texts travel; of the others the id does, which the result lists."""
+    key = ["source_doc_id", "cluster"]
+    ids = clustered.groupBy(*key).agg(F.array_sort(F.collect_list("id")).alias("child_ids"))
+    first = top_per(clustered.select(*key, "id", "text"), key, [F.col("id")], TEXTS_PER_SUMMARY)
+    texts = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]).alias("texts"))
+    both = ids.withColumnRenamed("source_doc_id", "_s").join(texts, (F.col("_s").eqNullSafe(F.col("source_doc_id"))) & (ids["cluster"] == texts["cluster"]))
+    return both.select(F.sha2(F.concat_ws("|", F.lit(str(level)), F.array_join("child_ids", ",")), 256).alias("id"), summarize(F.col("texts")).alias("text"), F.lit(level).alias("level"), F.lit("summary").alias("node_type"), "child_ids", "source_doc_id")
 
 
 def build(leaves: DataFrame, embed: Callable[[DataFrame], DataFrame], summarize: Callable, levels: int = MAX_LEVELS, clusterer: Callable = cluster) -> DataFrame:  # T02
@@ -43,7 +47,7 @@ def build(leaves: DataFrame, embed: Callable[[DataFrame], DataFrame], summarize:
         if current.count() < LEAST_NODES:
             break
         new = summaries(clusterer(embed(current.select("id", "text", "source_doc_id"))), level, summarize)
-        new = new.select("id", "text", "level", "node_type", "child_ids", "source_doc_id")
+        new = settled(new.select("id", "text", "level", "node_type", "child_ids", "source_doc_id"), "tree-level")
         every, current = every.unionByName(new), new
     parents = every.where("child_ids is not null").select(F.col("id").alias("parent_id"), F.explode("child_ids").alias("id"))
     return every.join(parents, "id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import any_in, clean_question, tokens
+from ..functions.text import any_in, clean_question, lowered_tokens
 from ..operators.graph import on_topic
 from ..operators.relational import keep_first
 
@@ -42,7 +42,7 @@ def parts(question: Column) -> Column:
 
 
 def meaning(text: Column) -> Column:
-    return F.array_except(F.array_distinct(tokens(text)), F.array(*map(F.lit, fixed.STOPWORDS)))
+    return F.array_except(F.array_distinct(lowered_tokens(text)), F.array(*map(F.lit, fixed.STOPWORDS)))
 
 
 def overlap(a: Column, b: Column) -> Column:  # U02
@@ -86,6 +86,18 @@ def too_similar(subs: DataFrame, key: str = "qid") -> DataFrame:  # J13
     return a.join(b, key).where("i < j").where(overlap(F.col("a"), F.col("b")) >= SAME)
 
 
+def planned(df: DataFrame, model: DataFrame, key: str = "qid", question: str = "question") -> DataFrame:  # Q04, LM06
+    """As ``subquestions``, but from a model's plans (qid, pos, subquestion, route or null) where they hold: the question
+    decomposes, two parts or more are left when repeated ones went, and no two of them say the same."""
+    told = model.select(key, "pos", clean_question(F.col("subquestion")).alias("subquestion"), "route").where("subquestion <> ''")
+    told = keep_first(told.withColumn("_low", F.lower("subquestion")), [key, "_low"], ["pos"]).drop("_low")
+    whole = df.where(decomposes(F.col(question))).select(key)
+    several = told.groupBy(key).agg(F.count("*").alias("_n")).where("_n >= 2").select(key)
+    good = several.join(whole, key, "left_semi").join(too_similar(told, key).select(key).distinct(), key, "left_anti")
+    ours = told.join(good, key, "left_semi").select(key, F.col("pos").cast("long").alias("pos"), "subquestion", F.coalesce("route", route_hint(F.col("subquestion"))).alias("route"), F.lit("multi").alias("plan"))
+    return ours.unionByName(subquestions(df.join(good, key, "left_anti"), key, question))
+
+
 def route(question: Column, forced: Column, evaluating: Column, model: Column) -> Column:  # Q05
     return F.when(evaluating, "filings").when(on_topic(question), "graph").when(forced.isNotNull(), forced).otherwise(F.coalesce(model, route_hint(question)))
 

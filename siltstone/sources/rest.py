@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import time
+import zipfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import SparkSession
@@ -56,14 +59,62 @@ def register(spark: SparkSession, source: type[DataSource]) -> None:
     spark.dataSource.register(source)
 
 
-def settings(path: str) -> dict[str, str]:  # S19
-    """``key: value`` lines of a settings file; empty if it cannot be read."""
-    out: dict[str, str] = {}
+def settings(path: str) -> dict:  # S19
+    """The mappings of a settings file, nested by indentation; ``- value`` lines make lists. Values are text. Empty if
+    the file cannot be read."""
     if not os.path.isfile(path):
-        return out
+        return {}
     with open(path, encoding="utf-8") as f:
-        for line in f:
-            key, sep, value = line.split("#", 1)[0].partition(":")
-            if sep and key.strip():
-                out[key.strip()] = value.strip().strip("\"'")
-    return out
+        bare = [re.sub(r"(^|\s)#.*", "", line.rstrip("\n")) for line in f]
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in bare if x.strip()]
+    plain = lambda v: v.strip().strip("\"'")
+
+    def block(i: int, indent: int) -> tuple[dict | list, int]:
+        """What stands at this indentation from line i on, and the line after it."""
+        if lines[i][1].startswith("- "):
+            items = []
+            while i < len(lines) and lines[i][0] == indent and lines[i][1].startswith("- "):
+                items.append(plain(lines[i][1][2:]))
+                i += 1
+            return items, i
+        out: dict = {}
+        while i < len(lines) and lines[i][0] == indent and not lines[i][1].startswith("- "):
+            key, sep, value = lines[i][1].partition(":")
+            i += 1
+            if not sep:
+                continue
+            nested = i < len(lines) and not value.strip() and (lines[i][0] > indent or (lines[i][0] == indent and lines[i][1].startswith("- ")))
+            if nested:
+                out[key.strip()], i = block(i, lines[i][0])
+            else:
+                out[key.strip()] = plain(value) if value.strip() else None
+        return out, i
+
+    top: dict = {}
+    i = 0
+    while i < len(lines):
+        got, i = block(i, lines[i][0])
+        top |= got if isinstance(got, dict) else {}
+    return top
+
+
+def fetch_archive(url: str, folder: str, fetch: Callable[[str], bytes], members: tuple[str, ...] = (), tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> list[str]:  # S04, V05
+    """The files of a ZIP archive that ``fetch`` gets, extracted below ``folder``: tried three times with waits of 1, 2, ...
+    seconds. Members that must be there are checked, and none may lead out of the folder, before anything is written."""
+    for n in range(tries):
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(fetch(url)))
+            break
+        except (OSError, zipfile.BadZipFile):
+            if n == tries - 1:
+                raise
+            sleep(2.0**n)
+    names = [i.filename for i in archive.infolist() if not i.is_dir()]
+    missing = [m for m in members if m not in names]
+    if missing:
+        raise FileNotFoundError(", ".join(missing))
+    root = os.path.realpath(folder)
+    if any(os.path.commonpath([root, os.path.realpath(os.path.join(root, n))]) != root for n in names):
+        raise ValueError("a member leads out of the folder")
+    archive.extractall(root)
+    return [os.path.join(root, n) for n in names]

@@ -83,3 +83,37 @@ def test_judges(spark):
     items = spark.createDataFrame([(1, "a", "b"), (2, "a", None), (3, "x", "y")], "id int, answer string, expected string")
     got = evaluation.judged(items, lambda pairs: [{"completeness": 0.5, "contradiction_rate": 2} if a == "a" else {} for a, _ in pairs])
     assert {(r.id, r.metric): r.value for r in got.collect()} == {(1, "completeness"): 0.5, (1, "contradiction_rate"): 1.0, (2, "completeness"): 1.0, (2, "contradiction_rate"): 1.0, (3, "completeness"): 0.0, (3, "contradiction_rate"): 0.0}
+
+
+def test_nested_settings(tmp_path):
+    (tmp_path / "n.yaml").write_text("top: 1\nchunking:\n  size: 450  # words\n  overlap: 80\nmodels:\n  embed:\n    name: 'x: y'\n  list:\n    - a\n    - b\nlast: z\nitems:\n- p\n- q\nempty:\n")
+    assert rest.settings(str(tmp_path / "n.yaml")) == {"top": "1", "chunking": {"size": "450", "overlap": "80"}, "models": {"embed": {"name": "x: y"}, "list": ["a", "b"]}, "last": "z", "items": ["p", "q"], "empty": None}
+
+
+def test_archive_is_fetched_again_and_checked(tmp_path):
+    import io
+    import zipfile
+
+    def zipped(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, t in files.items():
+                z.writestr(n, t)
+        return out.getvalue()
+
+    calls, waits = [], []
+
+    def fetch(url):
+        calls.append(url)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return zipped(**{"sub.txt": "a", "num.txt": "b"})
+
+    got = rest.fetch_archive("u", str(tmp_path / "z"), fetch, ("sub.txt", "num.txt"), sleep=waits.append)
+    assert len(got) == 2 and waits == [1.0, 2.0] and (tmp_path / "z" / "sub.txt").read_text() == "a"
+    with pytest.raises(FileNotFoundError):
+        rest.fetch_archive("u", str(tmp_path / "y"), lambda u: zipped(a="x"), ("sub.txt",))
+    with pytest.raises(ValueError):
+        rest.fetch_archive("u", str(tmp_path / "y"), lambda u: zipped(**{"../out": "x"}))
+    with pytest.raises(OSError):
+        rest.fetch_archive("u", str(tmp_path / "y"), lambda u: (_ for _ in ()).throw(OSError()), sleep=lambda s: None)

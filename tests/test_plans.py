@@ -43,3 +43,39 @@ def test_shuffles(spark, name, most):
 def test_top_k_is_cut_before_it_is_merged(spark):
     assert "TakeOrderedAndProject" in plan(catalog.dense_topk(spark, DATA))
     assert "WindowGroupLimit" in plan(catalog.top_per_group(spark, DATA))
+
+
+def test_graph_questions(spark):
+    from siltstone.plans import nlgraph
+
+    nodes = {"Company": spark.createDataFrame([("c1", "AAPL", "Apple Inc."), ("c2", "MSFT", "X")], "id string, ticker string, name string"), "Subsidiary": spark.createDataFrame([(f"s{i}", f"Sub {i}") for i in range(30)], "id string, name string")}
+    edges = {"HAS_SUBSIDIARY": ("Company", "Subsidiary", spark.createDataFrame([("c1", f"s{i}", 2020 + i % 5) for i in range(20)] + [("c2", f"s{i}", 2024) for i in range(20, 25)], "src string, dst string, year int"))}
+    asked = []
+
+    def model(said):
+        asked.append(said)
+        return "```cypher\nMATCH (c:Company {ticker: 'AAPL'})-[r:HAS_SUBSIDIARY]->(s:Subsidiary) WHERE r.year = 2024 AND s.name CONTAINS 'Sub' RETURN DISTINCT c.name AS company, s.name AS subsidiary, r.year AS year ORDER BY subsidiary\n```"
+
+    _, got = nlgraph.ask("Which subsidiaries?", nodes, edges, model, ticker="aapl")
+    assert [r.subsidiary for r in got.collect()] == ["Sub 14", "Sub 19", "Sub 4", "Sub 9"] and "Ticker: AAPL" in asked[0] and "HAS_SUBSIDIARY {year}" in asked[0]
+    assert nlgraph.run("MATCH (s:Subsidiary) RETURN s.name", nodes, edges).count() == 10
+    assert nlgraph.run("MATCH (s:Subsidiary)<-[:HAS_SUBSIDIARY]-(c:Company) RETURN s.name LIMIT 3", nodes, edges).count() == 3
+    o = nlgraph.run("MATCH (c:Company {ticker: 'MSFT'}) OPTIONAL MATCH (c:Company)-[r:HAS_SUBSIDIARY {year: 2020}]->(s:Subsidiary) RETURN c.ticker AS t, s.name AS n", nodes, edges)
+    assert [tuple(r) for r in o.collect()] == [("MSFT", None)]
+    for bad in ("MATCH (c:Company) DELETE c", "MATCH (c:Company) RETURN c.id; MATCH (c:Company) RETURN c.id", "RETURN 1"):
+        with pytest.raises(nlgraph.NotReadOnly):
+            nlgraph.run(bad, nodes, edges)
+    with pytest.raises(nlgraph.BadPattern):
+        nlgraph.run("MATCH (p:Person) RETURN p.id", nodes, edges)
+
+
+def test_a_models_plan_holds_unless_its_parts_say_the_same(spark):
+    from siltstone.plans import planner
+
+    q = spark.createDataFrame([(1, "Compare what management said on the earnings call vs the 10-K filing on revenue?"), (2, "Compare guidance on the earnings call vs the 10-K?"), (3, "What is revenue?")], "qid long, question string")
+    m = spark.createDataFrame([(1, 0, "What did the CEO say about revenue?", "transcripts"), (1, 1, "What does the 10-K disclose on risk?", None), (2, 0, "What was the guidance given", "transcripts"), (2, 1, "What guidance was given", "filings"), (3, 0, "Revenue this year", "sql"), (3, 1, "Risk", "filings")], "qid long, pos long, subquestion string, route string")
+    got = {}
+    for r in planner.planned(q, m).collect():
+        got.setdefault(r.qid, []).append((r.pos, r.subquestion, r.route, r.plan))
+    assert sorted(got[1]) == [(0, "What did the CEO say about revenue", "transcripts", "multi"), (1, "What does the 10-K disclose on risk", "filings", "multi")]
+    assert all(s not in ("What was the guidance given", "What guidance was given") for _, s, _, _ in got[2]) and got[3] == [(0, "What is revenue?", "sql", "single")]

@@ -99,7 +99,11 @@ def test_sinks(spark, tmp_path):
         sinks.publish({"parent": df, "kids": kids}, root, [("kids", "ref", "parent", "id")])
     sinks.publish({"parent": df, "kids": kids.where("ref = 1")}, root, [("kids", "ref", "parent", "id")])
     sinks.publish({"parent": df.limit(1), "kids": kids.where("ref = 1")}, root)
-    assert spark.read.parquet(root + "/parent").count() == 1 and spark.read.parquet(root + "/kids").count() == 1
+    assert sinks.read_published(spark, root, "parent").count() == 1 and sinks.read_published(spark, root, "kids").count() == 1
+    assert sinks.publish({"parent": df}, root) == 3 and sinks.read_published(spark, root, "kids").count() == 1
+    for _ in range(3):
+        sinks.publish({"kids": kids}, root)
+    assert sinks.read_published(spark, root, "parent").count() == 2 and sinks.read_published(spark, root, "kids").count() == 2
     v = spark.createDataFrame([("n", "1", "x", 1), ("n", "1", "y", 2)], "namespace string, id string, v string, seq int")
     assert [r.v for r in sinks.upsert_vectors(v.where("seq = 1"), v, "seq").collect()] == ["y"]
     sinks.json_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "j"))
@@ -157,3 +161,22 @@ def test_engine_end_to_end(spark):
     edges = spark.createDataFrame([("s", "f1", 0)], "parent_id string, child_id string, pos int")
     assert e.raptor_retrieve("services revenue", edges).count() == 3
     assert relational.missing_columns(v, ["id", "nope"]) == ["nope"]
+
+
+def test_publish_loses_nothing_when_the_last_step_fails(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root, df = str(tmp_path / "pub"), spark.createDataFrame([(1, "a")], "id int, v string")
+    sinks.publish({"a": df, "b": df}, root)
+
+    def fails(*_):
+        raise OSError("no link")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "place_once", fails)
+        with pytest.raises(OSError):
+            sinks.publish({"a": df.limit(0)}, root)
+    assert sinks.read_published(spark, root, "a").count() == 1 and sinks.read_published(spark, root, "b").count() == 1
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(lambda k: sinks.publish({f"t{k}": df}, root, keep=9), range(3)))
+    assert sorted(versions) == [2, 3, 4] and set(sinks.published(spark, root)) == {"a", "b", "t0", "t1", "t2"}
