@@ -18,6 +18,15 @@ def mrr(ranked: DataFrame, query: str = "qid") -> DataFrame:  # E01
     return ranked.groupBy(query).agg(F.round(F.coalesce(1.0 / first, F.lit(0.0)), 6).alias("mrr"))
 
 
+def mrr_of_order(judged: DataFrame, order: list[Column], query: str = "qid") -> DataFrame:  # E01
+    """As ``mrr``, from judged results (qid, relevant) and the order that ranks them: the first relevant one's place is
+    the number of results before it, so nothing is sorted and a query with many results is no hot task."""
+    first = judged.where("relevant").groupBy(query).agg(F.min(F.struct(*order)).alias("_first"))
+    at = judged.select(query, F.struct(*order).alias("_key")).join(first, query, "left")
+    before = F.count_if(F.col("_key") < F.col("_first"))
+    return at.groupBy(query).agg(F.round(F.coalesce(F.when(F.max("_first").isNotNull(), 1.0 / (before + 1)), F.lit(0.0)), 6).alias("mrr"))
+
+
 def ndcg(ranked: DataFrame, k: int = 5, query: str = "qid") -> DataFrame:  # E02
     """Binary NDCG at k; the ideal is the same relevance sorted. One result: its relevance."""
     rel = F.col("relevant").cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import replace_by
+from ..sources.workspace import settled
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:  # J04, P01
@@ -103,6 +104,18 @@ def top_per(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """The place of every row in one total order, without a window over the whole table: rows are dealt out by range
+    and sorted where they are; what a partition adds is the number of rows in those before it."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    fixed = settled(dealt, "ranked").withColumn("_part", F.shiftright("_at", 33))
+    sizes = fixed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return fixed.join(F.broadcast(offsets), "_part").withColumn(name, place.cast("long")).drop("_at", "_part", "_before")
+
+
 def islands(df: DataFrame, group: Sequence[str], order: str, starts: Column, name: str = "island") -> DataFrame:  # W04
     """Numbers runs of rows: each row for which ``starts`` holds begins the next run."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

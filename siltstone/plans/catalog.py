@@ -67,22 +67,30 @@ def dense_topk_filtered(spark, sf_dir):
     return _dense(table(spark, sf_dir, "embeddings"), 10, {"$and": [{"label": {"$eq": 3}}, {"vec_id": {"$gte": 0}}]})
 
 
-@query(f"SELECT * FROM (SELECT e.vec_id, e.label, {_COSINE} AS score, row_number() OVER (ORDER BY {_COSINE} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 10) WHERE label = 3")
+_DATED = "CASE WHEN vec_id % 7 <> 3 THEN (DATE '2024-01-01' + (vec_id % 365)::INTEGER)::VARCHAR END"
+
+
+@query(f"""SELECT vec_id, score, rank, {_DATED} AS date FROM (SELECT e.vec_id, {_COSINE} AS score, row_number() OVER (ORDER BY {_COSINE} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 50)
+WHERE coalesce({_DATED}, '') <= '2024-06-30' AND (vec_id % 2 = 0 OR coalesce({_DATED}, '') >= '2024-02-01')""")
 def dense_topk_postfilter(spark, sf_dir):
-    return _dense(table(spark, sf_dir, "embeddings"), 10).where("label = 3")
+    """A range of dates after top k: a missing date passes an upper bound and fails a lower one."""
+    day = F.when(F.col("vec_id") % 7 != 3, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") % 365).cast("int")).cast("string"))
+    t = _dense(table(spark, sf_dir, "embeddings"), 50).select("vec_id", "score", "rank", day.alias("date"))
+    d = F.col("date")
+    return t.where(retrieval.date_filter(d, end="2024-06-30") & ((F.col("vec_id") % 2 == 0) | retrieval.date_filter(d, start="2024-02-01")))
 
 
-_MANY = """SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 8) q"""
+_MANY = """SELECT q.vec_id AS qid, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"""
 
 
 @query(f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM ({_MANY}) QUALIFY rank <= 5", bench=True)
 def dense_many(spark, sf_dir):
     t = table(spark, sf_dir, "embeddings")
-    return retrieval.dense_many(t, t.where("vec_id < 8").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5, "vec_id")
+    return retrieval.dense_many(t, t.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 5, "vec_id")
 
 
 _BM25 = """
-d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE lang = 'en'),
+d AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 bag AS (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9]+')) AS term FROM d),
 dl AS (SELECT doc_id, len(regexp_extract_all(t, '[a-z0-9]+')) AS dl FROM d),
 s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
@@ -95,7 +103,7 @@ b AS (SELECT doc_id, coalesce(bm25, 0.0) AS bm25 FROM d LEFT JOIN hit USING (doc
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.lit(0).alias("qid"), "doc_id", "text", "n_chars")
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("qid"), "doc_id", "text", "n_chars")
     terms = spark.range(1).select(F.lit(0).alias("qid"), F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
     return docs, terms
 
@@ -107,17 +115,18 @@ def bm25_rank(spark, sf_dir):
 
 
 _RANKS = f"""WITH {_BM25},
-dense AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS dr FROM documents WHERE lang = 'en'),
+dense AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS dr FROM documents),
 r AS (SELECT doc_id, dr, row_number() OVER (ORDER BY bm25 DESC, dr) AS lr FROM b JOIN dense USING (doc_id))"""
 
 
 @query(f"{_RANKS} SELECT doc_id, round(1.0 / (60 + dr) + 1.0 / (60 + lr), 6) AS rrf FROM r")
 def rrf_fuse(spark, sf_dir):
-    ranked, terms = _ranked(spark, sf_dir, None)
-    lexical = retrieval.bm25(ranked, terms, "doc_id").join(ranked.select("doc_id", F.col("rank").alias("dr")), "doc_id")
-    lexical = relational.top_per(lexical, ["qid"], [F.desc("bm25"), F.col("dr")], 1 << 60)
-    both = ranked.select("qid", "doc_id", "rank").unionByName(lexical.select("qid", "doc_id", "rank"))
-    return retrieval.rrf(both, "doc_id").select("doc_id", "rrf")
+    """Both ranks of every document: places in orders of the whole table."""
+    docs, terms = _candidates(spark, sf_dir)
+    dense = relational.ranked(docs.select("qid", "doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")]).select("qid", "doc_id", "rank")
+    lexical = retrieval.bm25(docs, terms, "doc_id").join(dense.withColumnRenamed("rank", "dr"), ["qid", "doc_id"])
+    lexical = relational.ranked(lexical, [F.desc("bm25"), F.col("dr")]).select("qid", "doc_id", "rank")
+    return retrieval.rrf(dense.unionByName(lexical), "doc_id").select("doc_id", "rrf")
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int | None) -> tuple[DataFrame, DataFrame]:
@@ -126,8 +135,8 @@ def _ranked(spark: SparkSession, sf_dir: str, k: int | None) -> tuple[DataFrame,
     return relational.top_per(docs, ["qid"], [F.desc("n_chars"), F.col("doc_id")], k or 1 << 60), terms
 
 
-_TOP = " FROM documents WHERE lang = 'en' QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 50)"
-_HYBRID = _RANKS.replace(" FROM documents WHERE lang = 'en')", _TOP)
+_TOP = " FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 50)"
+_HYBRID = _RANKS.replace(" FROM documents)", _TOP)
 _HYBRID_SQL = f"{_HYBRID} SELECT doc_id, rrf, row_number() OVER (ORDER BY rrf DESC, dr) AS final_rank FROM (SELECT doc_id, dr, round(1.0 / (60 + dr) + 1.0 / (60 + lr), 6) AS rrf FROM r) QUALIFY final_rank <= 10"
 
 
@@ -143,10 +152,15 @@ def context_budget(spark, sf_dir):
     return relational.budget(d, ["lang"], [F.col("n_chars"), F.col("doc_id")], "text", 12_000).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id, regexp_extract(text, '\\b(20\\d{2})\\b', 1) AS year, CASE WHEN upper(text) LIKE '%10-K%' THEN '10-K' WHEN upper(text) LIKE '%10-Q%' THEN '10-Q' END AS form FROM documents WHERE regexp_matches(text, '\\b20\\d{2}\\b')")
+_ASKED = "left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' in the 10-K of ' || (1995 + doc_id % 20) || ', then 2031' WHEN 1 THEN ' 10-q x2024 and 20245' WHEN 2 THEN ' (2019) 10-Q/10-k' ELSE '' END"
+
+
+@query(f"SELECT doc_id, nullif(regexp_extract(t, '\\b(20\\d{{2}})\\b', 1), '') AS year, CASE WHEN contains(upper(t), '10-K') THEN '10-K' WHEN contains(upper(t), '10-Q') THEN '10-Q' END AS form FROM (SELECT doc_id, {_ASKED} AS t FROM documents)")
 def year_form_filter(spark, sf_dir):
-    year, form = retrieval.question_filter(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", year.cast("string").alias("year"), form.alias("form")).where("year is not null")
+    d = F.col("doc_id")
+    said = F.when(d % 4 == 0, F.concat(F.lit(" in the 10-K of "), (1995 + d % 20).cast("string"), F.lit(", then 2031"))).when(d % 4 == 1, " 10-q x2024 and 20245").when(d % 4 == 2, " (2019) 10-Q/10-k").otherwise("")
+    year, form = retrieval.question_filter(F.concat(F.left("text", F.lit(200)), said))
+    return table(spark, sf_dir, "documents").select("doc_id", year.cast("string").alias("year"), form.alias("form"))
 
 
 # -- text --------------------------------------------------------------------------------------
@@ -160,7 +174,7 @@ def normalize_ws(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.cast("binary")).alias("h"), text.word_count("text").alias("n_words"))
 
 
-@query("SELECT lang, sum(len(t))::BIGINT AS n_tokens, sum(len(list_distinct(t)))::BIGINT AS n_distinct FROM (SELECT lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) GROUP BY lang")
+@query("SELECT lang, sum(len(t))::BIGINT AS n_tokens, sum(len(list_distinct(t)))::BIGINT AS n_distinct FROM (SELECT lang, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS t FROM documents) GROUP BY lang")
 def tokenize_stats(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("lang", text.tokens("text").alias("t"))
     return t.groupBy("lang").agg(F.sum(F.size("t")).cast("long").alias("n_tokens"), F.sum(F.size(F.array_distinct("t"))).cast("long").alias("n_distinct"))
@@ -227,7 +241,12 @@ def extracted_numbers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("n").cast("long").alias("found"))
 
 
-@query()
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g')"
+_LINES = f"regexp_replace(regexp_replace({_PLAIN}, '(?i)</?(p|div|br|li|h1|ul|title|article|footer|nav|a|b)(\\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_DECODED = f"replace(replace(replace(replace({_LINES}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, nullif(trim(regexp_replace(array_to_string(list_transform(string_split({_DECODED}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), '') AS text FROM pages""")
 def html_text(spark, sf_dir):
     return html_source.html_text(table(spark, sf_dir, "pages"), ["page_id"])
 
@@ -449,18 +468,21 @@ def cluster_summary(spark, sf_dir):
 
 
 @query("""SELECT probe_id, -b.o AS entry_id, b.s AS similarity FROM (SELECT p.vec_id AS probe_id, max(struct_pack(s := round(list_cosine_similarity(p.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6), o := -c.vec_id)) AS b
-FROM embeddings p JOIN embeddings c ON p.label = c.label WHERE p.vec_id % 2 = 1 AND c.vec_id % 2 = 0 AND round(list_cosine_similarity(p.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) >= 0.25 GROUP BY 1)""", bench=True)
+FROM embeddings p JOIN embeddings c ON nullif(p.label, 3) IS NOT DISTINCT FROM nullif(c.label, 3) WHERE p.vec_id % 100 = 0 AND c.vec_id % 100 <> 0 AND round(list_cosine_similarity(p.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) >= 0.1 GROUP BY 1)""", bench=True)
 def semantic_cache_lookup(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("source_filter"), "embedding")
-    entries, probes = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "entry_id"), e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "probe_id")
-    return cache.similar(entries, probes, 0.25)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("nullif(label, 3)").alias("source_filter"), "embedding")
+    entries, probes = e.where("vec_id % 100 <> 0").withColumnRenamed("vec_id", "entry_id"), e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "probe_id")
+    return cache.similar(entries, probes, 0.1)
 
 
-@query("SELECT p.doc_id, c.doc_id IS NOT NULL AS hit, c.doc_id AS answer FROM documents p LEFT JOIN (SELECT min(doc_id) AS doc_id, sha256(text || '|en') AS k FROM documents WHERE doc_id < 500 GROUP BY text) c ON c.k = sha256(p.text || '|en') WHERE p.doc_id >= 500")
+@query("SELECT doc_id, first < doc_id AS hit, CASE WHEN first < doc_id THEN first END AS answer FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents)")
 def exact_cache_lookup(spark, sf_dir):
+    """Every document asks; the first of each text has been answered before the others."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.query_hash(F.col("text"), F.lit("en")).alias("key"))
-    entries = d.where("doc_id < 500").groupBy("key").agg(F.min("doc_id").alias("answer"))
-    return cache.exact(entries, d.where("doc_id >= 500")).select("doc_id", "hit", "answer")
+    entries = d.groupBy("key").agg(F.min("doc_id").alias("answer"), F.count("*").alias("n")).where("n > 1")
+    got = cache.exact(entries, d)
+    known = F.coalesce(F.col("answer") < F.col("doc_id"), F.lit(False))
+    return got.select("doc_id", known.alias("hit"), F.when(known, F.col("answer")).alias("answer"))
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text", bench=True)
@@ -526,26 +548,36 @@ _JUDGED = "SELECT lang || source AS qid, quality = 0 AS relevant, row_number() O
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.concat("lang", "source").alias("qid"), (F.col("quality") == 0).alias("relevant"), "n_chars", "doc_id")
-    return relational.top_per(j, ["qid"], [F.desc("n_chars"), F.col("doc_id")], 1 << 60)
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.concat("lang", "source").alias("qid"), (F.col("quality") == 0).alias("relevant"), "n_chars", "doc_id")
 
 
 @query(f"SELECT qid, round(coalesce(1.0 / min(CASE WHEN relevant THEN rank END), 0), 6) AS mrr FROM ({_JUDGED}) GROUP BY qid")
 def eval_mrr(spark, sf_dir):
-    return evaluation.mrr(_judged(spark, sf_dir))
+    return evaluation.mrr_of_order(_judged(spark, sf_dir), [-F.col("n_chars"), F.col("doc_id")])
 
 
 @query(f"""WITH t AS (SELECT * FROM ({_JUDGED}) WHERE rank <= 5), i AS (SELECT *, relevant::INT AS rel, row_number() OVER (PARTITION BY qid ORDER BY relevant DESC, rank) AS ideal FROM t)
 SELECT qid, round(CASE WHEN max(rel) = 0 THEN 0.0 WHEN count(*) < 2 THEN max(rel)::DOUBLE ELSE sum(rel / log2(rank + 1)) / sum(rel / log2(ideal + 1)) END, 6) AS ndcg FROM i GROUP BY qid""")
 def eval_ndcg(spark, sf_dir):
-    return evaluation.ndcg(_judged(spark, sf_dir))
+    return evaluation.ndcg(relational.top_per(_judged(spark, sf_dir), ["qid"], [F.desc("n_chars"), F.col("doc_id")], 5))
+
+
+_SHINGLES = "unnest(list_distinct(list_transform(range(1, greatest(len(t) - 3, 1)), lambda i: array_to_string(t[i:i + 4], ' '))))"
+_BAG = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
 
 
-@query("""SELECT item_id, doc_id, round(len(list_intersect(a, b))::DOUBLE / len(b), 6) AS overlap FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS b FROM benchmark) JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS a FROM documents) ON item_id = doc_id % 40 WHERE len(b) > 0""")
+@query(f"""WITH b AS (SELECT item_id, {_BAG} AS t FROM benchmark), d AS (SELECT doc_id, {_BAG} AS t FROM documents),
+p AS (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, {_SHINGLES} AS g FROM b) JOIN (SELECT doc_id, {_SHINGLES} AS g FROM d) USING (g))
+SELECT item_id, doc_id, round(len(list_intersect(list_distinct(d.t), list_distinct(b.t)))::DOUBLE / len(list_distinct(b.t)), 6) AS overlap FROM p JOIN b USING (item_id) JOIN d USING (doc_id)""")
 def eval_overlap(spark, sf_dir):
-    k = table(spark, sf_dir, "benchmark").select("item_id", text.tokens("text").alias("b"))
-    d = table(spark, sf_dir, "documents").select("doc_id", text.tokens("text").alias("a"), (F.col("doc_id") % 40).alias("item_id"))
-    return d.join(k, "item_id").where("size(b) > 0").select("item_id", "doc_id", F.round(evaluation.citation_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+    """Documents and benchmark items that share five words in a row, found by an inverted join, with the share of the
+    item's words that the document holds."""
+    bag = lambda n, key: table(spark, sf_dir, n).select(key, text.tokens("text").alias(f"t_{key}"))
+    items, docs = bag("benchmark", "item_id"), bag("documents", "doc_id")
+    grams = lambda df, key: df.where(F.size(f"t_{key}") >= 5).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(f"t_{key}") - 4), lambda i: F.xxhash64(F.array_join(F.slice(f"t_{key}", i, 5), " "))))).alias("g"))
+    met = grams(items, "item_id").join(grams(docs, "doc_id"), "g").select("item_id", "doc_id").distinct()
+    pairs = met.join(items, "item_id").join(docs, "doc_id")
+    return pairs.select("item_id", "doc_id", F.round(evaluation.citation_overlap(F.col("t_doc_id"), F.col("t_item_id")), 6).alias("overlap"))
 
 
 @query("""WITH e AS (SELECT o_orderkey, [o_totalprice, o_totalprice * 2] AS want, 'total ' || printf('%.2f', o_totalprice * (1 + (o_orderkey % 5) * 0.004)) || ' in 1996' AS answer FROM orders),
@@ -612,7 +644,7 @@ def session_extension(spark, sf_dir):
     return e.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
-@query()
+@query(f"SELECT 'vectors' AS route, vec_id::VARCHAR AS content, score FROM ({ORACLE_SQL['dense_topk']}) UNION ALL SELECT 'filings', doc_id::VARCHAR, rrf FROM ({_HYBRID_SQL})")
 def evidence_routes(spark, sf_dir):
     """Two routes' results as uniform evidence."""
     dense = dense_topk(spark, sf_dir).select(F.col("vec_id").cast("string").alias("content"), "score")
