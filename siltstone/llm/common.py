@@ -2,40 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from ..sources.workspace import folder
 
 #: What counts as a space between words in every operator of this package.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-_own_scratch: str | None = None
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where that setting is missing (single-machine tests) is a temporary folder made."""
-    global _own_scratch
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if _own_scratch is None:
-            _own_scratch = tempfile.mkdtemp(prefix="siltstone-")
-            atexit.register(shutil.rmtree, _own_scratch, True)
-        base = _own_scratch
-    return f"{base.rstrip('/')}/siltstone/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``); see ``workspace.folder``."""
+    return folder(spark, what)
 
 
 def settle(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
@@ -53,7 +44,28 @@ def files_for(spark: SparkSession, rows: int, per_file: int = 100_000) -> int:
     return max(1, min(parts(spark), -(-rows // per_file)))
 
 
-BLOCK_BITS = 10  # rows of a block: 2 ** BLOCK_BITS consecutive ones of a partition
+BLOCK_BITS = 10  # rows of a block: 2 ** BLOCK_BITS consecutive ones of a partition at most
+BLOCK_BYTES = 8 << 20  # and about this many bytes, or one longer row
+
+
+def numbered(df: DataFrame, body: str, most: int = BLOCK_BYTES) -> DataFrame:
+    """``df`` with a ``row`` number in the order of the scan, whose upper bits are its block: rows of a block hold at
+    most ``most`` bytes of ``body`` together, unless a single row holds more. No shuffle, nothing kept but a counter."""
+    at = df.columns.index(body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, place, size = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            rows = []
+            for n in pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist():
+                if place == 1 << BLOCK_BITS or (place and size + n > most):
+                    block, place, size = block + 1, 0, 0
+                rows.append(block << BLOCK_BITS | place)
+                place, size = place + 1, size + n
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *b.columns], names=["row", *b.schema.names])
+
+    kinds = dict(df.dtypes)
+    return df.mapInArrow(run, ", ".join(["row long", *(f"`{c}` {kinds[c]}" for c in df.columns)]))
 
 
 def in_blocks(df: DataFrame, what: str) -> DataFrame:
@@ -66,11 +78,6 @@ def in_blocks(df: DataFrame, what: str) -> DataFrame:
     return spark.table(name)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

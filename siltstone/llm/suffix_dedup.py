@@ -6,44 +6,52 @@ same document and an earlier start). Not every suffix has to be sorted for that:
 1. *Anchors.* In each window of ``match`` bytes the rolling hash of its ``gram``-byte substrings is
    smallest at one place, the anchor (the last such place on ties). Equal windows have equal anchors at
    equal offsets, so one anchor stands for a run of consecutive windows.
-2. *Sieve.* Anchors' hashes meet in hash buckets; those that occur once in the corpus cannot be part of a
-   repeated window and drop out. Only hashes travel here.
+2. *Sieve.* Anchors' hashes are counted by hash; those that occur once in the corpus cannot be part of a
+   repeated window and drop out. Only hashes travel here, a row per hash and block.
 3. *Sorted runs.* Each block of documents sorts the suffixes at its surviving anchors (as far as the
    windows reach), removes contexts that the block repeats, and front-codes each run: the length of the
-   prefix shared with the suffix before, and the rest.
-4. *Merge.* The runs of one share of the anchors meet in a loser tree that carries the common-prefix
+   prefix shared with the suffix before, and the rest. Runs are cut where ranges of suffixes begin, which a
+   sample of the surviving anchors tells (a bounded number for each range), so the order is total over
+   the corpus: range by range, and merged within each.
+4. *Merge.* The runs of one range meet in a loser tree that carries the common-prefix
    lengths: a comparison starts behind the prefix already known to be shared, and mostly needs no
    character at all. The merged order's common-prefix lengths bound the intervals of suffixes that agree
-   on a window's right part; what stands left of the anchor decides within an interval.
+   on a window's right part; what stands left of the anchor decides within an interval. Where there
+   are more than ``fan`` blocks, runs of at most that many blocks and of wide ranges are merged first, repeated
+   contexts fall away, and what is left is cut into narrower ranges: rows that travel grow with the
+   suffixes, not with blocks times ranges, and no task meets more than about ``fan`` runs.
 5. Repeated windows return to their documents as byte ranges.
 
-Anchors found more than ``hot`` times (a passage in a large share of all documents) are dealt out window
-by window, each window by its own hash, so that no group of suffixes outgrows a task. Texts never
-travel: they are staged once in a table bucketed by block, and both later passes read it in place.
+Anchors found more than ``hot`` times (a passage in a large share of all documents) are taken window
+by window, each sorted by its own bytes, so that no group of suffixes outgrows a task: a block keeps each
+window once, and so does every pass. Texts never travel: they are staged once in a table bucketed by block (1024
+rows or 8 MB at most), and both later passes read it in place.
 
-Edges: null text is empty; a null doc_id comes before all others; rows that share a doc_id count as
-documents in an order of their own; texts shorter than ``match`` keep all; an empty table gives an empty
-result; other columns are carried only if asked for.
+Edges: null text is empty; a null doc_id comes before all others, and so does one that is no number; rows that
+share a doc_id count as documents in the order of a hash of their texts; texts shorter than ``match`` keep all; an
+empty table gives an empty result; other columns are carried only if asked for.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, in_blocks, parts, power_of_two
+from .common import BLOCK_BITS, in_blocks, numbered, parts, power_of_two, settle
 
 MATCH, GRAM = 100, 32
 HOT = 20_000
+FAN = 4096  # runs that are merged at a time
+SAMPLED, PER_RANGE = 64, 16  # one anchor in SAMPLED may be in the sample, which has about PER_RANGE for each range
 CHUNK = 1 << 19  # bytes hashed at a time
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -51,8 +59,8 @@ def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
     """64-bit hash of every ``gram``-byte substring, by doubling; gram is a power of two."""
     h, width, mul = _TABLE[buf], 1, _STEP
     while width < gram:
-        h = h[:-width] * mul + h[width:]
-        width, mul = width * 2, mul * mul
+        h = h[:-width] * np.uint64(mul) + h[width:]
+        width, mul = width * 2, mul * mul % (1 << 64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -189,13 +197,13 @@ class Repeats:
         self.match, self.gram, self.group, self.found = match, gram, [], []
 
     def add(self, shared: int, right: bytes, left: bytes, where: tuple) -> None:
-        """where: (doc_id, row, anchor's byte in it), by which what comes earlier is told."""
+        """where: (doc_id, hash of the text, row, anchor's byte in it), by which what comes earlier is told."""
         if shared < self.gram and self.group:
             self.flush()
         self.group.append((shared, right, left, where))
 
     def _tell(self, where: tuple, first: int, last: int) -> None:
-        self.found.append((where[1], first, last + self.match))
+        self.found.append((where[2], first, last + self.match))
 
     def flush(self) -> None:
         group, self.group = self.group, []
@@ -209,7 +217,7 @@ class Repeats:
         match = self.match
         for _, right, left, where in group:
             if earliest[right, left] is not where:
-                self._tell(where, where[2] - len(left), where[2] + len(right) - match)
+                self._tell(where, where[3] - len(left), where[3] + len(right) - match)
         if len(earliest) < 2:
             return
         # Suffixes agree on their first d bytes from since[d] on: an interval of the merged order.
@@ -234,7 +242,7 @@ class Repeats:
                 run = again[0]
                 for a, b in zip(again, [*again[1:], None]):
                     if b != a + 1:  # anchor's places run, ..., a from the window's start: its starts are anchor - place
-                        self._tell(where, where[2] - a, where[2] - run)
+                        self._tell(where, where[3] - a, where[3] - run)
                         run = b
 
 
@@ -247,98 +255,173 @@ def _unpack(x: bytes, width: int = 3) -> np.ndarray:
 
 
 def stage_blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A table in the shared folder: block, row, id (doc_id as long), doc_id, body (UTF-8 bytes), carried
-    columns; bucketed by block, written without a shuffle."""
-    staged = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"),
-        F.col("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"),
-        *carry,
-    )
-    return in_blocks(staged, "blocks")
-
-
-def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """A table in the shared folder: block, row, id (doc_id as long), tie (hash of the text), doc_id, body (UTF-8
+    bytes), carried columns; bucketed by block, written without a shuffle."""
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    staged = docs.select(F.coalesce(F.col("doc_id").try_cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"), F.xxhash64(body).alias("tie"), F.col("doc_id"), body.alias("body"), *carry)
+    return in_blocks(numbered(staged, "body"), "blocks")
+
+
+def _encoded(entries: list[tuple], ranges: list[tuple]) -> tuple:
+    """A run of sorted entries (right, left, id, tie, row, byte), front-coded, and ranges known to be repeated."""
+    lcps, tails = front_code([e[0] for e in entries])
+    sizes = np.array([(len(e[0]), len(e[1])) for e in entries], np.uint16)
+    return lcps.tobytes(), sizes.tobytes(), tails, b"".join(e[1] for e in entries), np.array([e[2:] for e in entries], np.int64).tobytes(), _pack_ranges(ranges)
+
+
+def _decoded(pdf: pd.DataFrame) -> tuple[list, list, list]:
+    """Runs (strings, shared prefixes), their lefts and their places."""
+    runs, lefts, wheres = [], [], []
+    for lcps, sizes, tails, left, where in zip(pdf["lcps"], pdf["sizes"], pdf["tails"], pdf["lefts"], pdf["wheres"]):
+        n = np.frombuffer(lcps, np.uint16).tolist()
+        size = np.frombuffer(sizes, np.uint16).reshape(-1, 2)
+        ends = np.cumsum(size[:, 1], dtype=np.int64).tolist()
+        runs.append((front_decode(n, size[:, 0].tolist(), tails), n))
+        lefts.append([left[a:b] for a, b in zip([0, *ends], ends)])
+        wheres.append([tuple(x) for x in _unpack(where, 4).tolist()])
+    return runs, lefts, wheres
+
+
+def _cut(entries: list[tuple], begins: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """Range, first and end of each stretch of sorted entries that lies in one range."""
+    i = 0
+    while i < len(entries):
+        which = bisect_right(begins, entries[i][0])
+        end = len(entries)
+        if which < len(begins):  # the first entry of a later range
+            lo, hi = i + 1, end
+            while lo < hi:
+                mid = (lo + hi) >> 1
+                lo, hi = (mid + 1, hi) if entries[mid][0] < begins[which] else (lo, mid)
+            end = lo
+        yield which, i, end
+        i = end
+
+
+def passes(blocks: int, ranges: int, fan: int) -> list[tuple[int, int]]:
+    """(ranges, groups of runs) of each merge, the last with all ranges and one group: no merge of a range meets more
+    than about ``fan`` runs."""
+    groups = [1]
+    while -(-blocks // fan) > 1:
+        blocks = -(-blocks // fan)
+        groups.append(blocks)
+    groups.sort(reverse=True)
+    bits = ranges.bit_length() - 1
+    return [(1 << (bits * (i + 1) // len(groups)), g) for i, g in enumerate(groups)]
+
+
+_RUN = "share int, part long, lcps binary, sizes binary, tails binary, lefts binary, wheres binary, ranges binary"
+_RUN_COLUMNS = [c.split()[0] for c in _RUN.split(", ")]
+
+
+def range_begins(told: DataFrame, ranges: int) -> list[bytes]:
+    """Where all ranges but the first begin: evenly spaced in a sorted sample of the surviving anchors' first bytes.
+    PER_RANGE anchors for each range at most come to the driver, a number that the session's partitions bound."""
+    heads = told.where("head is not null").select("head", "hash")
+    rate = max(1, heads.count() // (PER_RANGE * ranges))
+    sample = sorted(bytes(r.head) for r in heads.where(F.pmod(F.xxhash64("hash"), F.lit(rate)) == 0).select("head").collect())
+    at = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
+    return [b for k, b in enumerate(at) if not k or b > at[k - 1]]
+
+
+def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """block, ranges: packed (row, start, end) byte ranges of repeated windows."""
     spark = staged.sparkSession
-    shares = power_of_two(2 * parts(spark))  # smaller groups to merge, dealt more evenly
-    shift = np.uint64(64 - shares.bit_length() + 1)
+    shares = power_of_two(2 * parts(spark))  # smaller ranges to merge, dealt more evenly
 
     def offer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf["body"].tolist()
-        found = [anchors(np.frombuffer(raw, np.uint8), bounds, match, gram)[1] for _, raw, bounds in _chunks(texts)]
-        hashes, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        share = (hashes >> shift).astype(np.int64) if shares > 1 else np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(share, np.arange(shares + 1))
-        rows = [(s, key[0], hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pd.DataFrame(rows, columns=["share", "block", "hashes", "counts"])
-
-    def sieve(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
-        every = np.concatenate(lists)
-        order = np.argsort(every, kind="stable")
-        every = every[order]
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]]).astype(np.int64)[order]
-        begins = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        total = np.add.reduceat(n, begins)
-        again, many = every[begins[total > 1]], every[begins[total > hot]]
-        rows = []
-        for block, x in zip(pdf["block"], lists):
-            kept = x[_among(x, again)]
-            if len(kept):
-                rows.append((block, kept.tobytes(), kept[_among(kept, many)].tobytes()))
-        return pd.DataFrame(rows, columns=["block", "again", "many"])
+        hashes, heads = [], {}
+        for _, raw, bounds in _chunks(pdf["body"].tolist()):
+            at, h, _, _ = anchors(np.frombuffer(raw, np.uint8), bounds, match, gram)
+            hashes.append(h)
+            some = np.flatnonzero(h % np.uint64(SAMPLED) == 0)
+            heads.update((int(h[k]), raw[at[k] : at[k] + gram]) for k in some)
+        every, counts = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
+        head = np.full(len(every), None, object)
+        for k in np.flatnonzero(every % np.uint64(SAMPLED) == 0):
+            head[k] = heads[int(every[k])]
+        return pd.DataFrame({"block": np.full(len(every), key[0], np.int64), "hash": every.view(np.int64), "n": counts.astype(np.int32), "head": head})
+
+    offered = staged.select("block", "row", "body").groupBy("block").applyInPandas(offer, "block long, hash long, n int, head binary")
+    total = F.sum("n").over(Window.partitionBy("hash"))  # a hash has a row per block at most
+    told = settle(offered.withColumn("total", total).where("total > 1").select("block", "hash", (F.col("total") > hot).alias("many"), "head"), "survivors")
+    begins = range_begins(told, shares)
+    blocks = staged.select("block").distinct().count()
+    plan = passes(blocks, shares, fan)
+
+    def shift(level: int) -> int:
+        return (shares // plan[level][0]).bit_length() - 1
 
     def sort_runs(key: tuple, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        columns = ["share", "lcps", "sizes", "tails", "lefts", "wheres", "ranges"]
         if not len(docs) or not len(told):
-            return pd.DataFrame([], columns=columns)
-        again = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in told["again"]]))
-        many = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in told["many"]]))
-        ids, rows, entries = docs["id"].tolist(), docs["row"].tolist(), []
+            return pd.DataFrame([], columns=_RUN_COLUMNS)
+        hashes = told["hash"].to_numpy().view(np.uint64)
+        again, many = np.sort(hashes), np.sort(hashes[told["many"].to_numpy(bool)])
+        ids, ties, rows, entries = docs["id"].tolist(), docs["tie"].tolist(), docs["row"].tolist(), []
         for i, raw, bounds in _chunks(docs["body"].tolist()):
             at, h, lo, hi = anchors(np.frombuffer(raw, np.uint8), bounds, match, gram)
             keep = _among(h, again)
             at, h, lo, hi = at[keep], h[keep], lo[keep], hi[keep]
             which = np.searchsorted(bounds, lo, "right") - 1
             often = _among(h, many)
-            share = ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)) % np.uint64(shares)
-            for a, p, q, d, s, o in zip(at.tolist(), lo.tolist(), hi.tolist(), which.tolist(), share.tolist(), often.tolist()):
-                base = int(bounds[d])
+            for a, p, q, d, o in zip(at.tolist(), lo.tolist(), hi.tolist(), which.tolist(), often.tolist()):
+                base, k = int(bounds[d]), i + d
                 if not o:
-                    entries.append((s, raw[a : q + match], raw[p:a], ids[i + d], rows[i + d], a - base))
+                    entries.append((raw[a : q + match], raw[p:a], ids[k], ties[k], rows[k], a - base))
                 else:
                     for b in range(p, q + 1):
-                        window = raw[b : b + match]
-                        entries.append((zlib.crc32(window) % shares, window, b"", ids[i + d], rows[i + d], b - base))
+                        entries.append((raw[b : b + match], b"", ids[k], ties[k], rows[k], b - base))
         entries.sort()
-        out, begin = [], 0
-        while begin < len(entries):
-            share, kept, ranges, end, before = entries[begin][0], [], [], begin, None
-            while end < len(entries) and entries[end][0] == share:
-                e = entries[end]
-                if before is not None and e[1] == before[1] and e[2] == before[2]:  # in order, so the block's earliest stays
-                    ranges.append((e[4], e[5] - len(e[2]), e[5] + len(e[1])))
-                else:
-                    kept.append(e)
-                    before = e
-                end += 1
-            lcps, tails = front_code([e[1] for e in kept])
-            sizes = np.array([(len(e[1]), len(e[2])) for e in kept], np.uint16)
-            out.append((share, lcps.tobytes(), sizes.tobytes(), tails, b"".join(e[2] for e in kept), np.array([e[3:] for e in kept], np.int64).tobytes(), _pack_ranges(ranges)))
-            begin = end
-        return pd.DataFrame(out, columns=columns)
+        kept, ranges, before = [], [], None
+        for e in entries:
+            if before is not None and e[0] == before[0] and e[1] == before[1]:  # in order, so the block's earliest stays
+                ranges.append((e[4], e[5] - len(e[1]), e[5] + len(e[0])))
+            else:
+                kept.append(e)
+                before = e
+        return _runs(kept, ranges, 0, int(key[0]) * 0x9E3779B97F4A7C15 % (1 << 64) % plan[0][1])
+
+    def _runs(kept: list[tuple], ranges: list[tuple], level: int, part: int) -> pd.DataFrame:
+        """The runs that the merge of this level takes; known ranges go with the first."""
+        narrow = shift(level)
+        out, stretch = [], []
+        for share, a, b in _cut(kept, begins):
+            if stretch and stretch[0] == share >> narrow:
+                stretch[2] = b
+            else:
+                stretch = [share >> narrow, a, b]
+                out.append(stretch)
+        return pd.DataFrame([(share, part, *_encoded(kept[a:b], ranges if not k else [])) for k, (share, a, b) in enumerate(out)], columns=_RUN_COLUMNS)
+
+    def premerge(level: int):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            runs, lefts, wheres = _decoded(pdf)
+            ranges = [tuple(x) for r in pdf["ranges"] for x in _unpack(r).tolist()]
+            kept: list[tuple] = []
+            right, first = None, {}
+
+            def flush() -> None:
+                kept.extend((right, left, *where) for left, where in sorted(first.items()))
+                first.clear()
+
+            for r, i, _ in merge_runs(runs):
+                if runs[r][0][i] != right:
+                    flush()
+                    right = runs[r][0][i]
+                left, where = lefts[r][i], wheres[r][i]
+                seen = first.get(left)
+                if seen is None or where < seen:
+                    first[left] = where
+                if seen is not None:
+                    late = max(seen, where)
+                    ranges.append((late[2], late[3] - len(left), late[3] + len(right)))
+            flush()
+            return _runs(kept, ranges, level + 1, int(key[1]) // fan if plan[level + 1][1] > 1 else 0)
+
+        return run
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs, lefts, wheres = [], [], []
-        for lcps, sizes, tails, left, where in zip(pdf["lcps"], pdf["sizes"], pdf["tails"], pdf["lefts"], pdf["wheres"]):
-            n = np.frombuffer(lcps, np.uint16).tolist()
-            size = np.frombuffer(sizes, np.uint16).reshape(-1, 2)
-            ends = np.cumsum(size[:, 1], dtype=np.int64).tolist()
-            runs.append((front_decode(n, size[:, 0].tolist(), tails), n))
-            lefts.append([left[a:b] for a, b in zip([0, *ends], ends)])
-            wheres.append([tuple(x) for x in _unpack(where).tolist()])
+        runs, lefts, wheres = _decoded(pdf)
         told = Repeats(match, gram)
         for r, i, shared in merge_runs(runs):
             told.add(shared, runs[r][0][i], lefts[r][i], wheres[r][i])
@@ -349,10 +432,10 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
         cuts = [*np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))).tolist(), len(every)] if len(every) else [0]
         return pd.DataFrame([(int(blocks[a]), every[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], columns=["block", "ranges"])
 
-    texts = staged.select("block", "row", "id", "body")
-    offered = staged.select("block", "row", "body").groupBy("block").applyInPandas(offer, "share int, block long, hashes binary, counts binary")
-    told = offered.groupBy("share").applyInPandas(sieve, "block long, again binary, many binary")
-    runs = texts.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(sort_runs, "share int, lcps binary, sizes binary, tails binary, lefts binary, wheres binary, ranges binary")
+    texts = staged.select("block", "row", "id", "tie", "body")
+    runs = texts.groupBy("block").cogroup(told.select("block", "hash", "many").groupBy("block")).applyInPandas(sort_runs, _RUN)
+    for level in range(len(plan) - 1):
+        runs = runs.groupBy("share", "part").applyInPandas(premerge(level), _RUN)
     return runs.groupBy("share").applyInPandas(merge, "block long, ranges binary")
 
 
@@ -363,11 +446,11 @@ def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(i, len(sorted_values) - 1)] == x
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT, fan: int = FAN, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; on demand carried columns and
     ``kept_text`` (the remaining bytes as text; a character of which bytes went is left out)."""
     staged = stage_blocks(docs, carry)
-    ranges = repeated_ranges(staged, match, gram, hot)
+    ranges = repeated_ranges(staged, match, gram, hot, fan)
     kinds = dict(staged.dtypes)
     extra = [f"`{c}` {kinds[c]}" for c in carry] + ["kept_text string"] * with_text
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *carry, *["kept_text"] * with_text]

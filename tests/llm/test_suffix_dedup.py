@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from siltstone.llm.suffix_dedup import front_code, front_decode, merge_runs, remove_repeats
+from siltstone.llm.common import numbered
+from siltstone.llm.suffix_dedup import front_code, front_decode, merge_runs, passes, remove_repeats
 
 
 def brute(rows, match):
@@ -91,3 +92,42 @@ def test_merge_and_front_coding():
         out.append(now)
         before = now
     assert out == sorted(x for run in every for x in run)
+
+
+@pytest.mark.parametrize("match,gram,hot,fan", [(24, 8, 20_000, 2), (24, 8, 3, 3), (100, 32, 5, 2)])
+def test_several_merges_equal_brute_force(spark, monkeypatch, match, gram, hot, fan):
+    rows = made(match + hot + fan)
+    monkeypatch.setattr("siltstone.llm.suffix_dedup.numbered", lambda df, body: numbered(df, body, 500))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(x) for x in remove_repeats(df, match, gram, hot, fan).collect()), key=str)
+    assert got == brute(sorted(rows), match)
+
+
+def test_merges_meet_a_bounded_number_of_runs():
+    for blocks, fan in ((1, 4), (4, 4), (5, 4), (1000, 4), (12_000_000, 4096)):
+        plan = passes(blocks, 1 << 10, fan)
+        assert plan[-1] == (1 << 10, 1) and [r for r, _ in plan] == sorted(r for r, _ in plan)
+        runs = [blocks, *(g for _, g in plan[:-1])]
+        assert all(-(-a // g) <= fan for a, (_, g) in zip(runs, plan)) and len(plan) <= 6
+
+
+def test_blocks_are_bounded_by_bytes_and_rows(spark):
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(3000)], "doc_id long, body string").coalesce(1)
+    got = numbered(df, "body", 200).selectExpr("row >> 10 as block", "length(body) as n", "row").collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.block, []).append(r.n)
+    assert all(sum(x) <= 200 for x in sizes.values()) and [r.row for r in got] == sorted({r.row for r in got})
+    assert max(len(x) for x in sizes.values()) <= 1024 and len(numbered(df.limit(0), "body").collect()) == 0
+    assert numbered(spark.createDataFrame([("y" * 999,)] * 2, "body string"), "body", 10).selectExpr("row >> 10").distinct().count() == 2
+
+
+def test_ties_do_not_depend_on_the_scan(spark):
+    base = "".join(random.Random(9).choice("abcdefgh ") for _ in range(300))
+    rows = [(1, base + "p"), (1, base + "q"), (1, "r" + base), (None, base)]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        seen.add(str(sorted((tuple(x) for x in remove_repeats(df).collect()), key=str)))
+    assert len(seen) == 1
