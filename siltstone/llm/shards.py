@@ -27,19 +27,17 @@ from __future__ import annotations
 
 import json
 import math
-import os
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Filesystems whose rename refuses an existing target in one step.
-RENAMES_ONCE = ("hdfs", "viewfs", "webhdfs", "abfs", "abfss", "ofs")
+from ..sources.workspace import filesystem, place_once, put, read_text
+
 DAY = 86_400
 
 
@@ -75,8 +73,7 @@ def merged_schema(said: str | None, new: StructType) -> str:
 class ShardTable:
     def __init__(self, spark: SparkSession, root: str, target: int = 128 << 20, small: int = 64 << 10, fan_in: int = 4):
         self.spark, self.root, self.target, self.small, self.fan_in = spark, root.rstrip("/"), target, small, fan_in
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs, self._path = filesystem(spark, self.root)
 
     # -- manifests ---------------------------------------------------------------------------
 
@@ -93,50 +90,21 @@ class ShardTable:
         version = (known[-1] if known else 0) if version is None else version
         if not version:
             return 0, [], None
-        stream = self._fs.open(self._path(f"{self.root}/manifests/v{version:012d}.json"))
-        try:
-            said = json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        said = json.loads(read_text(self._fs, self._path(f"{self.root}/manifests/v{version:012d}.json")))
         return version, [Shard(**s) for s in said["shards"]], said["schema"]
 
     def _commit(self, version: int, shards: list[Shard], schema: str) -> int:
         draft = f"{self.root}/drafts/{uuid.uuid4().hex}.json"
-        self._put(draft, json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}))
+        put(self._fs, self._path(draft), json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}))
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
         final = f"{self.root}/manifests/v{version:012d}.json"
         try:
-            if not self._place(self._path(draft), self._path(final)):
+            if not place_once(self._fs, self._path(draft), self._path(final)):
                 raise Conflict(f"version {version} exists")
         finally:
             self._fs.delete(self._path(draft), False)
         return version
 
-    def _place(self, draft, final) -> bool:
-        """Puts the draft under its final name; False if there is one already. Never replaces it."""
-        scheme = self._fs.getUri().getScheme()
-        if scheme == "file":
-            try:
-                os.link(draft.toUri().getPath(), final.toUri().getPath())
-            except FileExistsError:
-                return False
-            return True
-        if scheme not in RENAMES_ONCE:
-            raise NotImplementedError(f"{scheme}: its rename does not refuse an existing manifest, so writers could undo each other")
-        try:
-            return bool(self._fs.rename(draft, final))
-        except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception):
-                return False
-            raise
-
-    def _put(self, path: str, text: str) -> None:
-        out = self._fs.create(self._path(path))
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-
     def _change(self, change: Callable[[list[Shard], str | None], tuple[list[Shard], str]], tries: int = 20) -> int:
         """Commits change(live shards, schema), which is asked again after another writer's commit."""
         for _ in range(tries):
@@ -161,7 +129,7 @@ class ShardTable:
     def _folder(self, what: str) -> str:
         """A new folder of shards, protected by an intent until ``_done``."""
         name = f"{what}-{uuid.uuid4().hex}"
-        self._put(f"{self.root}/intents/{name}", repr(time.time()))
+        put(self._fs, self._path(f"{self.root}/intents/{name}"), repr(time.time()))
         return f"shards/{name}"
 
     def _done(self, folder: str, committed: bool) -> None:
