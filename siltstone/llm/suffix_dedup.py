@@ -23,8 +23,8 @@ same document and an earlier start). Not every suffix has to be sorted for that:
 5. Repeated windows return to their documents as byte ranges.
 
 Anchors found more than ``hot`` times (a passage in a large share of all documents) are taken window
-by window, each sorted by its own bytes, so that no group of suffixes outgrows a task: a block keeps each
-window once, and so does every pass. Texts never travel: they are staged once in a table bucketed by block (1024
+by window, each dealt out by its own hash and not by range, as windows of one passage all begin alike, so that no
+group of suffixes outgrows a task: a block keeps each window once, and so does every pass. Texts never travel: they are staged once in a table bucketed by block (1024
 rows or 8 MB at most), and both later passes read it in place.
 
 Edges: null text is empty; a null doc_id comes before all others, and so does one that is no number; rows that
@@ -35,6 +35,7 @@ empty table gives an empty result; other columns are carried only if asked for.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -357,7 +358,9 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
             return pd.DataFrame([], columns=_RUN_COLUMNS)
         hashes = told["hash"].to_numpy().view(np.uint64)
         again, many = np.sort(hashes), np.sort(hashes[told["many"].to_numpy(bool)])
-        ids, ties, rows, entries = docs["id"].tolist(), docs["tie"].tolist(), docs["row"].tolist(), []
+        ids, ties, rows = docs["id"].tolist(), docs["tie"].tolist(), docs["row"].tolist()
+        entries: list[tuple] = []
+        windows: list[tuple] = []  # of hot anchors
         for i, raw, bounds in _chunks(docs["body"].tolist()):
             at, h, lo, hi = anchors(np.frombuffer(raw, np.uint8), bounds, match, gram)
             keep = _among(h, again)
@@ -370,28 +373,34 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
                     entries.append((raw[a : q + match], raw[p:a], ids[k], ties[k], rows[k], a - base))
                 else:
                     for b in range(p, q + 1):
-                        entries.append((raw[b : b + match], b"", ids[k], ties[k], rows[k], b - base))
-        entries.sort()
-        kept, ranges, before = [], [], None
-        for e in entries:
-            if before is not None and e[0] == before[0] and e[1] == before[1]:  # in order, so the block's earliest stays
-                ranges.append((e[4], e[5] - len(e[1]), e[5] + len(e[0])))
-            else:
-                kept.append(e)
-                before = e
-        return _runs(kept, ranges, 0, int(key[0]) * 0x9E3779B97F4A7C15 % (1 << 64) % plan[0][1])
-
-    def _runs(kept: list[tuple], ranges: list[tuple], level: int, part: int) -> pd.DataFrame:
-        """The runs that the merge of this level takes; known ranges go with the first."""
+                        windows.append((raw[b : b + match], b"", ids[k], ties[k], rows[k], b - base))
+        ranges: list[tuple] = []
+
+        def once(every: list[tuple]) -> list[tuple]:
+            kept, before = [], None
+            for e in sorted(every):
+                if before is not None and e[0] == before[0] and e[1] == before[1]:  # in order, so the block's earliest stays
+                    ranges.append((e[4], e[5] - len(e[1]), e[5] + len(e[0])))
+                else:
+                    kept.append(e)
+                    before = e
+            return kept
+
+        part = int(key[0]) * 0x9E3779B97F4A7C15 % (1 << 64) % plan[0][1]
+        return _runs(once(entries), once(windows), ranges, 0, part)
+
+    def _runs(entries: list[tuple], windows: list[tuple], ranges: list[tuple], level: int, part: int) -> pd.DataFrame:
+        """The runs that the merge of this level takes, of sorted entries; known ranges go with the first. Shares of
+        windows have numbers behind those of the ranges."""
         narrow = shift(level)
-        out, stretch = [], []
-        for share, a, b in _cut(kept, begins):
-            if stretch and stretch[0] == share >> narrow:
-                stretch[2] = b
-            else:
-                stretch = [share >> narrow, a, b]
-                out.append(stretch)
-        return pd.DataFrame([(share, part, *_encoded(kept[a:b], ranges if not k else [])) for k, (share, a, b) in enumerate(out)], columns=_RUN_COLUMNS)
+        out: dict[int, list[tuple]] = {}
+        for share, a, b in _cut(entries, begins):
+            out.setdefault(share >> narrow, []).extend(entries[a:b])
+        for e in windows:
+            out.setdefault(shares + zlib.crc32(e[0]) % shares >> narrow, []).append(e)
+        if ranges and not out:
+            out[0] = []
+        return pd.DataFrame([(share, part, *_encoded(run, ranges if not k else [])) for k, (share, run) in enumerate(out.items())], columns=_RUN_COLUMNS)
 
     def premerge(level: int):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -416,7 +425,8 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
                     late = max(seen, where)
                     ranges.append((late[2], late[3] - len(left), late[3] + len(right)))
             flush()
-            return _runs(kept, ranges, level + 1, int(key[1]) // fan if plan[level + 1][1] > 1 else 0)
+            hot_ones = int(key[0]) >= shares >> shift(level)
+            return _runs([] if hot_ones else kept, kept if hot_ones else [], ranges, level + 1, int(key[1]) // fan if plan[level + 1][1] > 1 else 0)
 
         return run
 
