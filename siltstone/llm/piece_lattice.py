@@ -7,7 +7,10 @@ each that reaches the start is the next best segmentation.
 A text's lattice falls apart wherever no piece of the vocabulary crosses (before the first of a run of
 spaces, around line ends): these chunks are solved once per distinct chunk, and the n best of the whole
 are the n least sums of what its chunks lose, searched best first over the n - 1 chunks that lose least
-(a segmentation that departs from the best elsewhere has n - 1 better ones before it).
+(a segmentation that departs from the best elsewhere has n - 1 better ones before it). What the search back
+would put out first needs no agenda: with exact heuristics it is the Viterbi path itself, so a chunk
+that departs nowhere takes its ids from there, and how much its second best loses from the two best
+scores to its end; the agenda runs for chunks that may depart. Tests hold the two against each other.
 
 Scores are the vocabulary's own; a character without a piece is spelled in byte pieces at the least score
 minus 10. Edges: null or empty text has no pieces and one segmentation; the mark U+2581 inside a text
@@ -259,31 +262,43 @@ class Pieces(dict):
     def cut(self, text: str) -> list[str]:
         return self.chunks(MARK + text.replace(" ", MARK)) if text else []
 
-    def segment(self, text: str, chunks: list[str] | None = None) -> tuple[bytes, float, list[float], int]:
-        """Ids of the best segmentation (little-endian 32 bits each), its score, how far below it the
-        n best lie, and the number of chunks."""
+    def segment(self, text: str, chunks: list[str] | None = None) -> tuple[list[bytes], float, list[float], list[tuple]]:
+        """Ids of the best segmentation by chunk (little-endian 32 bits each), its score, how far below it the n best
+        lie, and where each of them departs from the best: (chunk's place, ids there) of every such chunk."""
         if not text:
-            return b"", 0.0, [0.0], 0
-        solved = list(map(self.__getitem__, self.cut(text) if chunks is None else chunks))
-        ids, scores, losses, _ = zip(*solved)
-        losing, few = [], self.n - 1
-        least = nsmallest(few, losses)
-        for x in sorted([x for x in solved if x[2] <= least[-1]], key=_LOSS)[:few] if least else []:
-            if x[2] < _MOST:
-                found = self.search(x[3])
-                losing.append([found[0][0] - s for s, _ in found[1:]])
-        agenda, lost, seen = [(0.0, (0,) * len(losing))], [], set()
+            return [], 0.0, [0.0], [()]
+        ids, scores, losses, chunk = zip(*map(self.__getitem__, self.cut(text) if chunks is None else chunks))
+        places: list[int] = []
+        for x in nsmallest(self.n - 1, losses):
+            if x == _MOST:
+                break
+            places.append(losses.index(x, places[-1] + 1 if places and losses[places[-1]] == x else 0))
+        found = [self.search(chunk[i])[1:] for i in places]
+        top = [scores[i] for i in places]
+        agenda, lost, states, seen = [(0.0, (0,) * len(places))], [], [], set()
         while agenda and len(lost) < self.n:
             total, state = heappop(agenda)
             lost.append(total)
-            for k, x in enumerate(losing):
+            states.append(state)
+            for k, x in enumerate(found):
                 i = state[k]
                 if i < len(x):
                     after = (*state[:k], i + 1, *state[k + 1 :])
                     if after not in seen:
                         seen.add(after)
-                        heappush(agenda, (total + x[i] - (x[i - 1] if i else 0.0), after))
-        return b"".join(ids), sum(scores), lost, len(solved)
+                        heappush(agenda, (total + (x[i - 1][0] if i else top[k]) - x[i][0], after))
+        departs = [tuple(sorted((places[k], b"".join(self.four[j] for part in found[k][i - 1][1] for j in part)) for k, i in enumerate(state) if i)) for state in states]
+        return ids, sum(scores), lost, departs
+
+    def n_best(self, ids: tuple[bytes, ...], departs: list[tuple]) -> list[bytes]:
+        """The n best segmentations' ids in full."""
+        out = []
+        for one in departs:
+            parts = list(ids)
+            for place, other in one:
+                parts[place] = other
+            out.append(b"".join(parts))
+        return out
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -314,34 +329,37 @@ def _with_chunks(p: Pieces, texts: pa.Array, chars: int = 1 << 20) -> Iterator[t
 
 
 def encode(docs: DataFrame, model: str, n_best: int = 4, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_chunks, n_pieces, ids_crc32, score, n_found and losses (of the n best against the best,
-    comma-joined), lossless (decoding the ids gives the text back); the ids themselves if asked for."""
+    """doc_id, n_chunks, n_pieces, ids_crc32, score, n_found, losses (of the n best against the best, comma-joined) and
+    departures (where each of the n best departs from the best: chunk's place and checksum of its ids there), lossless
+    (decoding the ids gives the text back); ids of all n best if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model, n_best)
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for text, cut in _with_chunks(p, b.column(1)):
-                ids, score, lost, chunks = p.segment(text, cut)
-                row = (chunks, len(ids) // 4, zlib.crc32(ids), score, len(lost), ",".join(f"{x:.4f}" for x in lost), p.decode(ids) == text, np.frombuffer(ids, "<u4").tolist() if with_ids else None)
+                parts, score, lost, departs = p.segment(text, cut)
+                ids = b"".join(parts)
+                told = ",".join("+".join(f"{place}:{zlib.crc32(other)}" for place, other in one) for one in departs)
+                row = (len(parts), len(ids) // 4, zlib.crc32(ids), score, len(lost), ",".join(f"{x:.4f}" for x in lost), told, p.decode(ids) == text, [np.frombuffer(x, "<u4").tolist() for x in p.n_best(parts, departs)] if with_ids else None)
                 for c, v in zip(out, row):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
-            cols = [pa.array(c, k) for c, k in zip(out, kinds)][: 7 + with_ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_chunks", "n_pieces", "ids_crc32", "score", "n_found", "losses", "lossless"] + ["ids"] * with_ids)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int32())))
+            cols = [pa.array(c, k) for c, k in zip(out, kinds)][: 8 + with_ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_chunks", "n_pieces", "ids_crc32", "score", "n_found", "losses", "departures", "lossless"] + ["n_best"] * with_ids)
 
     plain = docs.select("doc_id", text_or_empty().alias("text"))
-    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, n_chunks long, n_pieces long, ids_crc32 long, score double, n_found long, losses string, lossless boolean" + ", ids array<int>" * with_ids)
+    return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, n_chunks long, n_pieces long, ids_crc32 long, score double, n_found long, losses string, departures string, lossless boolean" + ", n_best array<array<int>>" * with_ids)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, text of encoded rows (doc_id, ids); null ids decode to the empty text."""
+    """doc_id, text of encoded rows (doc_id, n_best): the best one's; null decodes to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model, 1)
         for b in batches:
-            texts = [p.decode(np.array(ids or [], "<u4").tobytes()) for ids in b.column(1).to_pylist()]
+            texts = [p.decode(np.array((ids or [[]])[0], "<u4").tobytes()) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    plain = encoded.select("doc_id", "ids")
+    plain = encoded.select("doc_id", "n_best")
     return plain.mapInArrow(run, f"doc_id {dict(plain.dtypes)['doc_id']}, text string")
