@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Filesystems whose rename refuses an existing target in one step.
 RENAMES_ONCE = ("hdfs", "viewfs", "webhdfs", "abfs", "abfss", "ofs")
 _own: str | None = None
+_folders: list[str] = []
+_tables: list[str] = []
 
 
 def folder(spark: SparkSession, what: str) -> str:
@@ -28,7 +30,27 @@ def folder(spark: SparkSession, what: str) -> str:
             _own = tempfile.mkdtemp(prefix="siltstone-")
             atexit.register(shutil.rmtree, _own, True)
         base = _own
-    return f"{base.rstrip('/')}/siltstone/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/siltstone/{what}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def made_table(name: str) -> None:
+    """Notes a catalog table over such a folder."""
+    _tables.append(name)
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes all folders and tables that this driver has made, once no result needs them any more: a result is read
+    from them until it is written. Returns how many folders went."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    gone = 0
+    while _folders:
+        path = _folders.pop()
+        fs, make = filesystem(spark, path)
+        gone += bool(fs.delete(make(path), True))
+    return gone
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
