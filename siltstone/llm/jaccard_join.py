@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, files_for, in_blocks, parts, power_of_two, settle
+from .common import BLOCK_BITS, files_for, in_blocks, numbered, parts, power_of_two, settle
 from .components import components
 
 WORDS = 5
@@ -392,7 +392,7 @@ def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each component (the smallest doc_id stays)."""
-    staged = in_blocks(docs.withColumn("row", F.monotonically_increasing_id()), "near-copies")
+    staged = in_blocks(numbered(docs, "text"), "near-copies")
     kept = jaccard_components(staged, "row").where("kept").select(F.shiftright("row", BLOCK_BITS).alias("block"), "row")
     # one array of at most 2 ** BLOCK_BITS rows per block, so that the join is by the texts' bucketing alone
     rows = kept.groupBy("block").agg(F.collect_list("row").alias("rows"))

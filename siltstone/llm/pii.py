@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BITS, files_for, in_blocks, settle
+from .common import BLOCK_BITS, files_for, in_blocks, row_numbers, settle
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS, SMOOTHING, BELIEVED = 3, 2.0, 0.5
@@ -202,19 +202,21 @@ _SLOT = "array<struct<patterns:array<string>,value:string,start:int,end:int,kind
 
 def _scan(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """row, doc_id, base (spans), slots, and carried columns."""
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), *carry)
+    plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"), *carry)
+    begin = row_numbers(plain)
     kinds = dict(plain.dtypes)
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     slot = pa.list_(pa.struct([("patterns", pa.list_(pa.string())), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("bits", pa.int32()), ("fits", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = begin()
         for b in batches:
             bases, found = [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(1).to_pylist():
                 base = base_spans(text)
                 bases.append([{"start": a, "kind": k, "end": e} for a, k, e in base])
                 found.append([{"patterns": contexts(text, a, e), "value": text[a:e], "start": a, "end": e, "kind": k, "bits": bits, "fits": k is None and identifies(text[a:e])} for a, e, k, bits in slots(text, base)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bases, span), pa.array(found, slot), *(b.column(3 + i) for i in range(len(carry)))], names=["row", "doc_id", "base", "slots", *carry])
+            yield pa.RecordBatch.from_arrays([number(b.column(1)), b.column(0), pa.array(bases, span), pa.array(found, slot), *(b.column(2 + i) for i in range(len(carry)))], names=["row", "doc_id", "base", "slots", *carry])
 
     return plain.mapInArrow(run, ", ".join(["row long", f"doc_id {kinds['doc_id']}", f"base {_SPAN}", f"slots {_SLOT}", *(f"`{c}` {kinds[c]}" for c in carry)]))
 

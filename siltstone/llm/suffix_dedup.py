@@ -49,7 +49,7 @@ from .common import BLOCK_BITS, in_blocks, numbered, parts, power_of_two, settle
 MATCH, GRAM = 100, 32
 HOT = 20_000
 FAN = 4096  # runs that are merged at a time
-SAMPLED, PER_RANGE = 64, 16  # one anchor in SAMPLED may be in the sample, which has about PER_RANGE for each range
+SAMPLED, PER_RANGE = 64, 64  # one anchor in SAMPLED may be in the sample, which has about PER_RANGE for each range
 CHUNK = 1 << 19  # bytes hashed at a time
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15

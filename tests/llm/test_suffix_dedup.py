@@ -131,3 +131,21 @@ def test_ties_do_not_depend_on_the_scan(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         seen.add(str(sorted((tuple(x) for x in remove_repeats(df).collect()), key=str)))
     assert len(seen) == 1
+
+
+def test_a_task_writes_few_buckets(spark):
+    import numpy as np
+    from itertools import islice
+
+    from siltstone.llm.common import block_numbers, bucket_of
+    from siltstone.sources import workspace
+
+    x = [0, 1, -5, 7 << 32, (3 << 32) + 12345]
+    told = [r.b for r in spark.createDataFrame([(v,) for v in x], "x long").selectExpr("pmod(hash(x), 37) as b").collect()]
+    assert bucket_of(np.array(x, np.int64), 37).tolist() == told
+    for part, buckets, each in ((0, 8, 1), (5, 8, 2), (7, 1000, 3)):
+        got = list(islice(block_numbers(part, buckets, each), 12))
+        assert got == sorted(set(got)) and all(b >> 32 == part for b in got)
+        assert set(bucket_of(np.array(got), buckets).tolist()) == {(part * each + k) % buckets for k in range(each)}
+    df = spark.createDataFrame([(i, "some text " * 30) for i in range(200)], "doc_id long, text string")
+    assert remove_repeats(df).count() == 200 and workspace.clean(spark) > 0
