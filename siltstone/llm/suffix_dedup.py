@@ -49,7 +49,7 @@ from .common import BLOCK_BITS, in_blocks, numbered, parts, power_of_two, settle
 MATCH, GRAM = 100, 32
 HOT = 20_000
 FAN = 4096  # runs that are merged at a time
-SAMPLED, PER_RANGE = 64, 64  # one anchor in SAMPLED may be in the sample, which has about PER_RANGE for each range
+SAMPLED, PER_RANGE = 64, 64  # one anchor of a block in SAMPLED may be in the sample, which has about PER_RANGE for each range
 CHUNK = 1 << 19  # bytes hashed at a time
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
@@ -318,9 +318,9 @@ _RUN_COLUMNS = [c.split()[0] for c in _RUN.split(", ")]
 def range_begins(told: DataFrame, ranges: int) -> list[bytes]:
     """Where all ranges but the first begin: evenly spaced in a sorted sample of the surviving anchors' first bytes.
     PER_RANGE anchors for each range at most come to the driver, a number that the session's partitions bound."""
-    heads = told.where("head is not null").select("head", "hash")
+    heads = told.where("head is not null").select("head", "hash", "block")
     rate = max(1, heads.count() // (PER_RANGE * ranges))
-    sample = sorted(bytes(r.head) for r in heads.where(F.pmod(F.xxhash64("hash"), F.lit(rate)) == 0).select("head").collect())
+    sample = sorted(bytes(r.head) for r in heads.where(F.pmod(F.xxhash64("hash", "block"), F.lit(rate)) == 0).select("head").collect())
     at = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
     return [b for k, b in enumerate(at) if not k or b > at[k - 1]]
 
@@ -332,14 +332,18 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
 
     def offer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, heads = [], {}
+        salt = np.uint64(int(key[0]) * _STEP % (1 << 64))  # other anchors in each block, so that frequent ones have their share
+
+        def sampled(h: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(((h ^ salt) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(SAMPLED) == 0)
+
         for _, raw, bounds in _chunks(pdf["body"].tolist()):
             at, h, _, _ = anchors(np.frombuffer(raw, np.uint8), bounds, match, gram)
             hashes.append(h)
-            some = np.flatnonzero(h % np.uint64(SAMPLED) == 0)
-            heads.update((int(h[k]), raw[at[k] : at[k] + gram]) for k in some)
+            heads.update((int(h[k]), raw[at[k] : at[k] + gram]) for k in sampled(h))
         every, counts = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
         head = np.full(len(every), None, object)
-        for k in np.flatnonzero(every % np.uint64(SAMPLED) == 0):
+        for k in sampled(every):
             head[k] = heads[int(every[k])]
         return pd.DataFrame({"block": np.full(len(every), key[0], np.int64), "hash": every.view(np.int64), "n": counts.astype(np.int32), "head": head})
 
