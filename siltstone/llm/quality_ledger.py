@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts", "n_unspaced", "n_bullets", "n_ellipses")
 
 
 @dataclass(frozen=True)
@@ -36,15 +36,18 @@ RULES = (
     Rule(0, "few_words", "n_words < 10"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule(3, "repeated_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines"),
     Rule(4, "capitals", "100 * n_upper > 40 * word_chars"),
     Rule(5, "shouts", "10 * n_shouts > n_words"),
-    Rule(6, "long_words", "word_chars > 15 * n_words"),
+    Rule(6, "long_words", "word_chars > 15 * n_words and 4 * n_unspaced < word_chars"),
+    Rule(7, "short_words", "word_chars < 2 * n_words"),
+    Rule(8, "bullets", "n_lines >= 3 and 10 * n_bullets > 9 * n_lines"),
+    Rule(9, "ellipses", "n_lines >= 3 and 10 * n_ellipses > 3 * n_lines"),
 )
 BASE = 0b0000011
 #: Versioned policies: a document is kept if none of its failure bits is in the mask.
-POLICIES = {1: BASE, 2: BASE | 0b0000100, 3: 0b1111111}
-CURRENT = 3
+POLICIES = {1: BASE, 2: BASE | 0b0000100, 3: 0b1111111, 4: 0b1111111111}
+CURRENT = 4
 
 
 def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -60,6 +63,7 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.expr("regexp_count(text, '[#*$%&|<>]')").cast("long").alias("n_symbols"),
         F.expr(r"regexp_count(text, '\\p{Lu}')").cast("long").alias("n_upper"),
         F.expr("regexp_count(text, '!!')").cast("long").alias("n_shouts"),
+        F.expr(r"regexp_count(text, '[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]')").cast("long").alias("n_unspaced"),
         *carried,
     )
     hashed = ", ".join(f"words[i + {k}]" for k in range(WINDOW))
@@ -78,6 +82,9 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         "n_upper",
         "n_shouts",
+        "n_unspaced",
+        F.expr(r"cast(size(filter(lines, l -> l rlike '^[\\x20\\x09-\\x0D]*[-*\u2022]')) as long)").alias("n_bullets"),
+        F.expr(r"cast(size(filter(lines, l -> l rlike '(\\.\\.\\.|\u2026)[\\x20\\x09-\\x0D]*$')) as long)").alias("n_ellipses"),
         *carried,
     )
 

@@ -114,18 +114,20 @@ cover AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(r
 m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
       coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^\p{Lu}]', '', 'g'))::BIGINT AS n_upper,
-      len(regexp_extract_all(text, '!!'))::BIGINT AS n_shouts FROM w LEFT JOIN cover USING (doc_id)),
+      len(regexp_extract_all(text, '!!'))::BIGINT AS n_shouts, length(regexp_replace(text, '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]', '', 'g'))::BIGINT AS n_unspaced,
+      len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*\x{2022}]')))::BIGINT AS n_bullets, len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipses FROM w LEFT JOIN cover USING (doc_id)),
 led AS (SELECT *, ((n_words < 10)::BIGINT + (100 * n_repeat_words > 20 * n_words)::BIGINT * 2 + (10 * n_symbols > n_words)::BIGINT * 4
-      + (100 * n_dup_lines > 30 * n_lines)::BIGINT * 8 + (100 * n_upper > 40 * word_chars)::BIGINT * 16
-      + (10 * n_shouts > n_words)::BIGINT * 32 + (word_chars > 15 * n_words)::BIGINT * 64) AS fail_bits FROM m)"""
+      + (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT * 8 + (100 * n_upper > 40 * word_chars)::BIGINT * 16
+      + (10 * n_shouts > n_words)::BIGINT * 32 + (word_chars > 15 * n_words AND 4 * n_unspaced < word_chars)::BIGINT * 64
+      + (word_chars < 2 * n_words)::BIGINT * 128 + (n_lines >= 3 AND 10 * n_bullets > 9 * n_lines)::BIGINT * 256 + (n_lines >= 3 AND 10 * n_ellipses > 3 * n_lines)::BIGINT * 512) AS fail_bits FROM m)"""
 ORACLE_SQL: dict[str, str] = {
     "op1_size_tiered_shards": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op2_quality_ledger": f"""WITH {_LEDGER}
-SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, 3::INTEGER AS policy_version,
+SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 1023) = 0 AS kept, 4::INTEGER AS policy_version,
        (CASE WHEN bit_count(fail_bits) = 1 THEN fail_bits ELSE 0 END)::BIGINT AS decisive_bits FROM led""",
     "quality_ablations": f"""WITH {_LEDGER},
-p(policy_version, mask) AS (VALUES (1, 3), (2, 7), (3, 127)),
-r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('capitals', 16), ('shouts', 32), ('long_words', 64))
+p(policy_version, mask) AS (VALUES (1, 3), (2, 7), (3, 127), (4, 1023)),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('capitals', 16), ('shouts', 32), ('long_words', 64), ('short_words', 128), ('bullets', 256), ('ellipses', 512))
 SELECT policy_version, rule, count(fail_bits)::BIGINT AS n_docs, count(*) FILTER ((fail_bits & mask) = 0)::BIGINT AS n_kept,
        count(*) FILTER ((fail_bits & bit) <> 0)::BIGINT AS n_failing, count(*) FILTER ((fail_bits & mask & ~bit) = 0)::BIGINT AS n_kept_without
 FROM p JOIN r ON (mask & bit) <> 0 LEFT JOIN led ON true GROUP BY ALL""",

@@ -14,7 +14,7 @@ def plain(t):
     n = Counter(windows)
     covered = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(5)}
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines), "n_upper": sum(c.isupper() for c in t if c < " "), "n_shouts": t.count("!!")}
+    return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines), "n_upper": sum(c.isupper() for c in t if c < " "), "n_shouts": t.count("!!"), "n_unspaced": len(re.findall("[\u4e00-\u9fff\u3041-\u3096\u0e01-\u0e3a]", t)), "n_bullets": sum(bool(re.match(r"[\x20\x09-\x0D]*[-*\u2022]", x)) for x in lines), "n_ellipses": sum(bool(re.search(r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", x)) for x in lines)}
 
 
 def texts():
