@@ -2,8 +2,9 @@
 
 Candidates are runs of 16 or more key characters with a digit among them; a name and ``=`` that lead the run
 (``api_key=...``) are not part of the value, but a neighbouring word of it. Features: length, character
-transitions, how much of it dictionary words cover, character classes, path signs, and the neighbouring
-words. A random forest (MLlib) trained from labelled findings tells secrets from commit ids, checksums,
+transitions, how much of it dictionary words cover, character classes, path signs of the value and of the word
+around it, and the neighbouring words. The dictionary is the corpus's own: the ``DICTIONARY`` words that stand in
+most documents (counted over all of them; a stated bound, so it may be broadcast), and a few that fill names. A random forest (MLlib) trained from labelled findings tells secrets from commit ids, checksums,
 numbers, paths and the like. Only DataFrame functions and MLlib run, all on the JVM.
 
 Labelled findings: a table (value, before2, before, after, label), or, by default, ``labelled_findings``:
@@ -21,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import settle, text_or_empty
 
 LABELLED = 6000
 TREES, DEPTH, SEED = 24, 7, 17
@@ -29,11 +30,12 @@ KEY = "A-Za-z0-9+/_=\\\\-"
 _HAS = f"(?<![{KEY}])(?=[A-Za-z+/_=\\\\-]*+[0-9])[{KEY}]{{16,}}"
 # what names the value in a run: all up to the last = that eight characters or more follow, with a digit
 _NAMED = "^.*=(?=[^=0-9]*[0-9])(?=[^=]{8,}=*$)"
+DICTIONARY, LEAST_DOCS = 20_000, 3
 # Words that speak for and against a secret beside a value, and words that fill names.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "private", "access")
 PLAIN_WORDS = ("commit", "sha", "sha1", "sha256", "md5", "hash", "checksum", "digest", "uuid", "guid", "id", "isbn", "version", "rev", "revision", "file", "path", "url", "http", "https", "see", "order", "card", "number", "phone", "page")
 NAME_WORDS = ("test", "example", "sample", "data", "file", "image", "model", "train", "value", "user", "name", "index", "table", "config", "module", "class", "version", "project", "report", "final", "draft", "page", "article", "the", "and", "for", "with", "from", "this", "that")
-FEATURES = ("length", "transitions", "dictionary", "digits", "capitals", "distinct", "hex", "slashes", "joints", "assigned", "quoted", "said_secret", "said_plain")
+FEATURES = ("length", "transitions", "dictionary", "digits", "capitals", "distinct", "hex", "slashes", "path", "joints", "assigned", "quoted", "said_secret", "said_plain")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -49,8 +51,28 @@ def _any(words: tuple[str, ...]) -> str:
     return "(^|[^a-z0-9])(" + "|".join(words) + ")([^a-z0-9]|$)"
 
 
-def with_features(c: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
+    """word: the words (letters alone, three or more) that stand in most documents, at least LEAST_DOCS, and NAME_WORDS."""
+    words = F.filter(F.split(F.lower(text_or_empty()), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"^\p{Punct}*\p{L}{3,16}\p{Punct}*$"))
+    each = docs.select(F.explode(F.array_distinct(F.transform(words, lambda w: F.regexp_replace(w, r"\p{Punct}+", "")))).alias("word"))
+    most = each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(size).select("word")
+    return most.union(docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, NAME_WORDS))))).distinct()
+
+
+def _covered(c: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds ``dictionary``: the share of the value's characters in runs of letters that are words (a capital begins one)."""
+    spaced = F.lower(F.regexp_replace(F.regexp_replace("value", r"(?<=[a-z])(?=[A-Z])", " "), r"[^A-Za-z]+", " "))
+    runs = F.filter(F.split(spaced, " "), lambda x: F.length(x) >= 3)
+    rows = c.withColumn("_row", F.monotonically_increasing_id())
+    hits = rows.select("*", F.explode_outer(runs).alias("_run")).join(F.broadcast(words.withColumnRenamed("word", "_run").withColumn("_in", F.lit(1))), "_run", "left")
+    share = F.coalesce(F.sum(F.when(F.col("_in") == 1, F.length("_run"))), F.lit(0)) / F.length(F.first("value"))
+    others = [x for x in c.columns]
+    return hits.groupBy("_row").agg(*(F.first(x).alias(x) for x in others), share.alias("dictionary")).drop("_row")
+
+
+def with_features(c: DataFrame, words: DataFrame) -> DataFrame:
     """Adds FEATURES; needs value, word, before2, before, after."""
+    c = _covered(c, words)
     n = F.length("value").cast("double")
     near = F.lower(F.concat_ws(" ", "before2", "before", F.expr("left(word, greatest(0, locate(value, word) - 1))")))
     kinds = F.expr("regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '[a-z]+', 'l'), '[A-Z]+', 'U'), '[0-9]+', '9'), '[^lU9]+', '.')")
@@ -59,12 +81,12 @@ def with_features(c: DataFrame) -> DataFrame:
     return c.withColumns({
         "length": n,
         "transitions": (F.length(kinds) - 1) / n,
-        "dictionary": 1 - F.length(F.regexp_replace(F.lower("value"), "|".join(sorted(NAME_WORDS, key=len, reverse=True)), "")) / n,
         "digits": count("[0-9]"),
         "capitals": count("[A-Z]"),
         "distinct": F.size(F.array_distinct(F.split("value", ""))) / n,
         "hex": F.col("value").rlike("^[0-9a-fA-F]+$").cast("double"),
         "slashes": count("/"),
+        "path": F.expr("regexp_count(word, '[/\\\\\\\\]')") / F.length("word") + F.col("word").rlike(r"[A-Za-z0-9_-]\.[a-z]{2,4}\W*$").cast("double"),
         "joints": count("[_\\\\-]"),
         "assigned": lead.rlike("[=:]\\s*[\"']?\\s*$").cast("double"),
         "quoted": F.col("word").rlike("[\"'`]").cast("double"),
@@ -113,20 +135,21 @@ def labelled_findings(spark: SparkSession, first: int = 0, n: int = LABELLED) ->
     )
 
 
-def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(with_features(labelled)).select("features", "label")
+def train(labelled: DataFrame, words: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> RandomForestClassificationModel:
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(with_features(labelled, words)).select("features", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
-def score(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+def score(found: DataFrame, model: RandomForestClassificationModel, words: DataFrame) -> DataFrame:
     """Adds p_secret and is_secret to candidates."""
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(with_features(found))
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(with_features(found, words))
     p = F.round(vector_to_array("probability")[1], 6)
     return model.transform(rows).withColumn("p_secret", p).withColumn("is_secret", F.col("p_secret") >= 0.5).select(*found.columns, *FEATURES, "p_secret", "is_secret")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """doc_id, word_at, nth, value_sha256, n_chars, p_secret, is_secret of every candidate of every text."""
-    model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled)
-    got = score(candidates(docs), model)
+    words = settle(dictionary(docs), "dictionary", 1)
+    model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled, words)
+    got = score(candidates(docs), model, words)
     return got.select("doc_id", F.col("word_at").cast("long").alias("word_at"), F.col("nth").cast("long").alias("nth"), F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), "p_secret", "is_secret")
