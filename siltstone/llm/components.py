@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import files_for, settle
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame, what: str = "labels") -> DataFrame:
     """node, root (smallest node reachable) for every node of ``edges`` (a long, b long).
@@ -19,7 +17,7 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
     both = settle(both, f"{what}-edges")
     files = files_for(both.sparkSession, both.count())  # a count of Parquet footers
     labels = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("node"), "root"), what, files)
-    for _ in range(MAX_ROUNDS):
+    while True:  # labels only fall, so the rounds end
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("near")).withColumnRenamed("a", "node")
         hooked = labels.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         onward = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -27,4 +25,3 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
         labels = moved.select("node", "root")
         if not moved.where("was <> root").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -11,7 +11,8 @@
    could still link are decided by intersecting the sorted arrays. Pairs already connected are skipped,
    so a group of copies costs one comparison each, not one per pair.
 5. Clusters larger than a tile are joined up across tiles: first by one set per part, then every set
-   outside a cluster's largest part against all others, so no link between parts is missed.
+   outside a cluster's largest part against the sets with which it shares one of those first shingles, list by
+   list, so no link between parts is missed and a cluster that chance has joined is not compared as a whole.
 
 Edges: null or wordless texts have the empty set and link with nothing; texts below five words have their
 whole word sequence as one shingle; null doc_ids count after all others in ``component_id`` and rows that
@@ -339,8 +340,7 @@ def links(sets: DataFrame) -> DataFrame:
         return found
 
     def with_parts(found: DataFrame) -> DataFrame:
-        label = components(found, "parts").withColumnsRenamed({"node": "row", "root": "part"})
-        return tiled.join(label, "row", "left").withColumn("part", F.coalesce("part", "row"))
+        return tiled.join(_parts_of(found, "parts"), "row", "left").withColumn("part", F.coalesce("part", "row"))
 
     # one set of each part, band by band, a tile at a time: joins most parts of large groups of copies
     heads = with_parts(found).where("row = part")
@@ -348,27 +348,51 @@ def links(sets: DataFrame) -> DataFrame:
     heads = heads.join(count, "cluster").select("cluster", F.lit(-1).alias("u"), F.expr("cast(pmod(xxhash64(row, 1), many) as int)").alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
     found = keep(found.union(_in_tiles(heads)))
 
-    # whatever is outside its cluster's largest part, against all other sets of neighbouring bands
+    # Whatever is outside its cluster's largest part, against the sets with which it shares a prefix shingle: sets that
+    # link do. Each shingle's sets are a list; equal lists (a passage's shingles) count once, and lists without such a set,
+    # or of one part, not at all.
     every = settle(with_parts(found), "parted")
     weight = every.groupBy("cluster", "part").agg(F.count("*").alias("c"))
     largest = settle(weight.groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("largest")), "largest", few)
-    minor = every.join(largest, "cluster").where("part <> largest").drop("largest")
-    if not minor.limit(1).count():
+    minor = every.join(largest, "cluster").select("row", "band", "part", (F.col("part") != F.col("largest")).alias("asks"))
+    minor = settle(minor, "minor")
+    if not minor.where("asks").limit(1).count():
         return found
-    asked = minor.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("asked"))
-    asked = settle(asked, "asked", 1)
+    lists = posts.join(minor, "row").groupBy("shingle").agg(F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"), F.count("*").alias("c"), F.max("asks").alias("asked"), F.min("part").alias("p"), F.max("part").alias("q"))
+    lists = settle(lists.where("asked and p <> q").groupBy("x", "y", "c").agg(F.min("shingle").alias("shingle")).select("shingle"), "lists")
+    members = posts.join(lists, "shingle").join(minor, "row").select(F.col("shingle").alias("cluster"), "row", "band", "part", "asks")
+    members = settle(members, "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    known = sets.select("row", "n", "shared")
+    inside = settle(members.join(sizes, "cluster").join(known, "row"), "inside")
+    within = inside.where(f"size <= {TILE}").select("cluster", F.lit(0).alias("u"), F.lit(0).alias("v"), "row", "n", "shared", "part", "asks")
+    found = keep(found.union(_in_tiles(within)))
+    return keep(found.union(_across(inside.where(f"size > {TILE}").drop("size", "part").join(_parts_of(found, "again"), "row", "left").withColumn("part", F.coalesce("part", "row")))))
+
+
+def _parts_of(found: DataFrame, what: str) -> DataFrame:
+    return components(found, what).withColumnsRenamed({"node": "row", "root": "part"})
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Links of the asking sets of lists longer than a tile (cluster: the list; row, n, shared, part, band, asks): tiles of
+    asking sets against tiles of all sets of the neighbouring bands of their list."""
+    members = settle(members, "across")
+    if not members.limit(1).count():
+        return members.sparkSession.createDataFrame([], _LINK)
+    bands = settle(members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.ceil(F.count_if("asks") / TILE).cast("int").alias("asked")), "bands", 1)
+    pack = lambda band, tile: band * 1_000_000 + tile  # noqa: E731  (band, tile) in an int
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    tile = F.expr("cast(pmod(xxhash64(row), tiles) as int)")
     place = F.expr("cast(pmod(xxhash64(row, 2), asked) as int)")
-    # key: (asking band and tile, other band and tile), each packed in an int
-    pack_u, pack_v = (lambda b, t: b * 1_000_000 + t), (lambda b, t: b * 1_000_000 + t)
-    others = every.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    others = others.join(asked.select("cluster", F.col("band").alias("near"), "asked"), ["cluster", "near"])
+    others = members.join(bands.select("cluster", "band", "tiles"), ["cluster", "band"]).withColumn("tile", tile).withColumn("near", near)
+    others = others.join(bands.where("asked > 0").select("cluster", F.col("band").alias("near"), "asked"), ["cluster", "near"])
     others = others.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
-    others = others.select("cluster", pack_u(F.col("near"), F.col("ask")).alias("u"), pack_v(F.col("band"), F.col("tile")).alias("v"), "row", "n", "shared", "part", F.lit(False).alias("asks"))
-    bands = tiles.select("cluster", F.col("band").alias("other"), "tiles")
-    asking = minor.drop("tiles").join(asked, ["cluster", "band"]).withColumn("other", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    asking = asking.join(bands, ["cluster", "other"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    asking = asking.select("cluster", pack_u(F.col("band"), place).alias("u"), pack_v(F.col("other"), F.col("o")).alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
-    return keep(found.union(_in_tiles(others.unionByName(asking))))
+    others = others.select("cluster", pack(F.col("near"), F.col("ask")).alias("u"), pack(F.col("band"), F.col("tile")).alias("v"), "row", "n", "shared", "part", F.lit(False).alias("asks"))
+    asking = members.where("asks").join(bands.select("cluster", "band", "asked"), ["cluster", "band"]).withColumn("other", near)
+    asking = asking.join(bands.select("cluster", F.col("band").alias("other"), "tiles"), ["cluster", "other"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    asking = asking.select("cluster", pack(F.col("band"), place).alias("u"), pack(F.col("other"), F.col("o")).alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
+    return _in_tiles(others.unionByName(asking))
 
 
 def jaccard_components(docs: DataFrame, row: str | None = None) -> DataFrame:
