@@ -394,7 +394,7 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
         return _runs(once(entries), once(windows), ranges, 0, part)
 
     def _runs(entries: list[tuple], windows: list[tuple], ranges: list[tuple], level: int, part: int) -> pd.DataFrame:
-        """The runs that the merge of this level takes, of sorted entries; known ranges go with the first. Shares of
+        """The runs that the merge of this level takes, of sorted entries; known ranges go with them, evenly. Shares of
         windows have numbers behind those of the ranges."""
         narrow = shift(level)
         out: dict[int, list[tuple]] = {}
@@ -404,7 +404,7 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
             out.setdefault(shares + zlib.crc32(e[0]) % shares >> narrow, []).append(e)
         if ranges and not out:
             out[0] = []
-        return pd.DataFrame([(share, part, *_encoded(run, ranges if not k else [])) for k, (share, run) in enumerate(out.items())], columns=_RUN_COLUMNS)
+        return pd.DataFrame([(share, part, *_encoded(run, ranges[k :: len(out)])) for k, (share, run) in enumerate(out.items())], columns=_RUN_COLUMNS)
 
     def premerge(level: int):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
