@@ -3,11 +3,13 @@
 A clip of 8-bit samples is stored as one physical Ogg stream with two multiplexed logical streams:
 the samples (packets of ``FRAME`` samples, granule position = samples finished so far) and a metadata
 stream. Reading verifies every page checksum, rebuilds packets from lacing values across pages,
-separates the logical streams by serial number, and derives each packet's end time from the granule
-position of the page on which it ends.
+separates the logical streams by serial number, and derives each packet's end time from granule positions:
+the page's own for the last packet that ends there, and backwards from it, by the samples of the packets
+between, for those before.
 
 Edges: a damaged page (bad capture pattern, checksum, cut-off body, missing page number) raises
-``OggError``; null or empty text is a clip of one frame of filler; equal texts give equal bytes.
+``OggError``, and so do granule positions that the samples contradict; packets may be empty; streams of other
+serial numbers may lie between; null or empty text is a clip of one frame of filler; equal texts give equal bytes.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +90,8 @@ def write_clip(samples: bytes, meta: bytes) -> bytes:
 @dataclass
 class Stream:
     packets: list[bytes] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)  # granule position of the page on which each ends
+    granules: list[int] = field(default_factory=list)  # granule position of the page on which each ends
+    on_page: list[int] = field(default_factory=list)  # number of that page
     pages: int = 0
     spanning: int = 0  # packets that ran over a page's end
     closed: bool = False
@@ -123,7 +127,8 @@ def read_streams(media: bytes) -> dict[int, Stream]:
             if n < 255:
                 s.parts.append(media[body : body + started])
                 s.packets.append(b"".join(s.parts))
-                s.ends.append(granule)
+                s.granules.append(granule)
+                s.on_page.append(number)
                 s.parts = []
                 body, started = body + started, 0
         if count and lacing[-1] == 255:
@@ -136,19 +141,29 @@ def read_streams(media: bytes) -> dict[int, Stream]:
     return streams
 
 
+def packet_ends(s: Stream, samples_of: Callable[[bytes], int]) -> list[int]:
+    """Granule position at the end of each packet."""
+    ends = list(s.granules)
+    for k in range(len(ends) - 2, -1, -1):
+        if s.on_page[k] == s.on_page[k + 1]:
+            ends[k] = ends[k + 1] - samples_of(s.packets[k + 1])
+    return ends
+
+
 def read_clip(media: bytes) -> tuple[bytes, bytes, dict]:
     """Samples, metadata, and what the container says of them."""
     streams = read_streams(media)
-    if set(streams) != {SAMPLES, META}:
+    if not {SAMPLES, META} <= set(streams):
         raise OggError("not a clip of this kind")
     sound, notes = streams[SAMPLES], streams[META]
-    kind, rate, frame = struct.unpack("<8sII", sound.packets[0])
-    if kind != b"PCM8    " or notes.packets[0] != b"NOTE    ":
+    if len(sound.packets[0]) != 16 or sound.packets[0][:8] != b"PCM8    " or len(sound.packets) < 2 or len(notes.packets) != 2 or notes.packets[0] != b"NOTE    ":
         raise OggError("unknown codec")
+    rate, frame = struct.unpack("<II", sound.packets[0][8:])
+    ends = packet_ends(sound, len)[1:]
+    if ends != list(accumulate(map(len, sound.packets[1:]))):
+        raise OggError("granule positions are not the numbers of samples")
     samples = b"".join(sound.packets[1:])
-    if sound.ends[-1] != len(samples):
-        raise OggError("the last granule position is not the number of samples")
-    return samples, notes.packets[1], {"rate": rate, "frame": frame, "packets": len(sound.packets) - 1, "pages": sound.pages + notes.pages, "spanning": sound.spanning, "micros": [g * 1_000_000 // rate for g in sound.ends[1:]]}
+    return samples, notes.packets[1], {"rate": rate, "frame": frame, "packets": len(sound.packets) - 1, "pages": sound.pages + notes.pages, "spanning": sound.spanning, "micros": [g * 1_000_000 // rate for g in ends]}
 
 
 def features(samples: bytes, said: dict) -> str:

@@ -4,8 +4,10 @@ Candidates are runs of 16 or more key characters with a digit among them; a name
 (``api_key=...``) are not part of the value, but a neighbouring word of it. Features: length, character
 transitions, how much of it dictionary words cover, character classes, path signs of the value and of the word
 around it, and the neighbouring words. The dictionary is the corpus's own: the ``DICTIONARY`` words that stand in
-most documents (counted over all of them; a stated bound, so it may be broadcast), and a few that fill names. A random forest (MLlib) trained from labelled findings tells secrets from commit ids, checksums,
-numbers, paths and the like. Only DataFrame functions and MLlib run, all on the JVM.
+most documents (counted over all of them; a stated bound, so it may be broadcast), and a few that fill names.
+A random forest (MLlib) trained from labelled findings tells secrets from commit ids, checksums, numbers, paths
+and the like. Only DataFrame functions and MLlib run, all on the JVM. ``kept`` trains once and stores forest and
+dictionary, for scans of later arrivals.
 
 Labelled findings: a table (value, before2, before, after, label), or, by default, ``labelled_findings``:
 ``LABELLED`` generated examples, a documented bound that does not grow with the corpus.
@@ -22,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workspace import filesystem
 from .common import settle, text_or_empty
 
 LABELLED = 6000
@@ -147,9 +150,28 @@ def score(found: DataFrame, model: RandomForestClassificationModel, words: DataF
     return model.transform(rows).withColumn("p_secret", p).withColumn("is_secret", F.col("p_secret") >= 0.5).select(*found.columns, *FEATURES, "p_secret", "is_secret")
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """doc_id, word_at, nth, value_sha256, n_chars, p_secret, is_secret of every candidate of every text."""
+def trained(docs: DataFrame, labelled: DataFrame | None = None) -> tuple[RandomForestClassificationModel, DataFrame]:
+    """The forest, and the dictionary that its features are taken with."""
     words = settle(dictionary(docs), "dictionary", 1)
-    model = train(labelled_findings(docs.sparkSession) if labelled is None else labelled, words)
+    return train(labelled_findings(docs.sparkSession) if labelled is None else labelled, words), words
+
+
+def kept(docs: DataFrame, path: str, labelled: DataFrame | None = None) -> tuple[RandomForestClassificationModel, DataFrame]:
+    """As ``trained``, but stored below ``path``: what an earlier call has stored there is read and nothing is trained.
+    The forest is written last, so one that is there is whole and has its dictionary."""
+    spark = docs.sparkSession
+    fs, make = filesystem(spark, path)
+    forest, words = f"{path}/forest", f"{path}/dictionary"
+    if not fs.exists(make(f"{forest}/treesMetadata/_SUCCESS")):
+        model, known = trained(docs, labelled)
+        known.coalesce(1).write.mode("overwrite").parquet(words)
+        model.write().overwrite().save(forest)
+    return RandomForestClassificationModel.load(forest), spark.read.schema("word string").parquet(words)
+
+
+def scan(docs: DataFrame, labelled: DataFrame | None = None, fitted: tuple[RandomForestClassificationModel, DataFrame] | None = None) -> DataFrame:
+    """doc_id, word_at, nth, value_sha256, n_chars, p_secret, is_secret of every candidate of every text. fitted: what
+    ``trained`` or ``kept`` gave; by default a forest is trained here."""
+    model, words = fitted or trained(docs, labelled)
     got = score(candidates(docs), model, words)
     return got.select("doc_id", F.col("word_at").cast("long").alias("word_at"), F.col("nth").cast("long").alias("nth"), F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), "p_secret", "is_secret")

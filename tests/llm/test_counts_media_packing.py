@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import struct
 import zlib
 
 import pytest
@@ -83,6 +84,47 @@ def test_damage_is_found():
             read_clip(bad)
 
 
+def hand_made(serial, number, flags, granule, lacing, body):
+    head = b"OggS" + struct.pack("<BBqII", 0, flags, granule, serial, number)
+    tail = bytes([len(lacing)]) + bytes(lacing) + body
+    return head + struct.pack("<I", slow_checksum(head + bytes(4) + tail)) + tail
+
+
+def hand_made_clip(last=572):
+    """Several packets a page, an empty one, one of 255 bytes, one over a page's end, and a third stream between."""
+    other = 77
+    pages = [
+        hand_made(SAMPLES, 0, 2, 0, [16], b"PCM8    " + struct.pack("<II", 8000, FRAME)),
+        hand_made(META, 0, 2, 0, [8], b"NOTE    "),
+        hand_made(other, 0, 2, 5, [3], b"abc"),
+        hand_made(SAMPLES, 1, 0, 265, [10, 255, 0, 0], b"a" * 10 + b"b" * 255),
+        hand_made(other, 1, 4, 9, [1], b"d"),
+        hand_made(SAMPLES, 2, 0, -1, [255], b"c" * 255),
+        hand_made(META, 1, 4, 572, [0], b""),
+        hand_made(SAMPLES, 3, 5, last, [45, 7], b"c" * 45 + b"d" * 7),
+    ]
+    return b"".join(pages)
+
+
+def test_packet_times_of_hand_made_pages():
+    samples, meta, said = read_clip(hand_made_clip())
+    assert samples == b"a" * 10 + b"b" * 255 + b"c" * 300 + b"d" * 7 and meta == b""
+    assert said["micros"] == [125 * n for n in (10, 265, 265, 565, 572)] and (said["packets"], said["pages"], said["spanning"]) == (5, 6, 1)
+    assert read_streams(hand_made_clip())[77].packets == [b"abc", b"d"]
+
+
+@pytest.mark.parametrize("last", [571, 573, 0])
+def test_granule_positions_must_agree_with_the_samples(last):
+    with pytest.raises(OggError):
+        read_clip(hand_made_clip(last))
+
+
+def test_every_packet_has_its_own_time():
+    samples = payload_of("x" * 100_000)
+    said = read_clip(write_clip(samples, b"n"))[2]
+    assert said["micros"] == [(i + 1) * FRAME * 125 for i in range(len(samples) // FRAME)]
+
+
 def test_media_column(spark):
     rows = [(1, None), (2, ""), (3, "é" * 5000), (4, "é" * 5000), (None, "a")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, media string")

@@ -117,3 +117,11 @@ def test_labelled_texts_by_hand(spark):
     found = sum(best.get(i, False) for i in range(len(yes)))
     wrong = sum(best.get(len(yes) + i, False) for i in range(len(no)))
     assert set(best) >= set(range(len(yes))) and found >= 5 and wrong <= 1, (best, found, wrong)
+
+
+def test_a_kept_forest_gives_the_same_findings(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "token = '2fd4e1c67a2d28fced849ee1bb76e7391b93eb12'"), (2, "commit 9f86d081884c7d659a2feaa0c55ad015"), (3, None)], "doc_id long, text string")
+    first = s.scan(docs, fitted=s.kept(docs, str(tmp_path / "kept"))).orderBy("doc_id").collect()
+    monkeypatch.setattr(s, "train", None)  # no second training
+    again = s.scan(docs, fitted=s.kept(docs, str(tmp_path / "kept"))).orderBy("doc_id").collect()
+    assert again == first and [r.doc_id for r in first] == [1, 2] and first[0].is_secret
