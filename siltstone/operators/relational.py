@@ -92,9 +92,32 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:  # V04
 
 
 def budget(df: DataFrame, group: Sequence[str], order: Sequence[Column], text: str, limit: int) -> DataFrame:  # W02
-    """Rows in order while their lengths add up to at most ``limit``; the first overflow ends the list."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_sum", F.sum(F.length(text)).over(w)).where(F.col("_sum") <= limit).drop("_sum")
+    """Rows in order while their lengths add up to at most ``limit``; the first overflow ends the list, and a missing
+    text adds nothing. A group's rows are first cut share by share, each after its own first overflow: the list and the
+    overflow that ends it pass all these cuts, so one task meets no more than a few rows of each share."""
+    size = F.coalesce(F.length(text), F.lit(0))
+
+    def so_far(*keys: str) -> Column:
+        return F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+    shares = df.withColumn("_share", F.spark_partition_id())
+    cut = shares.withColumn("_sum", so_far(*group, "_share") - size).where(F.col("_sum") <= limit).drop("_share")
+    return cut.withColumn("_sum", so_far(*group)).where(F.col("_sum") <= limit).drop("_sum")
+
+
+def similar_pairs(df: DataFrame, group: str, item: str, words: str, least: float) -> DataFrame:  # U02
+    """group, i, j (i < j): items of a group whose sets of words have a Jaccard similarity of ``least`` or more, which
+    lies above 0; an empty set is like nothing. Words have one order, by hash. Sets that are so similar share one of the
+    first ``n - ceil(least * n) + 1`` of their n words, so items meet by these and not all with all, and a group's size
+    makes no hot key; a pair is told by its first shared word alone."""
+    in_order = F.array_sort(F.transform(F.array_distinct(F.col(words)), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    sets = df.select(group, F.col(item).alias("i"), F.transform(in_order, lambda x: x["w"]).alias("x"))
+    n = F.size("x")
+    met = sets.where(n > 0).select("*", F.explode(F.slice("x", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("_word"))
+    both = met.join(met.withColumnsRenamed({"i": "j", "x": "y"}), [group, "_word"]).where("i < j")
+    shared = F.array_intersect("x", "y")
+    alike = F.size(shared) / (F.size("x") + F.size("y") - F.size(shared)) >= least
+    return both.where((F.get(shared, F.lit(0)) == F.col("_word")) & alike).select(group, "i", "j")
 
 
 def top_per(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:  # O01, W01

@@ -517,10 +517,9 @@ _SET = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))
 @query(f"""WITH t AS (SELECT conv_id, turn, {_SET} AS s FROM conversations), p AS (SELECT a.conv_id, a.turn AS i, b.turn AS j, a.s AS x, b.s AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE len(a.s) > 0 AND len(b.s) > 0)
 SELECT conv_id, i, j FROM p WHERE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) >= 0.2""")
 def jaccard_pairs(spark, sf_dir):
+    """Turns of one conversation that say much the same."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", planner.meaning(F.col("text")).alias("s"))
-    a, b = c.select("conv_id", F.col("turn").alias("i"), F.col("s").alias("x")), c.select("conv_id", F.col("turn").alias("j"), F.col("s").alias("y"))
-    both = a.join(b, "conv_id").where("i < j and size(x) > 0 and size(y) > 0")  # turns of one conversation
-    return both.where(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")) >= 0.2).select("conv_id", "i", "j")
+    return relational.similar_pairs(c, "conv_id", "turn", "s", 0.2)
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role || left(text, 1) ORDER BY turn) AS rn FROM conversations) WHERE rn = 1")

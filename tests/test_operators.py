@@ -1,5 +1,7 @@
 """Operators on small fixtures, and properties that hold for any data."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,33 @@ def test_budget_stops_at_the_first_overflow(spark):
     assert [r.rank for r in relational.budget(df, [], [F.col("rank")], "text", 10).collect()] == [1]
 
 
+def test_budget_of_shares_equals_one_list(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice("ab"), None if r.random() < 0.1 else "x" * r.choice([0, 1, 3, 30, 90])) for i in range(300)]
+    want = []
+    for g in "ab":
+        total = 0
+        for i, _, t in (x for x in rows if x[1] == g):
+            total += len(t or "")
+            if total > 100:
+                break
+            want.append(i)
+    for shares in (1, 7):
+        df = spark.createDataFrame(r.sample(rows, len(rows)), "i int, g string, text string").repartition(shares)
+        assert sorted(x.i for x in relational.budget(df, ["g"], [F.col("i")], "text", 100).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("least", [0.2, 0.6, 1.0])
+def test_similar_pairs_equal_all_pairs(spark, least):
+    r = random.Random(9)
+    sets = {(g, i): {f"w{r.randrange(9)}" for _ in range(r.randrange(7))} for g in range(4) for i in range(25)}
+    rows = [(g, i, [*s, *sorted(s)[:1]] if s or i % 2 else None) for (g, i), s in sets.items()]
+    df = spark.createDataFrame(rows, "g int, i int, words array<string>")
+    got = sorted((x.g, x.i, x.j) for x in relational.similar_pairs(df, "g", "i", "words", least).collect())
+    want = [(g, i, j) for (g, i), s in sets.items() for (h, j), t in sets.items() if g == h and i < j and s and t and len(s & t) / len(s | t) >= least]
+    assert got == sorted(want) and got
+
+
 def test_carried_levels_reset(spark):
     lines = [(1, "P1", None), (2, None, "I1"), (3, None, None), (4, "P2", None), (5, None, None), (6, None, "I2")]
     df = spark.createDataFrame([("d", *x) for x in lines], "doc string, i int, p string, t string")
