@@ -20,6 +20,7 @@ share a doc_id count separately; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ WORDS = 5
 SIMILAR = (75, 100)  # intersection over union at least 75 / 100
 TILE = 256
 BATCH_BYTES = 8 << 20
+#: Longer words are hashed by BLAKE2: modulo 2 ** 64 some words of 1024 bytes have one polynomial whatever its base.
+LONG_WORD = 128
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _rng = np.random.default_rng(20230811)
@@ -89,6 +92,8 @@ def _chunk_sets(texts: list[bytes]) -> list[np.ndarray]:
     sums = np.cumsum(_BYTE[raw] * power[: len(raw)])
     before = np.where(first > 0, sums[first - 1], np.uint64(0))
     word = _mix((sums[last - 1] - before) * inverse[first])
+    for k in np.flatnonzero(last - first > LONG_WORD).tolist():
+        word[k] = int.from_bytes(hashlib.blake2b(raw[first[k] : last[k]].tobytes(), digest_size=8).digest(), "little")
     if len(word) >= WORDS:
         gram = sum((word[k : len(word) - WORDS + 1 + k] * _PLACE[k] for k in range(1, WORDS)), word[: len(word) - WORDS + 1] * _PLACE[0])
         gram = _mix(gram)
@@ -358,16 +363,16 @@ def links(sets: DataFrame) -> DataFrame:
     asked = minor.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("asked"))
     asked = settle(asked, "asked", 1)
     place = F.expr("cast(pmod(xxhash64(row, 2), asked) as int)")
-    # key: (asking band and tile, other band and tile), each packed in an int
-    pack_u, pack_v = (lambda b, t: b * 1_000_000 + t), (lambda b, t: b * 1_000_000 + t)
+    # key: (asking band and tile, other band and tile), each packed in a long
+    packed = lambda b, t: F.shiftleft(b.cast("long"), 32) + t
     others = every.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     others = others.join(asked.select("cluster", F.col("band").alias("near"), "asked"), ["cluster", "near"])
     others = others.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
-    others = others.select("cluster", pack_u(F.col("near"), F.col("ask")).alias("u"), pack_v(F.col("band"), F.col("tile")).alias("v"), "row", "n", "shared", "part", F.lit(False).alias("asks"))
+    others = others.select("cluster", packed(F.col("near"), F.col("ask")).alias("u"), packed(F.col("band"), F.col("tile")).alias("v"), "row", "n", "shared", "part", F.lit(False).alias("asks"))
     bands = tiles.select("cluster", F.col("band").alias("other"), "tiles")
     asking = minor.drop("tiles").join(asked, ["cluster", "band"]).withColumn("other", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     asking = asking.join(bands, ["cluster", "other"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    asking = asking.select("cluster", pack_u(F.col("band"), place).alias("u"), pack_v(F.col("other"), F.col("o")).alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
+    asking = asking.select("cluster", packed(F.col("band"), place).alias("u"), packed(F.col("other"), F.col("o")).alias("v"), "row", "n", "shared", "part", F.lit(True).alias("asks"))
     return keep(found.union(_in_tiles(others.unionByName(asking))))
 
 

@@ -85,6 +85,15 @@ def test_edges(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_long_words_of_one_polynomial_differ(spark):
+    """Thue-Morse words and their complements have equal polynomials modulo 2 ** 64 for every odd base."""
+    parity = [bin(i).count("1") & 1 for i in range(4096)]
+    words = ["".join(letters[p] for p in parity[:n]) for n in (1024, 2048, 4096) for letters in ("ab", "ba", "AB", "01")]
+    rows = [(i, f"one {w} two") for i, w in enumerate(words)] + [(100 + i, f"one {w} two x y z {w}") for i, w in enumerate(words)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_components_of_a_path(spark):
     order = list(range(60))
     random.Random(2).shuffle(order)
