@@ -1,5 +1,6 @@
 """Every registered query against its SQL in DuckDB, on the smallest tables."""
 
+import functools
 import os
 
 import pytest
@@ -7,6 +8,7 @@ import pytest
 from siltstone.plans import boundary, catalog  # noqa: F401  boundary registers its queries
 
 DATA = "/root/testdata/sf0.001"
+FOLDERS = (DATA, "/root/testdata/sf0.01")
 
 
 def plain(rows):
@@ -17,25 +19,32 @@ def plain(rows):
 def duck():
     import duckdb
 
-    con = duckdb.connect()
-    for f in os.listdir(DATA):
-        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'")
-    return con
+    @functools.cache
+    def tables(folder):
+        con = duckdb.connect()
+        for f in os.listdir(folder):
+            con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{folder}/{f}'")
+        return con
+
+    return tables
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, duck, name):
-    got = catalog.QUERIES[name](spark, DATA)
-    rows = got.collect()
+    """On the smallest tables; where these give no rows, on the next ones too, as equal emptiness says little."""
+    for folder in FOLDERS:
+        got = catalog.QUERIES[name](spark, folder)
+        rows = got.collect()
+        if name in catalog.ORACLE_SQL:
+            want = duck(folder).sql(catalog.ORACLE_SQL[name])
+            order = sorted(want.columns)
+            assert sorted(got.columns) == order
+            at = [want.columns.index(c) for c in order]
+            assert plain([[r[c] for c in order] for r in rows]) == plain([[r[i] for i in at] for r in want.fetchall()])
+        if rows:
+            break
     assert rows
-    if name not in catalog.ORACLE_SQL:
-        return
-    want = duck.sql(catalog.ORACLE_SQL[name])
-    order = sorted(want.columns)
-    assert sorted(got.columns) == order
-    at = [want.columns.index(c) for c in order]
-    assert plain([[r[c] for c in order] for r in rows]) == plain([[r[i] for i in at] for r in want.fetchall()])
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
