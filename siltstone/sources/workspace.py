@@ -53,6 +53,14 @@ def clean(spark: SparkSession) -> int:
     return gone
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes one folder that this driver has made and no result reads any more."""
+    fs, make = filesystem(spark, path)
+    fs.delete(make(path), True)
+    if path in _folders:
+        _folders.remove(path)
+
+
 def settled(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and what depends on partitions is fixed."""
     path = folder(df.sparkSession, what)
