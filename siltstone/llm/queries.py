@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import table
 from .common import documents, scratch
 
 
@@ -22,11 +23,11 @@ def vocabulary(name: str) -> str:
 def _compacted(spark: SparkSession, sf_dir: str):
     from .shards import ShardTable
 
-    table = ShardTable(spark, scratch(spark, "sharded"))
-    table.append(documents(spark, sf_dir))
-    table.compact()
-    table.vacuum(stale_s=0)  # no other writer knows this table
-    return table
+    shards = ShardTable(spark, scratch(spark, "sharded"))
+    shards.append(documents(spark, sf_dir))
+    shards.compact()
+    shards.vacuum(stale_s=0)  # no other writer knows this table
+    return shards
 
 
 def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, shard_manifest, op2_quality_ledger, quality_ablations, op3_n_best_pieces, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op7_contextual_pii, op8_token_counts, op9_secret_forest, op10_suffix_array_dedup)}
+def op12_annular_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import coded
+
+    return coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sort_means import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, shard_manifest, op2_quality_ledger, quality_ablations, op3_n_best_pieces, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op7_contextual_pii, op8_token_counts, op9_secret_forest, op10_suffix_array_dedup, op12_annular_vector_codes, op13_sort_means)}
 
 _LEDGER = r"""
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -120,7 +133,45 @@ led AS (SELECT *, ((n_words < 10)::BIGINT + (100 * n_repeat_words > 20 * n_words
       + (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT * 8 + (100 * n_upper > 40 * word_chars)::BIGINT * 16
       + (10 * n_shouts > n_words)::BIGINT * 32 + (word_chars > 15 * n_words AND 4 * n_unspaced < word_chars)::BIGINT * 64
       + (word_chars < 2 * n_words)::BIGINT * 128 + (n_lines >= 3 AND 10 * n_bullets > 9 * n_lines)::BIGINT * 256 + (n_lines >= 3 AND 10 * n_ellipses > 3 * n_lines)::BIGINT * 512) AS fail_bits FROM m)"""
+
+#: The squared distance of two lists of integers, and the floor of a quotient.
+_SQUARED = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: ({0}[i] - {1}[i]) * ({0}[i] - {1}[i])))::BIGINT"
+_FLOOR = "((sum({0}) - ((sum({0}) % {1}) + {1}) % {1}) // {1})::BIGINT"
+
+
+def _codes_sql(scale: int = 4096, parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = [f"""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+f"p AS MATERIALIZED (SELECT vec_id, m, list_slice(v, m * (len(v) // {parts}) + 1, (m + 1) * (len(v) // {parts})) AS x FROM k, range({parts}) AS t(m))",
+f"b0 AS MATERIALIZED (SELECT m, row_number() OVER (PARTITION BY m ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < {entries})"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, m, any_value(x) AS x, min({_SQUARED.format('x', 'c')} * {entries} + e) AS de FROM p JOIN b{r} USING (m) GROUP BY vec_id, m)")
+        if r < rounds:
+            steps.append(f"s{r} AS MATERIALIZED (SELECT m, e, list(y ORDER BY i) AS c FROM (SELECT m, de % {entries} AS e, i, {_FLOOR.format('x[i]', 'count(*)')} AS y FROM a{r}, range(1, len(x) + 1) AS t(i) GROUP BY ALL) GROUP BY m, e)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.m, b.e, coalesce(s.c, b.c) AS c FROM b{r} AS b LEFT JOIN s{r} AS s ON s.m = b.m AND s.e = b.e)")
+    steps.append(f"f AS (SELECT vec_id, string_agg(printf('%02x', de % {entries}), '' ORDER BY m) AS code, sum(de // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id)")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY m, e)) FROM b{rounds}) AS codebooks_sha256 FROM f JOIN k USING (vec_id)"""
+
+
+def _means_sql(scale: int = 256, dimensions: int = 64, centroids: int = 40, rounds: int = 5, seed: str = "2:") -> str:
+    steps = [f"""k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}' || vec_id)) - 1 AS e, x AS c FROM k QUALIFY e < {centroids})"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min({_SQUARED.format('x', 'c')} * {centroids} + e) AS de FROM k, c{r} GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"s{r} AS MATERIALIZED (SELECT e, list(y ORDER BY i) AS c FROM (SELECT de % {centroids} AS e, i, {_FLOOR.format('x[i]', 'count(*)')} AS y FROM a{r}, range(1, {dimensions + 1}) AS t(i) GROUP BY ALL) GROUP BY e)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT b.e, coalesce(s.c, b.c) AS c FROM c{r} AS b LEFT JOIN s{r} AS s ON s.e = b.e)")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, (de % {centroids})::INTEGER AS cluster, (de // {centroids})::BIGINT AS distance, (sum(de // {centroids}) OVER (PARTITION BY de % {centroids}))::BIGINT AS cluster_inertia,
+       (sum(de // {centroids}) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON e = de % {centroids}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_annular_vector_codes": _codes_sql(),
+    "op13_sort_means": _means_sql(),
     "op1_size_tiered_shards": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
     "op2_quality_ledger": f"""WITH {_LEDGER}
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 1023) = 0 AS kept, 4::INTEGER AS policy_version,
