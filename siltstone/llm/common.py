@@ -45,7 +45,7 @@ def files_for(spark: SparkSession, rows: int, per_file: int = 100_000) -> int:
     return max(1, min(parts(spark), -(-rows // per_file)))
 
 
-BLOCK_BITS = 10  # rows of a block: 2 ** BLOCK_BITS consecutive ones of a partition at most
+BLOCK_BITS = 10  # rows of a block: 2 ** BLOCK_BITS consecutive ones of a partition at most, unless a caller sets other bits
 BLOCK_BYTES = 8 << 20  # and about this many bytes, or one longer row
 
 
@@ -80,7 +80,7 @@ def block_numbers(part: int, buckets: int, of_part: int) -> Iterator[int]:
         at += 1 << 14
 
 
-def row_numbers(df: DataFrame, most: int = BLOCK_BYTES) -> Callable[[], Callable[[pa.Array], pa.Array]]:
+def row_numbers(df: DataFrame, most: int = BLOCK_BYTES, bits: int = BLOCK_BITS) -> Callable[[], Callable[[pa.Array], pa.Array]]:
     """For tasks over the partitions of ``df``: makes a function that numbers rows in the order of the scan, batch by
     batch, from their texts. A number's upper bits are the block, whose rows hold at most ``most`` bytes together, unless
     a single one holds more."""
@@ -95,9 +95,9 @@ def row_numbers(df: DataFrame, most: int = BLOCK_BYTES) -> Callable[[], Callable
             nonlocal block, place, size
             rows = []
             for n in pc.fill_null(pc.binary_length(texts), 0).to_pylist():
-                if place == 1 << BLOCK_BITS or (place and size + n > most):
+                if place == 1 << bits or (place and size + n > most):
                     block, place, size = next(blocks), 0, 0
-                rows.append(block << BLOCK_BITS | place)
+                rows.append(block << bits | place)
                 place, size = place + 1, size + n
             return pa.array(rows, pa.int64())
 
@@ -106,9 +106,9 @@ def row_numbers(df: DataFrame, most: int = BLOCK_BYTES) -> Callable[[], Callable
     return begin
 
 
-def numbered(df: DataFrame, body: str, most: int = BLOCK_BYTES) -> DataFrame:
+def numbered(df: DataFrame, body: str, most: int = BLOCK_BYTES, bits: int = BLOCK_BITS) -> DataFrame:
     """``df`` with a ``row`` of ``row_numbers`` in front. No shuffle, nothing kept but a counter."""
-    at, begin = df.columns.index(body), row_numbers(df, most)
+    at, begin = df.columns.index(body), row_numbers(df, most, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = begin()
@@ -123,12 +123,12 @@ def buckets_of(spark: SparkSession) -> int:
     return max(8, parts(spark))
 
 
-def in_blocks(df: DataFrame, what: str) -> DataFrame:
+def in_blocks(df: DataFrame, what: str, bits: int = BLOCK_BITS) -> DataFrame:
     """``df`` (with a ``row`` of ``numbered``) as a table in the shared folder, bucketed by ``block``. Written
     without a shuffle; later joins and groups by block read the texts in place, and ``row`` is fixed."""
     spark = df.sparkSession
     name = f"siltstone_{uuid.uuid4().hex}"
-    blocks = df.withColumn("block", F.shiftright("row", BLOCK_BITS))
+    blocks = df.withColumn("block", F.shiftright("row", bits))
     blocks.write.bucketBy(buckets_of(spark), "block").sortBy("block").option("path", scratch(spark, what)).option("compression", "zstd").saveAsTable(name)
     workspace.made_table(name)
     return spark.table(name)

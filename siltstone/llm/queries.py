@@ -104,6 +104,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_block_anchor_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_anchors import remove_passages
+
+    return remove_passages(documents(spark, sf_dir))
+
+
 def op12_annular_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import coded
 
@@ -116,7 +122,7 @@ def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, shard_manifest, op2_quality_ledger, quality_ablations, op3_n_best_pieces, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op7_contextual_pii, op8_token_counts, op9_secret_forest, op10_suffix_array_dedup, op12_annular_vector_codes, op13_sort_means)}
+QUERIES = {f.__name__: f for f in (op1_size_tiered_shards, shard_manifest, op2_quality_ledger, quality_ablations, op3_n_best_pieces, op4_jaccard_join, op5_ogg_media, op6_sum_of_squares_packing, op7_contextual_pii, op8_token_counts, op9_secret_forest, op10_suffix_array_dedup, op11_block_anchor_passages, op12_annular_vector_codes, op13_sort_means)}
 
 _LEDGER = r"""
 w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
@@ -170,6 +176,12 @@ SELECT vec_id, (de % {centroids})::INTEGER AS cluster, (de // {centroids})::BIGI
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_block_anchor_passages": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM again, range(20) AS t(k) GROUP BY doc_id),
+kept AS (SELECT doc_id, words, list_filter(words, lambda x, i: places IS NULL OR NOT list_contains(places, i)) AS stay FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(stay))::BIGINT AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept""",
     "op12_annular_vector_codes": _codes_sql(),
     "op13_sort_means": _means_sql(),
     "op1_size_tiered_shards": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
