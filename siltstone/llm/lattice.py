@@ -16,11 +16,12 @@ LARGEST = 1 << 26
 def on_lattice(vectors: DataFrame, scale: int, vector: str = "embedding", keep: tuple[str, ...] = ("vec_id",)) -> DataFrame:
     """The columns ``keep``, and ``v``: floor(scale * x) of every component. Rows whose vector is null or holds a null or
     non-finite component go. Built-in functions only."""
-    x = F.col(vector).cast("array<double>")
-    sound = vectors.select(*keep, x.alias("x")).where(F.col("x").isNotNull() & F.forall("x", lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))))
-    small = F.forall("x", lambda y: F.abs(y * scale) < LARGEST)
+    given = vectors.select(*keep, F.col(vector).cast("array<double>").alias("x"))
+    sound = F.col("x").isNotNull() & F.forall("x", lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
     refused = F.raise_error(F.concat(F.lit(f"a component times {scale} reaches {LARGEST}: "), F.to_json(F.struct("x")))).cast("array<bigint>")
-    return sound.select(*keep, F.when(small, F.transform("x", lambda y: F.floor(y * scale))).otherwise(refused).alias("v"))
+    # the optimizer may ask for v before the rows are filtered
+    v = F.when(sound & F.exists("x", lambda y: F.abs(y * scale) >= LARGEST), refused).otherwise(F.transform("x", lambda y: F.floor(y * scale)))
+    return given.where(sound).select(*keep, v.alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
