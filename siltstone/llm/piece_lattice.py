@@ -1,8 +1,10 @@
 """N-best segmentation into SentencePiece pieces: forward Viterbi, backward A-star.
 
 The scores of the best way to each position of the lattice, from a forward Viterbi pass, are exact
-heuristics for the search that runs back from the end: hypotheses come off the agenda best first, and
-each that reaches the start is the next best segmentation.
+heuristics for the search that runs back from the end: hypotheses come off the agenda best first, each goes
+back to the start along the best edges and is the next best segmentation, and the edges that depart from
+its way are the agenda's next hypotheses. It never holds more than are still wanted, so a chunk of any length costs n
+walks over it, also where all segmentations tie (a run of one letter).
 
 A text's lattice falls apart wherever no piece of the vocabulary crosses (before the first of a run of
 spaces, around line ends): these chunks are solved once per distinct chunk, and the n best of the whole
@@ -15,7 +17,8 @@ scores to its end; the agenda runs for chunks that may depart. Tests hold the tw
 Scores are the vocabulary's own; a character without a piece is spelled in byte pieces at the least score
 minus 10. Edges: null or empty text has no pieces and one segmentation; the mark U+2581 inside a text
 decodes to a space, as in the library (``lossless`` says whether decoding gives the text back); ties
-go to the segmentation found first, longer last pieces first; any length works.
+go to the segmentation found first, longer last pieces first; rows that repeat a doc_id or a text count separately; an empty
+table gives an empty result; other columns are not read; work and memory grow with a text's length, whatever it repeats.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import re
 import string
 import zlib
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush, nsmallest
 from operator import itemgetter
@@ -38,7 +42,6 @@ CACHE_ENTRIES = 400_000
 _LEAST, _MOST, _LOSS = float("-inf"), float("inf"), itemgetter(2)
 _CODES, _LETTERS = 0x2600, 0x180  # Latin letters and signs; chunks with others are solved one by one
 _TOGETHER = 40  # longest chunks that are solved many at once
-_NONE = (0.0, -1)  # stands for: no piece begins so
 
 
 class Pieces(dict):
@@ -68,6 +71,11 @@ class Pieces(dict):
         self.unknown = min(s for s, _ in self.piece.values() if s > -1e8) - 10
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.piece):
             raise ValueError("a piece of this vocabulary crosses words")
+        self.longest = max(map(len, self.piece))
+        ends: dict[str, set[int]] = {}
+        for p in self.piece:
+            ends.setdefault(p[-1], set()).add(len(p))
+        self.lengths = {c: sorted(x, reverse=True) for c, x in ends.items()}
         # every beginning of a piece, so that a search for longer ones can stop
         self.begun: dict[str, tuple[float, int] | None] = {p[:k]: None for p in self.piece for k in range(1, len(p))}
         self.begun.update(self.piece)
@@ -173,30 +181,21 @@ class Pieces(dict):
             self.keep(chunk, got)
         return got
 
-    def lattice(self, chunk: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
-        """The edges (from, to, score, ids), by the place they start from."""
-        n, begun, piece, out = len(chunk), self.begun, self.piece, []
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                got = begun.get(chunk[i:j], _NONE)
-                if got is None:
-                    continue
-                if got is _NONE:
-                    break
-                out.append((i, j, got[0], (got[1],)))
-            if chunk[i] not in piece:
-                out.append((i, i + 1, self.unknown, tuple(self.bytes[b] for b in chunk[i].encode("utf-8", "replace"))))
-        return out
-
-    @staticmethod
-    def forward(edges: list, n: int) -> tuple[list[float], list[int]]:
-        """Viterbi: the best score to each place, and the edge by which it is reached."""
-        best, by = [0.0] + [_LEAST] * n, [-1] * (n + 1)
-        for k, (i, j, s, _) in enumerate(edges):
-            if best[i] + s > best[j]:
-                best[j] = best[i] + s
-                by[j] = k
-        return best, by
+    def ending(self, chunk: str, j: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+        """The lattice's edges to place j: from where, score, ids; longest first."""
+        piece = self.piece
+        for k in self.lengths.get(chunk[j - 1], ()):
+            if k <= j and (got := piece.get(chunk[j - k : j])) is not None:
+                yield j - k, got[0], (got[1],)
+        if chunk[j - 1] not in piece:
+            yield j - 1, self.unknown, tuple(self.bytes[b] for b in chunk[j - 1].encode("utf-8", "replace"))
+
+    def forward(self, chunk: str) -> list[float]:
+        """Viterbi: the best score to each place."""
+        best = [0.0]
+        for j in range(1, len(chunk) + 1):
+            best.append(max(best[i] + s for i, s, _ in self.ending(chunk, j)))
+        return best
 
     def best(self, chunk: str) -> tuple[bytes, float, float, str]:
         """Ids of the best segmentation, its score, how much the second best loses (infinite: there is
@@ -205,7 +204,7 @@ class Pieces(dict):
         best, second, by = [0.0] + [_LEAST] * n, [_LEAST] * (n + 1), [None] * (n + 1)
         for i in range(n):
             here, other, j, below = best[i], second[i], i, trie
-            for c in chunk[i:] if i else chunk:
+            for c in chunk[i : i + self.longest]:
                 j += 1
                 node = below.get(c)
                 if node is None:
@@ -237,26 +236,38 @@ class Pieces(dict):
         return b"".join(ids), best[n], best[n] - second[n], chunk
 
     def search(self, chunk: str) -> list[tuple[float, list[tuple[int, ...]]]]:
-        """The n best segmentations, best first: score, and ids (of a character's bytes together)."""
-        n = len(chunk)
-        edges = self.lattice(chunk)
-        best, _ = self.forward(edges, n)
-        ending: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for i, j, s, ids in edges:
-            ending[j].append((i, s, ids))
-        agenda, out, made = [(-best[n], 0, n, 0.0, None)], [], 0
-        while agenda and len(out) < self.n:
-            _, _, at, after, path = heappop(agenda)
-            if not at:
-                found = []
-                while path is not None:
-                    found.append(path[0])
-                    path = path[1]
-                out.append((after, found))
-                continue
-            for i, s, ids in ending[at]:
-                made += 1
-                heappush(agenda, (-(after + s + best[i]), made, i, after + s, (ids, path)))
+        """The n best segmentations, best first: score, and ids (of a character's bytes together).
+
+        Estimates are exact, so what comes off the agenda goes straight back to the start along the best edges, and the
+        agenda gets only the edges that depart from there. Each entry is another segmentation with a known score, so
+        as many of the best as are still wanted are all that is kept: n walks over the chunk, ties or not."""
+        best = self.forward(chunk)
+        agenda, out, made = [(-best[-1], 0, len(chunk), 0.0, None)], [], 0
+        while agenda:
+            _, _, at, after, path = agenda.pop(0)
+            wanted = self.n - len(out) - 1
+            del agenda[wanted:]
+            while at:
+                edges = list(self.ending(chunk, at))
+                along = max(edges, key=lambda e: best[e[0]] + e[1])  # the first, longest one of equals, as in the forward pass
+                for edge in edges if wanted else ():
+                    if edge is along:
+                        continue
+                    i, s, ids = edge
+                    made += 1
+                    departs = (-(after + s + best[i]), made, i, after + s, (ids, path))
+                    if len(agenda) < wanted:
+                        insort(agenda, departs)
+                    elif departs < agenda[-1]:
+                        insort(agenda, departs)
+                        agenda.pop()
+                i, s, ids = along
+                at, after, path = i, after + s, (ids, path)
+            found = []
+            while path is not None:
+                found.append(path[0])
+                path = path[1]
+            out.append((after, found))
         return out
 
     def cut(self, text: str) -> list[str]:

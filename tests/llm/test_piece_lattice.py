@@ -64,6 +64,26 @@ def test_chunks_learnt_together_equal_the_search():
         assert told in same
 
 
+@pytest.mark.parametrize("chunk", ["aaaaaaaaaa", MARK * 9, "----------", "1111111111", "ababababab", "\u6f22" * 8])
+def test_tied_lattices_equal_enumeration(chunk):
+    p = Pieces(MODEL, 12)
+    every = enumerate_all(p, chunk)
+    scores = dict((ids, s) for s, ids in every)
+    found = p.search(chunk)
+    told = [tuple(k for part in x for k in part) for _, x in found]
+    assert len(set(told)) == len(told) == min(12, len(every))
+    assert np.allclose([s for s, _ in found], [s for s, _ in every[:12]]) and np.allclose([scores[x] for x in told], [s for s, _ in found])
+
+
+@pytest.mark.parametrize("sign", ["a", " ", "-", "1", "\u6f22"])
+def test_runs_of_one_sign_end(sign):
+    """A million of one sign: n walks over it, however many segmentations tie."""
+    p = pieces(MODEL, 4)
+    text = sign * 1_000_000
+    ids, score, lost, departs = p.segment(text)
+    assert lost[0] == 0 and lost == sorted(lost) and 1 <= len(lost) <= 4 and p.decode(b"".join(ids)) == text
+
+
 def test_round_trip_and_library(spark):
     import sentencepiece
 
