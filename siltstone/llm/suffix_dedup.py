@@ -28,8 +28,9 @@ group of suffixes outgrows a task: a block keeps each window once, and so does e
 rows or 8 MB at most), and both later passes read it in place.
 
 Edges: null text is empty; a null doc_id comes before all others, and so does one that is no number; rows that
-share a doc_id count as documents in the order of a hash of their texts; texts shorter than ``match`` keep all; an
-empty table gives an empty result; other columns are carried only if asked for.
+share a doc_id count as documents in the order of a hash of their texts; texts shorter than ``match`` keep all; texts
+of any length are read in slices, and of a run of one character or of any short period only the distinct windows of a
+slice become entries; an empty table gives an empty result; other columns are carried only if asked for.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ from .common import BLOCK_BITS, in_blocks, numbered, parts, power_of_two, settle
 
 MATCH, GRAM = 100, 32
 HOT = 20_000
+PER_SHARE = 1 << 19  # surviving anchors of a share, about
 FAN = 4096  # runs that are merged at a time
 SAMPLED, PER_RANGE = 64, 64  # one anchor of a block in SAMPLED may be in the sample, which has about PER_RANGE for each range
 CHUNK = 1 << 19  # bytes hashed at a time
@@ -101,19 +103,52 @@ def anchors(buf: np.ndarray, bounds: np.ndarray, match: int, gram: int) -> tuple
     return at, h[at], lo, hi
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Runs of documents of about CHUNK bytes: index of the first, their bytes, their bounds."""
+def _chunks(texts: list[bytes], match: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Runs of documents of about CHUNK bytes, or slices of a longer one that share ``match`` - 1 bytes, so each window is
+    in one: index of the first, where the slice begins in it (else 0), their bytes, their bounds."""
     i = 0
     while i < len(texts):
+        if len(texts[i]) > 2 * CHUNK:
+            for a in range(0, len(texts[i]), CHUNK):
+                raw = texts[i][a : a + CHUNK + match - 1]
+                yield i, a, raw, np.array([0, len(raw)], np.int64)
+            i += 1
+            continue
         j, size, ends = i, 0, [0]
-        while j < len(texts) and (size < CHUNK or j == i):
+        while j < len(texts) and size < CHUNK and len(texts[j]) <= 2 * CHUNK:
             size += len(texts[j])
             ends.append(size)
             j += 1
-        yield i, b"".join(texts[i:j]), np.array(ends, np.int64)
+        yield i, 0, b"".join(texts[i:j]), np.array(ends, np.int64)
         i = j
 
 
+def repeated_here(buf: np.ndarray, starts: np.ndarray, match: int, gram: int) -> np.ndarray:
+    """Of windows of buf in the order in which they count: whether each equals an earlier one. Windows meet by the hashes
+    of the substrings that cover them, and are then compared."""
+    grams = gram_hashes(buf, gram)
+    key = np.zeros(len(starts), np.uint64)
+    for at in sorted({*range(0, match - gram + 1, gram), match - gram}):
+        key = key * np.uint64(_STEP) + grams[starts + at]
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, bool)
+    model = starts[order][np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))]
+    late = np.zeros(len(starts), bool)
+    view = np.lib.stride_tricks.sliding_window_view(buf, match)
+    later = np.flatnonzero(~begin)
+    for a in range(0, len(later), 1 << 14):
+        some = later[a : a + (1 << 14)]
+        late[order[some]] = (view[starts[order[some]]] == view[model[some]]).all(axis=1)  # a window under another's hash stays
+    return late
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the intervals, one after the other."""
+    n = last - first + 1
+    return np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+
+
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix of a and b, of which ``known`` bytes are known already."""
     m = min(len(a), len(b))
@@ -247,10 +282,19 @@ class Repeats:
                         run = b
 
 
-def _pack_ranges(found: list[tuple]) -> bytes:
+def _pack_ranges(found: list[tuple] | np.ndarray) -> bytes:
     return np.array(found, np.int64).reshape(-1, 3).tobytes()
 
 
+def _joined(row: np.ndarray, start: np.ndarray, match: int) -> np.ndarray:
+    """(row, start, end) of runs of windows, given in the order of rows and starts."""
+    if not len(row):
+        return np.zeros((0, 3), np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + match))))
+    last = np.concatenate((cut[1:] - 1, [len(row) - 1]))
+    return np.stack((row[cut], start[cut], start[last] + match), axis=1).astype(np.int64)
+
+
 def _unpack(x: bytes, width: int = 3) -> np.ndarray:
     return np.frombuffer(x, np.int64).reshape(-1, width)
 
@@ -263,7 +307,7 @@ def stage_blocks(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return in_blocks(numbered(staged, "body"), "blocks")
 
 
-def _encoded(entries: list[tuple], ranges: list[tuple]) -> tuple:
+def _encoded(entries: list[tuple], ranges: list[tuple] | np.ndarray) -> tuple:
     """A run of sorted entries (right, left, id, tie, row, byte), front-coded, and ranges known to be repeated."""
     lcps, tails = front_code([e[0] for e in entries])
     sizes = np.array([(len(e[0]), len(e[1])) for e in entries], np.uint16)
@@ -328,28 +372,31 @@ def range_begins(told: DataFrame, ranges: int) -> list[bytes]:
 def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """block, ranges: packed (row, start, end) byte ranges of repeated windows."""
     spark = staged.sparkSession
-    shares = power_of_two(2 * parts(spark))  # smaller ranges to merge, dealt more evenly
-
     def offer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, heads = [], {}
+        hashes, counts, heads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], {}
         salt = np.uint64(int(key[0]) * _STEP % (1 << 64))  # other anchors in each block, so that frequent ones have their share
 
         def sampled(h: np.ndarray) -> np.ndarray:
             return np.flatnonzero(((h ^ salt) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(SAMPLED) == 0)
 
-        for _, raw, bounds in _chunks(pdf["body"].tolist()):
+        for _, _, raw, bounds in _chunks(pdf["body"].tolist(), match):
             at, h, _, _ = anchors(np.frombuffer(raw, np.uint8), bounds, match, gram)
-            hashes.append(h)
-            heads.update((int(h[k]), raw[at[k] : at[k] + gram]) for k in sampled(h))
-        every, counts = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_counts=True)
+            own, first, n = np.unique(h, return_index=True, return_counts=True)
+            hashes.append(own)
+            counts.append(n)
+            heads.update((int(own[k]), raw[at[first[k]] : at[first[k]] + gram]) for k in sampled(own))
+        every, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = np.zeros(len(every), np.int64)
+        np.add.at(n, which, np.concatenate(counts))
         head = np.full(len(every), None, object)
         for k in sampled(every):
             head[k] = heads[int(every[k])]
-        return pd.DataFrame({"block": np.full(len(every), key[0], np.int64), "hash": every.view(np.int64), "n": counts.astype(np.int32), "head": head})
+        return pd.DataFrame({"block": np.full(len(every), key[0], np.int64), "hash": every.view(np.int64), "n": n, "head": head})
 
-    offered = staged.select("block", "row", "body").groupBy("block").applyInPandas(offer, "block long, hash long, n int, head binary")
+    offered = staged.select("block", "row", "body").groupBy("block").applyInPandas(offer, "block long, hash long, n long, head binary")
     total = F.sum("n").over(Window.partitionBy("hash"))  # a hash has a row per block at most
     told = settle(offered.withColumn("total", total).where("total > 1").select("block", "hash", (F.col("total") > hot).alias("many"), "head"), "survivors")
+    shares = power_of_two(max(2 * parts(spark), told.count() // PER_SHARE))  # smaller ranges to merge, dealt more evenly
     begins = range_begins(told, shares)
     blocks = staged.select("block").distinct().count()
     plan = passes(blocks, shares, fan)
@@ -363,22 +410,33 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
         hashes = told["hash"].to_numpy().view(np.uint64)
         again, many = np.sort(hashes), np.sort(hashes[told["many"].to_numpy(bool)])
         ids, ties, rows = docs["id"].tolist(), docs["tie"].tolist(), docs["row"].tolist()
+        rank = docs[["id", "tie", "row"]].reset_index(drop=True).sort_values(["id", "tie", "row"]).index.argsort()
+        row_of = docs["row"].to_numpy(np.int64)
         entries: list[tuple] = []
         windows: list[tuple] = []  # of hot anchors
-        for i, raw, bounds in _chunks(docs["body"].tolist()):
-            at, h, lo, hi = anchors(np.frombuffer(raw, np.uint8), bounds, match, gram)
+        ranges: list[tuple] = []
+        known: list[np.ndarray] = []  # ranges of hot anchors' windows that their chunk repeats
+        for i, skipped, raw, bounds in _chunks(docs["body"].tolist(), match):
+            buf = np.frombuffer(raw, np.uint8)
+            at, h, lo, hi = anchors(buf, bounds, match, gram)
             keep = _among(h, again)
             at, h, lo, hi = at[keep], h[keep], lo[keep], hi[keep]
             which = np.searchsorted(bounds, lo, "right") - 1
             often = _among(h, many)
-            for a, p, q, d, o in zip(at.tolist(), lo.tolist(), hi.tolist(), which.tolist(), often.tolist()):
-                base, k = int(bounds[d]), i + d
-                if not o:
-                    entries.append((raw[a : q + match], raw[p:a], ids[k], ties[k], rows[k], a - base))
-                else:
-                    for b in range(p, q + 1):
-                        windows.append((raw[b : b + match], b"", ids[k], ties[k], rows[k], b - base))
-        ranges: list[tuple] = []
+            if often.any():
+                starts = _spread(lo[often], hi[often])
+                doc = np.searchsorted(bounds, starts, "right") - 1
+                order = np.lexsort((starts, rank[i + doc]))
+                starts, doc = starts[order], doc[order]
+                late = repeated_here(buf, starts, match, gram)
+                known.append(_joined(row_of[i + doc[late]], starts[late] - bounds[doc[late]] + skipped, match))
+                for b, d in zip(starts[~late].tolist(), doc[~late].tolist()):
+                    k = i + d
+                    windows.append((raw[b : b + match], b"", ids[k], ties[k], rows[k], b - int(bounds[d]) + skipped))
+            seldom = ~often
+            for a, p, q, d in zip(at[seldom].tolist(), lo[seldom].tolist(), hi[seldom].tolist(), which[seldom].tolist()):
+                k = i + d
+                entries.append((raw[a : q + match], raw[p:a], ids[k], ties[k], rows[k], a - int(bounds[d]) + skipped))
 
         def once(every: list[tuple]) -> list[tuple]:
             kept, before = [], None
@@ -391,9 +449,10 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
             return kept
 
         part = int(key[0]) * 0x9E3779B97F4A7C15 % (1 << 64) % plan[0][1]
-        return _runs(once(entries), once(windows), ranges, 0, part)
+        entries, windows = once(entries), once(windows)
+        return _runs(entries, windows, np.concatenate([np.array(ranges, np.int64).reshape(-1, 3), *known]), 0, part)
 
-    def _runs(entries: list[tuple], windows: list[tuple], ranges: list[tuple], level: int, part: int) -> pd.DataFrame:
+    def _runs(entries: list[tuple], windows: list[tuple], ranges: np.ndarray, level: int, part: int) -> pd.DataFrame:
         """The runs that the merge of this level takes, of sorted entries; known ranges go with them, evenly. Shares of
         windows have numbers behind those of the ranges."""
         narrow = shift(level)
@@ -402,14 +461,14 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
             out.setdefault(share >> narrow, []).extend(entries[a:b])
         for e in windows:
             out.setdefault(shares + zlib.crc32(e[0]) % shares >> narrow, []).append(e)
-        if ranges and not out:
+        if len(ranges) and not out:
             out[0] = []
         return pd.DataFrame([(share, part, *_encoded(run, ranges[k :: len(out)])) for k, (share, run) in enumerate(out.items())], columns=_RUN_COLUMNS)
 
     def premerge(level: int):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             runs, lefts, wheres = _decoded(pdf)
-            ranges = [tuple(x) for r in pdf["ranges"] for x in _unpack(r).tolist()]
+            ranges: list[tuple] = []
             kept: list[tuple] = []
             right, first = None, {}
 
@@ -430,6 +489,7 @@ def repeated_ranges(staged: DataFrame, match: int = MATCH, gram: int = GRAM, hot
                     ranges.append((late[2], late[3] - len(left), late[3] + len(right)))
             flush()
             hot_ones = int(key[0]) >= shares >> shift(level)
+            ranges = np.concatenate([np.array(ranges, np.int64).reshape(-1, 3), *map(_unpack, pdf["ranges"])])
             return _runs([] if hot_ones else kept, kept if hot_ones else [], ranges, level + 1, int(key[1]) // fan if plan[level + 1][1] > 1 else 0)
 
         return run
@@ -477,13 +537,12 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, gram: int = GRAM, hot: i
             a, b = np.searchsorted(every[:, 0], [row, row + 1])
             removed = spans = 0
             if b > a:
-                depth = np.zeros(len(body) + 1, np.int32)
-                np.add.at(depth, every[a:b, 1], 1)
-                np.subtract.at(depth, every[a:b, 2], 1)
-                gone = np.cumsum(depth[:-1]) > 0
-                removed = int(gone.sum())
-                spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                body = np.frombuffer(body, np.uint8)[~gone].tobytes()
+                lo, hi = every[a:b][np.argsort(every[a:b, 1]), 1:].T
+                hi = np.maximum.accumulate(hi)
+                cut = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                lo, hi = lo[cut], hi[np.concatenate((cut[1:] - 1, [len(hi) - 1]))]
+                removed, spans = int((hi - lo).sum()), len(lo)
+                body = b"".join(body[x:y] for x, y in zip([0, *hi.tolist()], [*lo.tolist(), len(body)]))
             out.append((len(body) + removed, removed, spans, hashlib.sha256(body).hexdigest(), body))
         got = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "body"])
         got.insert(0, "doc_id", docs["doc_id"].to_numpy())

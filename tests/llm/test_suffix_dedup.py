@@ -149,3 +149,29 @@ def test_a_task_writes_few_buckets(spark):
         assert set(bucket_of(np.array(got), buckets).tolist()) == {(part * each + k) % buckets for k in range(each)}
     df = spark.createDataFrame([(i, "some text " * 30) for i in range(200)], "doc_id long, text string")
     assert remove_repeats(df).count() == 200 and workspace.clean(spark) > 0
+
+
+@pytest.mark.parametrize("hot", [20_000, 40])
+def test_long_runs_and_periods(spark, hot):
+    """Runs of one character and short periods over several slices, beside others; hot anchors' windows fall together."""
+    rows = [(1, "a" * 1_500_000), (2, "ab" * 700_000), (3, "b" + "a" * 3000), (4, " " * 1_300_000 + "tail"), (5, "ba" * 900 + "c" * 99), (6, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()}
+    # all but the first window's first byte goes; of a period of two, the first two windows stay whole
+    want = {1: (1_500_000, 1_499_999, 1), 2: (1_400_000, 1_399_998, 1), 3: (3001, 3000, 1), 4: (1_300_004, 1_299_999, 1), 5: (1899, 1800, 1), 6: (0, 0, 0)}
+    assert got == want
+
+
+def test_repeated_windows_of_a_chunk():
+    import numpy as np
+
+    from siltstone.llm.suffix_dedup import repeated_here
+
+    r = random.Random(2)
+    text = "".join(r.choice(["aaaa", "ab", "c"]) for _ in range(600)).encode()
+    starts = list(range(len(text) - 40 + 1))
+    r.shuffle(starts)
+    seen, want = set(), []
+    for s in starts:
+        want.append(text[s : s + 40] in seen)
+        seen.add(text[s : s + 40])
+    assert repeated_here(np.frombuffer(text, np.uint8), np.array(starts), 40, 16).tolist() == want
