@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.numeric import dot, unit
 from ..functions.text import any_in
-from . import relational
+from . import relational, vector_index
 from .retrieval import question_blocks
 
 TTL_SECONDS, SIMILAR = 3600, 0.92
@@ -46,6 +46,17 @@ def similar(cache: DataFrame, probes: DataFrame, threshold: float = SIMILAR, dig
     return reduce(DataFrame.unionByName, found)
 
 
+def similar_live(index: vector_index.VectorIndex, probes: DataFrame, now: object, version: int, threshold: float = SIMILAR) -> DataFrame:  # C02
+    """``similar`` among entries that have not expired and are of the current version or a later one, through an index of
+    them over entry_id that keeps source_filter, expires_at and doc_version: lists that hold nothing so similar are not
+    read, and age and version stand before everything else."""
+    asked = probes.select(F.col("probe_id").alias("qid"), F.col("embedding").alias("query"))
+    found = vector_index.within(index, asked, threshold, {"expires_at": {"$gt": now}, "doc_version": {"$gte": version}}).withColumnRenamed("source_filter", "_scope")
+    scoped = found.join(probes.select(F.col("probe_id").alias("qid"), "source_filter"), "qid").where(F.col("_scope").eqNullSafe(F.col("source_filter")) & (F.col("score") > 0))
+    best = scoped.groupBy("qid").agg(F.max(F.struct("score", (-F.col("entry_id")).alias("o"))).alias("b"))
+    return best.select(F.col("qid").alias("probe_id"), (-F.col("b.o")).alias("entry_id"), F.col("b.score").alias("similarity"))
+
+
 def is_time_sensitive(question: Column) -> Column:  # C05
     return any_in(F.lower(question), fixed.RECENCY)
 

@@ -127,6 +127,12 @@ def top_per(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+def running(df: DataFrame, group: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """What the rows of a group before each row add up to."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """The place of every row in one total order, without a window over the whole table: rows are dealt out by range
     and sorted where they are; what a partition adds is the number of rows in those before it."""

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from siltstone.plans import boundary, catalog  # noqa: F401  boundary registers its queries
+from siltstone.plans import boundary, catalog, indexed  # noqa: F401  the others register their queries in the catalog
 
 DATA = "/root/testdata/sf0.001"
 FOLDERS = (DATA, "/root/testdata/sf0.01")
