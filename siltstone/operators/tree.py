@@ -8,22 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.workspace import settled
+from .mixture import cluster
 from .relational import top_per
 
-MAX_LEVELS, LEAST_NODES, TEXTS_PER_SUMMARY, COMPONENTS = 3, 4, 10, 10
-
-
-def cluster(nodes: DataFrame, seed: int = 42, components: int = COMPONENTS, turns: int = 100) -> DataFrame:  # A18, T01
-    """Adds ``cluster`` to nodes (id, embedding): a Gaussian mixture of ``components`` parts, of half as many as nodes if
-    those are fewer. Memberships depend on the library; what is checked is the tree's structure."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
-
-    k = min(components, max(1, nodes.count() // 2))
-    if k < 2:
-        return nodes.withColumn("cluster", F.lit(0))
-    points = nodes.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    return GaussianMixture(k=k, seed=seed, maxIter=turns).fit(points).transform(points).select(*nodes.columns, F.col("prediction").alias("cluster"))
+MAX_LEVELS, LEAST_NODES, TEXTS_PER_SUMMARY = 3, 4, 10
 
 
 def summaries(clustered: DataFrame, level: int, summarize: Callable) -> DataFrame:
@@ -39,12 +27,15 @@ def summaries(clustered: DataFrame, level: int, summarize: Callable) -> DataFram
 
 def build(leaves: DataFrame, embed: Callable[[DataFrame], DataFrame], summarize: Callable, levels: int = MAX_LEVELS, clusterer: Callable = cluster) -> DataFrame:  # T02
     """Nodes of the tree over leaves (id, text, source_doc_id): id, text, level, node_type, child_ids,
-    parent_id, source_doc_id. Stops at three levels, below four nodes, or when nothing new came."""
+    parent_id, source_doc_id. All sources grow at once, each by its own clusters; one stops at three levels or where it
+    has fewer than four nodes."""
     none = F.lit(None).cast("array<string>")
     every = leaves.select("id", "text", F.lit(0).alias("level"), F.lit("leaf").alias("node_type"), none.alias("child_ids"), "source_doc_id")
     current = every
     for level in range(1, levels + 1):
-        if current.count() < LEAST_NODES:
+        enough = current.groupBy(F.col("source_doc_id").alias("_s")).agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST_NODES)
+        current = current.join(enough, current["source_doc_id"].eqNullSafe(enough["_s"]), "left_semi")
+        if current.isEmpty():
             break
         new = summaries(clusterer(embed(current.select("id", "text", "source_doc_id"))), level, summarize)
         new = settled(new.select("id", "text", "level", "node_type", "child_ids", "source_doc_id"), "tree-level")

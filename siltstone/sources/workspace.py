@@ -68,6 +68,16 @@ def settled(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, columns: list[str], what: str, buckets: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``columns``: joins and groups by them read it in place."""
+    spark = df.sparkSession
+    name, n = f"siltstone_{uuid.uuid4().hex}", buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartition(n, *columns)  # a file per bucket, and not one per task and bucket
+    dealt.write.bucketBy(n, *columns).sortBy(*columns).option("path", folder(spark, what)).saveAsTable(name)
+    made_table(name)
+    return spark.table(name)
+
+
 def filesystem(spark: SparkSession, path: str):
     """The path's filesystem, and a function that makes its paths."""
     make = spark._jvm.org.apache.hadoop.fs.Path
