@@ -421,15 +421,21 @@ def submission_rows(spark, sf_dir):
     return out.na.fill(False, ["release", "annual"])
 
 
-@query("""WITH c AS (SELECT 'T' || n_nationkey AS ticker, 'Nation ' || n_nationkey || ' Inc.' AS title FROM nation), n AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 't' || s_nationkey WHEN 1 THEN 'NATION ' || s_nationkey || ' inc' WHEN 2 THEN 'nation ' || s_nationkey % 3 ELSE 'nobody' END AS name FROM supplier),
-h AS (SELECT name, ticker, title, CASE WHEN lower(ticker) = lower(name) THEN 1 WHEN lower(replace(title, '.', '')) = lower(name) THEN 2 WHEN contains(lower(replace(title, '.', '')), lower(name)) THEN 3 END AS "by" FROM n, c)
+_TRADES = ("Iron & Steel", "Textile", "Grain", "Shipping Lines", "Paper", "Motor-Works", "Glass")
+
+
+@query(f"""WITH c AS (SELECT 'T' || s_suppkey AS ticker, {picked(_TRADES, 's_suppkey')} || ' ' || s_suppkey || ', Inc.' AS title FROM supplier), p AS (SELECT lower(ticker) AS t, regexp_replace(lower(title), '[^a-z0-9 ]', '', 'g') AS plain, ticker, title FROM c),
+n AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN 't' || c_custkey % 977 WHEN 1 THEN upper({picked(_TRADES, 'c_custkey % 977')}) || ' ' || c_custkey % 977 || ' inc' WHEN 2 THEN lower({picked(_TRADES, 'c_custkey')}) || ' ' || c_custkey % 31 WHEN 3 THEN (c_custkey % 300)::VARCHAR ELSE c_name END AS name FROM customer),
+h AS (SELECT name, ticker, title, CASE WHEN t = q THEN 1 WHEN plain = q THEN 2 WHEN q <> '' AND contains(plain, q) THEN 3 END AS "by" FROM (SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g')) AS q FROM n), p)
 SELECT name, ticker, title, "by" FROM h WHERE "by" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY "by", ticker, title) = 1""")
 def company_resolution(spark, sf_dir):
-    """Names of suppliers against companies: ticker, name, part of a name."""
-    k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    name = F.when(k % 4 == 0, F.concat(F.lit("t"), n.cast("string"))).when(k % 4 == 1, F.concat(F.lit("NATION "), n.cast("string"), F.lit(" inc"))).when(k % 4 == 2, F.concat(F.lit("nation "), (n % 3).cast("string"))).otherwise("nobody")
-    c = table(spark, sf_dir, "nation").select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("ticker"), F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string"), F.lit(" Inc.")).alias("title"))
-    return filings.resolved(table(spark, sf_dir, "supplier").select(name.alias("name")), c).select("name", "ticker", "title", "by")
+    """Names that customers give against all suppliers as companies: ticker, name, part of a name."""
+    k = F.col("c_custkey")
+    s = lambda c: c.cast("string")
+    name = F.when(k % 5 == 0, F.concat(F.lit("t"), s(k % 977))).when(k % 5 == 1, F.concat(F.upper(pick(_TRADES, k % 977)), F.lit(" "), s(k % 977), F.lit(" inc"))).when(k % 5 == 2, F.concat(F.lower(pick(_TRADES, k)), F.lit(" "), s(k % 31))).when(k % 5 == 3, s(k % 300)).otherwise(F.col("c_name"))
+    n = F.col("s_suppkey")
+    c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("T"), s(n)).alias("ticker"), F.concat(pick(_TRADES, n), F.lit(" "), s(n), F.lit(", Inc.")).alias("title"))
+    return filings.resolved(table(spark, sf_dir, "customer").select(name.alias("name")), c).select("name", "ticker", "title", "by")
 
 
 @query("SELECT o_custkey AS k, min(o_totalprice) FILTER (o_orderkey % 2 = 0) AS first, count(*) FILTER (o_orderkey % 2 = 1) AS later, replace(max(o_orderpriority), '-', chr(10)) AS line FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderkey % 2 = 0) > 0 AND count(*) FILTER (o_orderkey % 2 = 1) > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import numeric, text
-from ..operators import relational
+from ..operators import relational, substrings
 
 
 def tsv(spark: SparkSession, path: str, schema: str, dates: str = "yyyyMMdd") -> DataFrame:  # S01, S05
@@ -111,13 +111,14 @@ def tickers(rows: DataFrame) -> DataFrame:  # S12
 
 def resolved(names: DataFrame, companies: DataFrame) -> DataFrame:  # J09
     """Each name with one company: equal ticker, else equal normalised name, else a name that contains it;
-    the smallest ticker among equals. names: name; companies: ticker, title."""
+    the smallest ticker among equals. names: name; companies: ticker, title. Parts of names are found by trigrams."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""))
     n = names.select("name", plain(F.col("name")).alias("_n")).distinct()
     c = companies.select("ticker", "title", plain(F.col("title")).alias("_t"), F.lower("ticker").alias("_k"))
     exact = n.join(c, n["_n"] == c["_k"]).select("name", "ticker", "title", F.lit(1).alias("by")).unionByName(n.join(c, n["_n"] == c["_t"]).select("name", "ticker", "title", F.lit(2).alias("by")))
     rest = n.join(exact.select("name").distinct(), "name", "left_anti")
-    within = rest.join(c, (F.col("_n") != "") & c["_t"].contains(rest["_n"])).select("name", "ticker", "title", F.lit(3).alias("by"))
+    parts = substrings.containing(rest, c, "_n", "_t").withColumnsRenamed({"pattern": "_n", "text": "_t"})
+    within = rest.join(parts, "_n").join(c, "_t").select("name", "ticker", "title", F.lit(3).alias("by"))
     return relational.keep_first(exact.unionByName(within), ["name"], ["by", "ticker", "title"])
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import postings, relational, retrieval, vector_index
+from siltstone.operators import postings, relational, retrieval, substrings, vector_index
 
 VECTORS = "id long, embedding array<double>, part int"
 
@@ -99,3 +99,17 @@ def test_common_words_of_a_small_corpus(spark):
     scan = retrieval.bm25(d.withColumn("qid", F.lit(1)), terms, "doc")
     want = {(x.doc, x.bm25) for x in relational.top_per(scan, ["qid"], [F.desc("bm25"), F.col("doc")], 10).collect()}
     assert got == want
+
+
+def test_containing_equals_all_pairs(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcé ß😀") for _ in range(n))
+    texts = [word(r.randint(0, 30)) for _ in range(200)] + [None, "", "abc", "abcabc"]
+    patterns = [word(r.randint(1, 6)) for _ in range(80)] + [None, "", "abc", "abc", "nowhere", "a", "😀", "bc"]
+    df = lambda v, c: spark.createDataFrame([(x, 1) for x in v], f"{c} string, gram int")
+    found = substrings.containing(df(patterns, "p"), df(texts, "t"), "p", "t")
+    got = [(x.pattern, x.text) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(p, t) for p in patterns for t in texts if p and t and p in t}
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert substrings.containing(df([], "p"), df(texts, "t"), "p", "t").collect() == [] == substrings.containing(df(patterns, "p"), df([], "t"), "p", "t").collect()
