@@ -65,24 +65,75 @@ def on_topic(question: Column) -> Column:  # G08
     return text.any_in(F.lower(question), fixed.MARKERS["graph"])
 
 
-def cycles(edges: DataFrame) -> DataFrame:  # G09
-    """Paths (arrays of node ids) of every ring, each from its smallest node. edges: src, dst.
-
-    Edges that lie on no ring go first, until none is left to go (a tree ends here); what remains is walked by joining
-    a frontier of simple paths with the edges, for as long as there is a frontier: rings of any length are found."""
-    core = settled(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "ring-edges")
-    found = core.where("src = dst").select(F.array("src").alias("path"))
-    core, n = core.where("src <> dst"), -1
-    while (left := core.count()) != n:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose ends both have edges in and out, until none is left to go: a tree ends here."""
+    n = -1
+    while (left := edges.count()) != n:
         n = left
-        heads, tails = core.select(F.col("src").alias("dst")).distinct(), core.select(F.col("dst").alias("src")).distinct()
-        core = settled(core.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"), "ring-edges")
-    front = core.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
+        heads, tails = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = settled(edges.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"), "ring-edges")
+    return edges
+
+
+def strong_components(edges: DataFrame) -> DataFrame:  # G09
+    """node, root (its smallest node) of every strongly connected component of two nodes or more. edges: src, dst.
+
+    Labels go forwards until every node has the smallest node that reaches it; a label's own node, and what reaches that
+    node through nodes of the same label (labels go backwards), is one component. What is left of each label is done again.
+    Rounds are as many as the longest way is long; each is a join and an aggregation over the edges that are left."""
+    edges = settled(edges.select("src", "dst").where("src <> dst").distinct(), "ring-edges")
+    found = edges.select(F.col("src").alias("node"), F.col("src").alias("root")).limit(0)
+    while not (edges := _trimmed(edges)).isEmpty():
+        label = edges.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+        while True:
+            into = edges.join(label, edges["src"] == label["node"]).groupBy("dst").agg(F.min("label").alias("near")).withColumnRenamed("dst", "node")
+            moved = settled(label.withColumnRenamed("label", "was").join(into, "node", "left").select("node", "was", F.least("was", "near").alias("label")), "ring-labels")
+            label = moved.select("node", "label")
+            if moved.where("was <> label").isEmpty():
+                break
+        same = settled(edges.join(label.withColumnsRenamed({"node": "src"}), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("_l")), "dst").where(F.col("label") == F.col("_l")).select("src", "dst", "label"), "ring-edges")
+        front = label.where("node = label").select("node")
+        part = front
+        while not front.isEmpty():
+            new = same.join(front.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            front = settled(new.join(part, "node", "left_anti"), "ring-front")
+            part = settled(part.unionByName(front), "ring-part")
+        found = found.unionByName(label.join(part, "node", "left_semi").select("node", F.col("label").alias("root")))
+        edges = same.select("src", "dst").join(part.withColumnRenamed("node", "src"), "src", "left_anti").join(part.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    counts = settled(found, "strong-components")
+    return counts.join(counts.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1").select("root"), "root", "left_semi").select("node", "root")
+
+
+def cycles(edges: DataFrame) -> DataFrame:  # G09
+    """Rings as paths (arrays of node ids from their smallest node on): one for each edge that closes a ring. edges: src, dst.
+
+    Every strongly connected component is walked from its smallest node, level by level, each node keeping its smallest
+    parent. An edge to a node that lies on the way to its own start closes a ring: the way between them. So each
+    component has a ring at least, and there are never more rings than edges, also in a dense core that has any number."""
+    known = settled(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "ring-edges")
+    loops = known.where("src = dst").select(F.array("src").alias("path"))
+    of = strong_components(known)
+    inner = known.where("src <> dst").join(of.withColumnRenamed("node", "src"), "src").join(of.select(F.col("node").alias("dst"), F.col("root").alias("_r")), "dst").where(F.col("root") == F.col("_r")).select("src", "dst")
+    inner = settled(inner, "ring-edges")
+    front = of.where("node = root").select("node", F.lit(None).cast(of.schema["node"].dataType).alias("parent"), F.lit(0).alias("level"))
+    walked = front
     while not front.isEmpty():
-        step = settled(front.join(core, front["at"] == core["src"]).where("dst >= start").select("start", "path", "dst"), "ring-paths")
-        found = found.unionByName(step.where("dst = start").select("path"))
-        front = step.where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-    return found.distinct()
+        step = inner.join(front.select(F.col("node").alias("src"), "level"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), (F.max("level") + 1).alias("level"))
+        front = settled(step.join(walked, "node", "left_anti"), "ring-front")
+        walked = settled(walked.unionByName(front), "ring-walk")
+    level = lambda c: walked.select(F.col("node").alias(c), F.col("level").alias(f"_{c}"))
+    # an edge can only close a ring if it does not lead further down
+    going = settled(inner.join(level("src"), "src").join(level("dst"), "dst").where("_dst <= _src").select("dst", F.col("src").alias("at"), F.col("_src").alias("level"), F.col("_dst").alias("top"), F.array("src").alias("path")), "ring-paths")
+    found = going.where("at = dst").select("path")
+    going = going.where("level > top")
+    while not going.isEmpty():
+        up = walked.select(F.col("node").alias("at"), "parent")
+        going = settled(going.join(up, "at").select("dst", F.col("parent").alias("at"), (F.col("level") - 1).alias("level"), "top", F.concat(F.array("parent"), "path").alias("path")), "ring-paths")
+        found = found.unionByName(going.where("at = dst").select("path"))
+        going = going.where("level > top")
+    first = F.array_position("path", F.array_min("path")).cast("int")
+    turned = found.select(F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1)).alias("path"))
+    return loops.unionByName(turned).distinct()
 
 
 def is_read_only(query: Column) -> Column:  # P17

@@ -161,6 +161,33 @@ def test_cycles(spark):
     assert sorted(r.path for r in graph.cycles(e).collect()) == [["a", "b", "c"], ["d"]]
 
 
+@pytest.mark.parametrize("n,m,seed", [(12, 132, 0), (30, 45, 1), (40, 60, 2)])
+def test_rings_of_random_graphs(spark, n, m, seed):
+    """Components against reachability; every ring is one, every component that has rings has one, and no more than edges."""
+    import itertools
+    import random
+
+    every = list(itertools.permutations(range(n), 2))
+    edges = set(random.Random(seed).sample(every, min(m, len(every))))
+    reach = {i: {i} for i in range(n)}
+    while True:
+        new = {i: r | {b for a in r for x, b in edges if x == a} for i, r in reach.items()}
+        if new == reach:
+            break
+        reach = new
+    parts = {frozenset(j for j in reach[i] if i in reach[j]) for i in range(n)}
+    df = spark.createDataFrame([*edges, (None, 1), (2, None)], "src int, dst int")
+    got = {}
+    for r in graph.strong_components(df).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert {frozenset(x) for x in got.values()} == {p for p in parts if len(p) > 1} and all(min(x) == k for k, x in got.items())
+    rings = [tuple(r.path) for r in graph.cycles(df).collect()]
+    assert len(rings) == len(set(rings)) <= len(edges)
+    for ring in rings:
+        assert len(set(ring)) == len(ring) and ring[0] == min(ring) and all(e in edges for e in zip(ring, [*ring[1:], ring[0]]))
+    assert all(any(set(ring) <= p for ring in rings) for p in parts if len(p) > 1)
+
+
 def test_cache_gate_and_hit(spark):
     assert spark.range(1).select(cache.is_time_sensitive(F.lit("What do you know?"))).first()[0] is True  # "now" inside "know"
     r = spark.createDataFrame([("graph", "a"), ("sql", "b"), ("sql", "latest c")], "route string, question string")
