@@ -13,19 +13,23 @@ with everything, as a zero question does."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import dot, norm, unit
+from ..functions.numeric import norm, unit
 from ..sources.workspace import folder, settled
 from . import relational
 from .retrieval import date_filter, metadata_filter
 
 MOST_LISTS, SAMPLE_PER_LIST, TURNS, DEEPEST = 4096, 64, 6, 100
+VECTORS, QUESTIONS = 1024, 256  # of a block
 ZERO = -1  # the list of zero vectors
 #: Scores are rounded to six digits before they are ranked; a bound must lie below by more than rounding can add.
 SLACK = 1e-6
@@ -92,14 +96,64 @@ def _reach(index: VectorIndex, asked: DataFrame) -> DataFrame:
     return met.select("qid", "list", "n", F.when(~flat, F.col("away")).alias("away"), F.when(flat, 0.0).otherwise(1 - clear * clear / 2).alias("best"))
 
 
-def _scored(index: VectorIndex, asked: DataFrame, probes: DataFrame, spec: Mapping | None, digits: int) -> DataFrame:
-    """qid, key, kept columns, score of the vectors of the probed lists (qid, list, away, floor) that may reach the floor.
-    Questions travel to the lists; pairs stay where they are made."""
+def _packed(df: DataFrame, rows: Sequence[str], matrix: str, numbers: Sequence[str], size: int) -> DataFrame:
+    """Rows of a list, up to ``size`` neighbours of a partition at a time, as one row: list, their ``rows`` columns as structs,
+    their vectors and numbers (null as NaN) as packed doubles. In place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(0).to_numpy()
+            at = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1])))
+            cuts = [c for a, e in zip(at.tolist(), [*at[1:].tolist(), len(lists)]) for c in range(a, e, size)]
+            ends = [*cuts[1:], len(lists)]
+            structs = pa.StructArray.from_arrays([b.column(c) for c in rows], names=list(rows))
+            points = b.column(matrix).flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            columns = [pa.array(lists[cuts], pa.int32()), pa.ListArray.from_arrays(pa.array([*cuts, len(lists)], pa.int32()), structs), pa.array([points[a:e].tobytes() for a, e in zip(cuts, ends)], pa.binary())]
+            for c in numbers:
+                x = b.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+                columns.append(pa.array([x[a:e].tobytes() for a, e in zip(cuts, ends)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "rows", matrix, *numbers])
+
+    kinds = dict(df.dtypes)
+    inner = ", ".join(f"`{c}`: {kinds[c]}" for c in rows)
+    return df.select("list", *rows, matrix, *numbers).mapInArrow(run, f"list int, rows array<struct<{inner}>>, {matrix} binary, " + ", ".join(f"{c} binary" for c in numbers))
+
+
+def _scored(index: VectorIndex, asked: DataFrame, probes: DataFrame, spec: Mapping | None, digits: int, k: int | None) -> DataFrame:
+    """qid, key, kept columns, score of the vectors of the probed lists (qid, list, away, floor) that reach the floor; of a
+    block of vectors no more than k for a question. A block of vectors meets a block of questions as two matrices, so
+    pairs are never rows."""
     lists = [r[0] for r in probes.select("list").distinct().collect()]  # MOST_LISTS at most
-    rows = index.vectors.where(F.col("list").isin(lists)).where(metadata_filter(spec))
-    gap = F.col("away") - F.col("gap")
-    pairs = rows.join(probes.join(asked, "qid"), "list").where(F.col("floor").isNull() | F.col("away").isNull() | (1 - gap * gap / 2 >= F.col("floor") - SLACK))
-    return pairs.select("qid", index.key, *index.keep, F.round(dot(F.col("point"), F.col("query")), digits).alias("score"))
+    names, key = (index.key, *index.keep), index.key
+    rows = _packed(index.vectors.where(F.col("list").isin(lists)).where(metadata_filter(spec)), names, "point", ["gap"], VECTORS)
+    dealt = probes.join(asked, "qid").repartition("list", F.pmod(F.xxhash64("qid"), F.lit(8))).sortWithinPartitions("list")
+    pairs = rows.join(_packed(dealt, ["qid"], "query", ["away", "floor"], QUESTIONS).withColumnRenamed("rows", "asked"), "list")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                vectors, questions = b.column(0)[i].values, b.column(1)[i].values
+                points, gap, query, away, floor = (np.frombuffer(b.column(c)[i].as_py(), np.float64) for c in range(2, 7))
+                open_ = np.isnan(away) | np.isnan(floor)
+                reach = open_[:, None] | (1 - (away[:, None] - gap[None]) ** 2 / 2 >= np.where(open_, 0, floor)[:, None] - SLACK)
+                cols = pc.sort_indices(vectors.field(key)).to_numpy()  # ties go to the smaller key
+                cols = cols[reach.any(axis=0)[cols]]
+                if not len(cols):
+                    continue
+                score = np.round(query.reshape(len(questions), -1) @ points.reshape(len(vectors), -1)[cols].T, digits) + 0.0
+                score = np.where(reach[:, cols] & (np.isnan(floor)[:, None] | (score >= floor[:, None])), score, -np.inf)
+                best = np.argsort(-score, axis=1, kind="stable")[:, : k or len(cols)]
+                top = np.take_along_axis(score, best, axis=1)
+                q, place = np.nonzero(top > -np.inf)
+                if len(q):
+                    found = vectors.take(pa.array(cols[best[q, place]]))
+                    yield pa.RecordBatch.from_arrays([questions.field("qid").take(pa.array(q)), *(found.field(c) for c in names), pa.array(top[q, place])], names=["qid", *names, "score"])
+
+    kinds = dict(index.vectors.dtypes)
+    schema = ", ".join([f"qid {dict(probes.dtypes)['qid']}", *(f"`{c}` {kinds[c]}" for c in names), "score double"])
+    return pairs.select("rows", "asked", "point", "gap", "query", "away", "floor").mapInArrow(run, schema)
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -123,18 +177,18 @@ def search(index: VectorIndex, queries: DataFrame, k: int, spec: Mapping | None
     reach = settled(_reach(index, asked), "reach")
     first = _first_lists(reach, k)
     order = [F.desc("score"), F.col(index.key)]
-    best = settled(relational.top_per(_scored(index, asked, first, spec, digits), ["qid"], order, k), "first-hits").drop("rank")
+    best = settled(relational.top_per(_scored(index, asked, first, spec, digits, k), ["qid"], order, k), "first-hits").drop("rank")
     floors = best.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     rest = reach.join(first.select("qid", "list"), ["qid", "list"], "left_anti").join(floors, "qid", "left")
     rest = rest.where(F.col("floor").isNull() | (F.col("best") >= F.col("floor") - SLACK)).select("qid", "list", "away", "floor")
-    return relational.top_per(best.unionByName(_scored(index, asked, settled(rest, "probes"), spec, digits)), ["qid"], order, k)
+    return relational.top_per(best.unionByName(_scored(index, asked, settled(rest, "probes"), spec, digits, k)), ["qid"], order, k)
 
 
 def within(index: VectorIndex, queries: DataFrame, least: float, spec: Mapping | None = None, digits: int = 6) -> DataFrame:
     """qid, key, kept columns, score of all stored vectors with a score of ``least`` or more."""
     asked = _asked(queries)
     probes = _reach(index, asked).where(F.col("best") >= least - SLACK).select("qid", "list", "away", F.lit(least).alias("floor"))
-    return _scored(index, asked, settled(probes, "probes"), spec, digits).where(F.col("score") >= least)
+    return _scored(index, asked, settled(probes, "probes"), spec, digits, None)
 
 
 def retrieve(index: VectorIndex, queries: DataFrame, k: int, spec: Mapping | None = None, date: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:  # R07

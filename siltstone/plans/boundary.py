@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, numeric, text
 from ..operators import audit, cache, chunking, contradiction, evaluation, graph, relational, tree, validation
 from ..sources import filings, html, rest, sinks
+from ..sources.keyed import KeyedTable
 from ..sources.tables import table
 from ..sources.workspace import folder
 from . import evidence, models, nlgraph, nlsql, planner
@@ -454,6 +455,24 @@ def stored_rows(spark, sf_dir):
     return back.where("first >= 0").join(told, "k").select("k", "first", "later", "line")
 
 
+@query("""WITH f AS (SELECT o_custkey AS k, min(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), o AS (SELECT o_custkey AS k, max(o_totalprice) AS p, max(o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), p AS (SELECT o_custkey AS k, min(o_orderkey) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT k, coalesce(o.p, f.p, 0) AS price, CASE WHEN o.k IS NOT NULL THEN 'open' WHEN f.k IS NOT NULL THEN 'filled' ELSE 'partial' END AS said, f.k IS NOT NULL OR p.k IS NOT NULL AS first FROM f FULL JOIN o USING (k) FULL JOIN p USING (k)""")
+def keyed_merge(spark, sf_dir):
+    """orders' states go into one table by customer, as new keys, in place of old rows, and as new keys
+    again; each commit rewrites the buckets that it touches."""
+    o = table(spark, sf_dir, "orders")
+    rows = lambda status, said, price: o.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("k"), price.alias("price"), F.lit(said).alias("said"), F.lit(said != "open").alias("first"))
+    stored = KeyedTable(spark, folder(spark, "keyed"), ["k"])
+    stored.insert_absent(rows("F", "filled", F.col("o_totalprice")), ["price"])
+    opened = rows("O", "open", F.col("o_totalprice"))
+    known = stored.read().select("k", F.col("first").alias("_first"))
+    partial = rows("P", "partial", F.lit(0.0))
+    first = known.unionByName(partial.select("k", F.col("first").alias("_first"))).groupBy("k").agg(F.max("_first").alias("_first"))
+    stored.upsert(opened.join(first, "k", "left").withColumn("first", F.coalesce("_first", F.lit(False))).drop("_first"), [-F.col("price")])
+    stored.insert_absent(partial)
+    return stored.read()
+
+
 @query("SELECT n_nationkey AS k, count(c_custkey) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey <> 3 GROUP BY 1")
 def published_tables(spark, sf_dir):
     """Two tables shown together; a second publication with a broken reference changes nothing."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational
+from .keyed import KeyedTable
 from .workspace import filesystem, place_once, put, read_text
 
 
@@ -24,20 +25,10 @@ def append(df: DataFrame, path: str, columns: list[str]) -> None:  # K01, K06, V
     df.select(*columns).write.mode("append").parquet(path)
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    spark = df.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def insert_absent(df: DataFrame, path: str, key: list[str]) -> DataFrame:  # K02-K05
-    """Adds rows whose key is not there, and gives back the stored rows of every passed key. For one writer at a
-    time: two that run at once may both add a key (``publish`` is safe for several)."""
-    if _exists(df, path):
-        relational.new_rows(df, df.sparkSession.read.schema(df.schema).parquet(path), key).write.mode("append").parquet(path)
-    else:
-        relational.keep_first(df, key, df.columns).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).join(df.select(*key).distinct(), key, "left_semi")
+    """Adds rows whose key is not there, and gives back the stored rows of every passed key; several writers may do so at
+    once. ``KeyedTable(spark, path, key).read()`` reads the table."""
+    return KeyedTable(df.sparkSession, path, key).insert_absent(df)
 
 
 def append_once(df: DataFrame, path: str, key: list[str]) -> None:

@@ -58,7 +58,7 @@ def test_lists_that_no_question_needs_are_not_opened(spark):
     index = vector_index.build(spark.createDataFrame(rows, VECTORS), "id", lists=30)
     asked = vector_index._asked(spark.createDataFrame([(1, rows[1][1])], "qid long, query array<double>"))
     probes = vector_index._first_lists(vector_index._reach(index, asked), 5)
-    plan = vector_index._scored(index, asked, probes, None, 6)._jdf.queryExecution().toString()
+    plan = vector_index._scored(index, asked, probes, None, 6, 5)._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(list" in plan and "list#" in plan.split("PartitionFilters:")[1]
 
 
