@@ -422,6 +422,17 @@ def submission_rows(spark, sf_dir):
     return out.na.fill(False, ["release", "annual"])
 
 
+@query("""SELECT 'p' || o_orderkey AS patent_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE END AS grant_date, l_linenumber AS claim_number,
+row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE END DESC NULLS FIRST, 'p' || o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority ILIKE '%URGENT%'""")
+def claims_in_order(spark, sf_dir):
+    """Claims of one owner's patents, newest patents first, undated ones before them, with their place."""
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("patent_id")
+    p = table(spark, sf_dir, "orders").select(name("o_orderkey"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("date")).alias("grant_date"), F.col("o_orderpriority").alias("assignee_organization"))
+    c = table(spark, sf_dir, "lineitem").select(name("l_orderkey"), F.col("l_linenumber").alias("claim_number"), "l_partkey", "l_suppkey", "l_quantity")
+    joined = filings.joined_claims(p, c, "urgent")
+    return relational.ranked(joined, [F.desc_nulls_first("grant_date"), F.col("patent_id"), F.col("claim_number"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")], "place").select("patent_id", "grant_date", "claim_number", "place")
+
+
 _TRADES = ("Iron & Steel", "Textile", "Grain", "Shipping Lines", "Paper", "Motor-Works", "Glass")
 
 
