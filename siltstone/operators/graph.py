@@ -53,6 +53,55 @@ def hop(left: DataFrame, edges: DataFrame, nodes: DataFrame, where: Column | Non
     return left.join(far, "src", "left" if optional else "inner")
 
 
+def _tree_of(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> list[tuple[str, str, str, str]]:
+    """The links (parent, its column, child, its column) of an acyclic pattern, parents before children."""
+    if not tables:
+        raise ValueError("a pattern needs a table")
+    order, placed, rest = [], {next(iter(tables))}, list(links)
+    while rest:
+        at = next((l for l in rest if (l[0] in placed) != (l[2] in placed)), None)
+        if at is None:
+            raise ValueError("the links of a pattern form one tree over its tables")
+        rest.remove(at)
+        order.append(at if at[0] in placed else (at[2], at[3], at[0], at[1]))
+        placed.add(order[-1][2])
+    if placed != set(tables):
+        raise ValueError("the links of a pattern form one tree over its tables")
+    return order
+
+
+def reduced(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """Every table of an acyclic pattern without the rows that are in no match: semi-joins from the leaves of the pattern up
+    to its root, then down again."""
+    out, order = dict(tables), _tree_of(tables, links)
+
+    def kept(a: str, of_a: str, b: str, of_b: str) -> DataFrame:
+        return out[a].join(out[b].select(F.col(of_b).alias(of_a)), of_a, "left_semi").select(*out[a].columns)
+
+    for parent, up, child, down in reversed(order):
+        out[parent] = kept(parent, up, child, down)
+    for parent, up, child, down in order:
+        out[child] = kept(child, down, parent, up)
+    return out
+
+
+def matched(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], wanted: list[str] | None = None, distinct: bool = False) -> DataFrame:  # G06, J10
+    """Matches of an acyclic pattern: tables by name, whose columns have names of their own, and links (table, column,
+    table, column). Tables are reduced first, so no join gives more rows than the input and the matches together. wanted: the
+    columns that matter; with ``distinct``, rows that differ in no column of these or of links to come fall together early."""
+    order, small = _tree_of(tables, links), reduced(tables, links)
+    rows = small[next(iter(tables))]
+    for i, (_, up, child, down) in enumerate(order):
+        far = small[child]
+        copy = f"_{down}"
+        rows = rows.join(far.withColumn(copy, F.col(down)), F.col(up) == F.col(copy)).drop(copy)
+        if wanted is not None:
+            ahead = {c for p, u, _, _ in order[i + 1 :] for c in (u,)}
+            rows = rows.select(*(c for c in rows.columns if c in wanted or c in ahead))
+            rows = rows.distinct() if distinct else rows
+    return rows if wanted is None else rows.select(*wanted)
+
+
 def summary(companies: DataFrame, key: str, **branches: tuple[DataFrame, str]) -> DataFrame:  # G07, A09
     """Distinct counts per branch, each aggregated before it is joined, so that branches do not multiply."""
     out = companies.select(key)

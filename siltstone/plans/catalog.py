@@ -408,6 +408,19 @@ def graph_2hop(spark, sf_dir):
     return graph.hop(people, orders, props, F.col("year") == 1996).select("n_name", "c_custkey", "o_orderpriority").distinct()
 
 
+@query("""SELECT DISTINCT s_suppkey, n_name, o_orderpriority, p_brand FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+WHERE s_acctbal > 9000 AND year(o_orderdate) = 1996 AND c_acctbal < 500 AND p_size <= 3""")
+def graph_pattern(spark, sf_dir):
+    """A pattern over six tables, reduced by semi-joins before any join."""
+    t = lambda n: table(spark, sf_dir, n)
+    tables = {
+        "nation": t("nation").select("n_nationkey", "n_name"), "supplier": t("supplier").where("s_acctbal > 9000").select("s_suppkey", "s_nationkey"), "customer": t("customer").where("c_acctbal < 500").select("c_custkey", "c_nationkey"),
+        "orders": t("orders").where("year(o_orderdate) = 1996").select("o_orderkey", "o_custkey", "o_orderpriority"), "lineitem": t("lineitem").select("l_orderkey", "l_partkey"), "part": t("part").where("p_size <= 3").select("p_partkey", "p_brand"),
+    }
+    links = [("nation", "n_nationkey", "supplier", "s_nationkey"), ("nation", "n_nationkey", "customer", "c_nationkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey")]
+    return graph.matched(tables, links, ["s_suppkey", "n_name", "o_orderpriority", "p_brand"], distinct=True)
+
+
 @query("""SELECT n_nationkey, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers, coalesce(o.n, 0) AS orders FROM nation
 LEFT JOIN (SELECT c_nationkey, count(DISTINCT c_custkey) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey
 LEFT JOIN (SELECT s_nationkey, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import graph
 
 ROWS = 10
 
@@ -112,11 +113,7 @@ def run(pattern: str, nodes: Mapping[str, DataFrame], edges: Mapping[str, tuple[
         where = clauses[i + 1][1] if i + 1 < len(clauses) and clauses[i + 1][0] == "WHERE" else ""
         tests = _split(where, r"(?i:\bAND\b)")
         for path in _split(body, r",(?=\s*\()"):
-            found, own, fresh = _path(path, nodes, edges, i)
-            usable = [t for t in tests if {v for v in re.findall(r"\b(\w+)\.\w+", re.sub(r"'[^']*'|\"[^\"]*\"", "", t))} <= fresh]
-            for t in [*own, *usable]:
-                found = found.where(_test(t))
-            tests = [t for t in tests if t not in usable]
+            found, tests = _path(path, nodes, edges, i, tests)
             if rows is None:
                 rows = found
                 continue
@@ -140,21 +137,25 @@ def run(pattern: str, nodes: Mapping[str, DataFrame], edges: Mapping[str, tuple[
     return out.limit(min(limit, int(said["LIMIT"])) if "LIMIT" in said else limit)
 
 
-def _path(path: str, nodes: Mapping[str, DataFrame], edges: Mapping[str, tuple[str, str, DataFrame]], n: int) -> tuple[DataFrame, list[str], set[str]]:
-    """A path's rows, the tests of its braces, and its variables."""
-    at, tests, seen, rows, before = 0, [], set(), None, ""
+def _variables(test: str) -> set[str]:
+    return set(re.findall(r"\b([A-Za-z_]\w*)\.\w+", re.sub(r"'[^']*'|\"[^\"]*\"", "", test)))
+
+
+def _path(path: str, nodes: Mapping[str, DataFrame], edges: Mapping[str, tuple[str, str, DataFrame]], n: int, tests: list[str]) -> tuple[DataFrame, list[str]]:
+    """A path's rows, and the tests that name other variables. Tests of one variable stand before the joins; the path's tables
+    are reduced by semi-joins before they are joined."""
+    at, own, tables, links, before = 0, [], {}, [], ""
     while at < len(path):
         m = _NODE.match(path, at)
         if not m or (m[2] or "") not in nodes:
             raise BadPattern(f"no known node at: {path[at:at + 30]}")
         var = m[1] or f"_n{n}_{at}"
-        node = _named(nodes[m[2]], var)
-        tests += _props(var, m[3])
-        if rows is None:
-            rows = node
-        else:
-            rows = rows.join(node, rows["_next"] == node[f"{var}__id"]).drop("_next")
-        seen.add(var)
+        if var in tables:
+            raise BadPattern(f"a path meets {var} twice")
+        tables[var] = _named(nodes[m[2]], var)
+        own += _props(var, m[3])
+        if before:
+            links.append((before, f"{before}__next", var, f"{var}__id"))
         before, at = var, m.end()
         rest = path[at:].lstrip()
         if not rest:
@@ -164,15 +165,29 @@ def _path(path: str, nodes: Mapping[str, DataFrame], edges: Mapping[str, tuple[s
         if not e or e[3] not in edges or bool(e[1]) == bool(e[5]):
             raise BadPattern(f"no known edge at: {path[at:at + 30]}")
         kind, back = e[2] or f"_e{n}_{at}", bool(e[1])
+        if kind in tables:
+            raise BadPattern(f"a path meets {kind} twice")
         table = edges[e[3]][2]
-        own, other = ("dst", "src") if back else ("src", "dst")
-        link = table.select(F.col(own).alias("_own"), F.col(other).alias("_next"), *(F.col(c).alias(f"{kind}__{c}") for c in table.columns if c not in ("src", "dst")))
-        rows = rows.join(link, rows[f"{before}__id"] == link["_own"]).drop("_own")
-        tests += _props(kind, e[4])
-        seen.add(kind)
-        at = e.end()
+        near, far = ("dst", "src") if back else ("src", "dst")
+        tables[kind] = table.select(F.col(near).alias(f"{kind}__own"), F.col(far).alias(f"{kind}__next"), *(F.col(c).alias(f"{kind}__{c}") for c in table.columns if c not in ("src", "dst")))
+        links.append((before, f"{before}__id", kind, f"{kind}__own"))
+        own += _props(kind, e[4])
+        before, at = kind, e.end()
         at += len(path[at:]) - len(path[at:].lstrip())
-    return rows, tests, seen
+    usable = [t for t in tests if _variables(t) <= set(tables)]
+    late = []
+    for t in [*own, *usable]:
+        of = _variables(t)
+        if len(of) == 1:
+            var = next(iter(of))
+            tables[var] = tables[var].where(_test(t))
+        else:
+            late.append(t)
+    hidden = [c for var in tables for c in (f"{var}__own", f"{var}__next")]
+    rows = graph.matched(tables, links).drop(*hidden)
+    for t in late:
+        rows = rows.where(_test(t))
+    return rows, [t for t in tests if t not in usable]
 
 
 def ask(question: str, nodes: Mapping[str, DataFrame], edges: Mapping[str, tuple[str, str, DataFrame]], nl2graph: Callable[[str], str], **hints: str | None) -> tuple[str, DataFrame]:  # LM05

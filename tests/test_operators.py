@@ -188,6 +188,29 @@ def test_rings_of_random_graphs(spark, n, m, seed):
     assert all(any(set(ring) <= p for ring in rings) for p in parts if len(p) > 1)
 
 
+def test_patterns_are_reduced_before_they_are_joined(spark):
+    import random
+
+    r = random.Random(5)
+    make = lambda n, a, b, k: spark.createDataFrame([(r.randrange(k), r.randrange(k)) for _ in range(n)] + [(None, 1), (1, None)], f"{a} int, {b} int")
+    tables = {"m": make(40, "m1", "m2", 8), "x": make(60, "x1", "x2", 12), "y": make(50, "y1", "y2", 9), "z": make(30, "z1", "z2", 15)}
+    links = [("m", "m1", "x", "x1"), ("y", "y2", "m", "m2"), ("x", "x2", "z", "z1")]
+    plain = tables["m"].join(tables["x"], F.expr("m1 = x1")).join(tables["y"], F.expr("y2 = m2")).join(tables["z"], F.expr("x2 = z1"))
+    got = graph.matched(tables, links)
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    few = graph.matched(tables, links, ["y1", "z2"], distinct=True)
+    assert sorted(map(str, few.collect())) == sorted(map(str, plain.select("y1", "z2").distinct().collect()))
+    for name, t in graph.reduced(tables, links).items():  # every row left is in a match
+        assert t.exceptAll(plain.select(*t.columns)).distinct().join(plain.select(*t.columns).distinct(), t.columns, "left_anti").count() == 0, name
+    # a join of the first two tables would give a million rows, none of which goes on
+    hot = {"a": spark.range(1000).select(F.lit(1).alias("a1"), F.col("id").alias("a2")), "b": spark.range(1000).select(F.lit(1).alias("b1"), F.col("id").alias("b2")), "c": spark.range(5000, 5010).select(F.col("id").alias("c1"))}
+    small = graph.reduced(hot, [("a", "a1", "b", "b1"), ("b", "b2", "c", "c1")])
+    assert all(t.count() == 0 for n, t in small.items())
+    for bad in ([("m", "m1", "x", "x1")], [*links, ("z", "z2", "m", "m2")]):
+        with pytest.raises(ValueError):
+            graph.matched(tables, bad)
+
+
 def test_cache_gate_and_hit(spark):
     assert spark.range(1).select(cache.is_time_sensitive(F.lit("What do you know?"))).first()[0] is True  # "now" inside "know"
     r = spark.createDataFrame([("graph", "a"), ("sql", "b"), ("sql", "latest c")], "route string, question string")
