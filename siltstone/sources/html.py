@@ -209,11 +209,6 @@ def without_xbrl(html: str) -> str:  # F33
     return re.sub(r"(?is)</?ix:[a-z]+\b[^>]*>", "", html)
 
 
-def blocks_of(html: str) -> list[dict]:  # F34
-    """Text blocks with their kind, in order: what later steps expect of a parsed filing."""
-    return [{"text": t, "label": "text", "content_layer": "body", "self_ref": f"#/texts/{i}"} for i, t in enumerate((text_of(without_xbrl(html)) or "").split("\n")) if t]
-
-
 def parsed(pages: DataFrame, key: list[str], html: str, parse: Callable[[str], object], kind: str, out: str = "parsed") -> DataFrame:
     """``key`` columns and parse(html) as column ``out`` of the given type; null stays null."""
     plain = pages.select(*key, html)
