@@ -66,8 +66,8 @@ QUESTION_BLOCK = 1024
 
 def question_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
     """``queries`` in blocks of QUESTION_BLOCK rows, numbered once in the shared folder; each may be broadcast."""
-    w = Window.orderBy(key)  # of the keys alone
-    numbered = settled(queries.join(queries.select(key).distinct().withColumn("_n", F.row_number().over(w) - 1), key), "questions")
+    places = relational.ranked(queries.select(key).distinct(), [F.col(key)], "_n").withColumn("_n", F.col("_n") - 1)
+    numbered = settled(queries.join(places, key), "questions")
     n = numbered.agg(F.coalesce(F.max("_n") + 1, F.lit(0))).first()[0]
     return [numbered.where((F.col("_n") >= a) & (F.col("_n") < a + QUESTION_BLOCK)).drop("_n") for a in range(0, n, QUESTION_BLOCK)]
 
@@ -93,12 +93,12 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", digits
     bags = docs.select("qid", key, tokens(text).alias("_t")).withColumn("dl", F.size("_t"))
     size = bags.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = bags.select("qid", F.explode(F.array_distinct("_t")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(size), "qid").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # a row per question
+    idf = df.join(size, "qid").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # a row per question
     asked = terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
-    of_asked = idf.join(F.broadcast(asked), ["qid", "term"])
+    of_asked = idf.join(asked, ["qid", "term"])
     mean = idf.groupBy("qid").agg(F.avg("idf").alias("mean"))
-    of_asked = of_asked.join(F.broadcast(mean), "qid").select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    hits = bags.join(F.broadcast(of_asked), "qid").where(F.array_contains("_t", F.col("term"))).withColumn("tf", F.size(F.filter("_t", lambda x: x == F.col("term"))))
+    of_asked = of_asked.join(mean, "qid").select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))  # sides that grow with the questions are broadcast where the optimizer finds them small
+    hits = bags.join(of_asked, "qid").where(F.array_contains("_t", F.col("term"))).withColumn("tf", F.size(F.filter("_t", lambda x: x == F.col("term"))))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = hits.groupBy("qid", key).agg(F.round(F.sum(weight), digits).alias("bm25"))
     return docs.select("qid", key).join(score, ["qid", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))

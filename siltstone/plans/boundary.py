@@ -228,7 +228,7 @@ QUESTIONS = (
     "What was the guidance on the earnings call? What is the operating income?", "Any discrepancy between guidance and the 10-K disclosure", "Hello there", "List subsidiaries and the ownership structure", "What are current assets today", "Describe item 1a. Describe item 1a?",
     "Difference between revenue and cash flow in the footnote", "what management said on growth vs what the filing says", "Patent claim and lawsuit compare",
 )
-_Q = f"""q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN {picked(QUESTIONS, 'conv_id + turn')} || ' ' || left(text, 40) ELSE left(text, 120) END AS q FROM conversations), w AS (SELECT *, lower(q) AS low, {matches('q', fixed.COMPARISONS)} AS compares FROM q)"""
+_Q = f"""q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN {picked(QUESTIONS, 'conv_id + turn')} || ' ' || text ELSE text END AS q FROM conversations), w AS (SELECT *, lower(q) AS low, {matches('q', fixed.COMPARISONS)} AS compares FROM q)"""
 
 
 def _routes(low: str = "low", compares: str = "compares") -> str:
@@ -238,7 +238,7 @@ def _routes(low: str = "low", compares: str = "compares") -> str:
 
 def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    q = F.when(F.col("turn") % 2 == 0, F.concat(pick(QUESTIONS, F.col("conv_id") + F.col("turn")), F.lit(" "), F.left("text", F.lit(40)))).otherwise(F.left("text", F.lit(120)))
+    q = F.when(F.col("turn") % 2 == 0, F.concat(pick(QUESTIONS, F.col("conv_id") + F.col("turn")), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
     return c.select("conv_id", "turn", q.alias("q"))
 
 
@@ -302,11 +302,11 @@ def answer_branches(spark, sf_dir):
     return e.select("event_id", planner.after_grading(u % 3, route, i % 2 == 0, i % 5).alias("graded"), planner.after_answer(yes(u % 2 == 0), yes(i % 7 < 4), i % 5).alias("answered"))
 
 
-@query("""WITH r AS (SELECT conv_id AS qid, turn AS pos, [role, left(text, 1)] AS citations, [left(text, 3)] AS contexts FROM conversations), x AS (SELECT qid, pos, 'citation' AS kind, unnest(citations) AS value, unnest(range(0, 2)) AS n FROM r UNION ALL SELECT qid, pos, 'context', unnest(contexts), 0 FROM r)
+@query("""WITH r AS (SELECT conv_id AS qid, turn AS pos, [role, lower(text)] AS citations, [text] AS contexts FROM conversations), x AS (SELECT qid, pos, 'citation' AS kind, unnest(citations) AS value, unnest(range(0, 2)) AS n FROM r UNION ALL SELECT qid, pos, 'context', unnest(contexts), 0 FROM r)
 SELECT qid, kind, value, pos, n::BIGINT AS n FROM x QUALIFY row_number() OVER (PARTITION BY qid, kind, value ORDER BY pos, n) = 1""")
 def merged_results(spark, sf_dir):
     """Q11 on every conversation, whose turns stand for sub-questions."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), F.array("role", F.left("text", F.lit(1))).alias("citations"), F.array(F.left("text", F.lit(3))).alias("contexts"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), F.array("role", F.lower("text")).alias("citations"), F.array("text").alias("contexts"))
     return planner.merged(c).withColumn("n", F.col("n").cast("long"))
 
 
@@ -348,7 +348,7 @@ def written(df: DataFrame, what: str, fmt: str = "text", **options) -> str:
 _FACTS = "SELECT 'a' || l_orderkey AS adsh, coalesce(CASE l_linenumber % 4 WHEN 0 THEN 'Revenue' WHEN 1 THEN 'NetIncome' WHEN 2 THEN 'TotalAssets' END, 'Other') AS tag, l_shipdate::DATE AS ddate, CASE WHEN l_linenumber % 5 <> 0 THEN l_extendedprice END AS value FROM lineitem"
 
 
-@query(f"""WITH f AS (SELECT 'a' || o_orderkey AS adsh, o_custkey AS cik, year(o_orderdate)::BIGINT AS fiscal_year, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS filed FROM orders WHERE o_custkey IN (1, 2, 5, 8))
+@query(f"""WITH f AS (SELECT 'a' || o_orderkey AS adsh, o_custkey AS cik, year(o_orderdate)::BIGINT AS fiscal_year, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS filed FROM orders WHERE o_custkey % 100 = 0)
 SELECT f.adsh, f.cik, f.fiscal_year, f.filed, n.tag, count(*) AS n, max(n.value) AS top, min(n.ddate) AS first FROM ({_FACTS}) n JOIN f USING (adsh) GROUP BY ALL""")
 def filing_facts(spark, sf_dir):
     """Tab-separated filings and facts, some values unreadable, joined and summed up."""
@@ -357,7 +357,8 @@ def filing_facts(spark, sf_dir):
     tag = F.element_at(F.array(*map(F.lit, ("Revenues", "ProfitLoss", "Assets", "Other"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
     li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a"), F.col("l_orderkey").cast("string")).alias("adsh"), tag.alias("tag"), F.date_format("l_shipdate", "yyyyMMdd").alias("ddate"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_extendedprice")).alias("value"))
     f = filings.filings(spark, written(o, "sub", "csv", sep="\t", header=True))
-    kept, facts = filings.facts_of(filings.facts(spark, written(li, "num", "csv", sep="\t", header=True)), f, [1, 2, 5, 8])
+    asked = o.select("cik").where("cik % 100 = 0").distinct()
+    kept, facts = filings.facts_of(filings.facts(spark, written(li, "num", "csv", sep="\t", header=True)), f, asked)
     facts = relational.replace_values(facts, "tag", fixed.TAGS)
     return facts.join(kept.select("adsh", "cik", "fiscal_year", "filed"), "adsh").groupBy("adsh", "cik", "fiscal_year", "filed", "tag").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("ddate").alias("first"))
 

@@ -152,14 +152,14 @@ def context_budget(spark, sf_dir):
     return relational.budget(d, ["lang"], [F.col("n_chars"), F.col("doc_id")], "text", 12_000).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-_ASKED = "left(text, 200) || CASE doc_id % 4 WHEN 0 THEN ' in the 10-K of ' || (1995 + doc_id % 20) || ', then 2031' WHEN 1 THEN ' 10-q x2024 and 20245' WHEN 2 THEN ' (2019) 10-Q/10-k' ELSE '' END"
+_ASKED = "text || CASE doc_id % 4 WHEN 0 THEN ' in the 10-K of ' || (1995 + doc_id % 20) || ', then 2031' WHEN 1 THEN ' 10-q x2024 and 20245' WHEN 2 THEN ' (2019) 10-Q/10-k' ELSE '' END"
 
 
 @query(f"SELECT doc_id, nullif(regexp_extract(t, '\\b(20\\d{{2}})\\b', 1), '') AS year, CASE WHEN contains(upper(t), '10-K') THEN '10-K' WHEN contains(upper(t), '10-Q') THEN '10-Q' END AS form FROM (SELECT doc_id, {_ASKED} AS t FROM documents)")
 def year_form_filter(spark, sf_dir):
     d = F.col("doc_id")
     said = F.when(d % 4 == 0, F.concat(F.lit(" in the 10-K of "), (1995 + d % 20).cast("string"), F.lit(", then 2031"))).when(d % 4 == 1, " 10-q x2024 and 20245").when(d % 4 == 2, " (2019) 10-Q/10-k").otherwise("")
-    year, form = retrieval.question_filter(F.concat(F.left("text", F.lit(200)), said))
+    year, form = retrieval.question_filter(F.concat("text", said))
     return table(spark, sf_dir, "documents").select("doc_id", year.cast("string").alias("year"), form.alias("form"))
 
 
@@ -456,15 +456,20 @@ def tree_expand(spark, sf_dir):
     return retrieval.merged_hits(retrieval.expand(hits, edges, nodes)).select("id", F.round("final_score", 6).alias("final_score"), "via")
 
 
-@query("SELECT 'missing_child' AS issue, 'v-1' AS id UNION ALL SELECT 'bad_parent', 'v7' UNION ALL SELECT 'empty_summary', 'l1' UNION ALL SELECT 'cycle', 'g0>root'")
+@query("""SELECT 'missing_child' AS issue, 'x' || vec_id AS id FROM embeddings WHERE vec_id % 50 = 11 UNION ALL SELECT 'bad_parent', 'v' || vec_id FROM embeddings WHERE vec_id % 50 = 7 UNION ALL SELECT DISTINCT 'empty_summary', 'l' || label FROM embeddings WHERE label % 4 = 1
+UNION ALL SELECT 'leaf_with_children', 'v' || vec_id FROM embeddings WHERE vec_id % 50 = 11 UNION ALL SELECT DISTINCT 'cycle', 'g' || label % 3 || '>root' FROM embeddings""")
 def tree_verify(spark, sf_dir):
+    """What is wrong with a tree over all vectors, in which every kind of defect is seeded."""
     nodes, edges = _tree(spark, sf_dir)
     kids = edges.groupBy("parent_id").agg(F.array_sort(F.collect_list("child_id")).alias("child_ids"))
     parents = edges.select(F.col("child_id").alias("id"), F.col("parent_id"))
-    t = nodes.join(kids, nodes["id"] == kids["parent_id"], "left").drop("parent_id").join(parents, "id", "left").withColumn("text", F.when(F.col("id") == "l1", " ").otherwise(F.col("id")))
-    # seeded defects: a child that is not there, a wrong parent, an empty summary, a ring
-    t = t.withColumn("child_ids", F.when(F.col("id") == "root", F.concat("child_ids", F.array(F.lit("v-1")))).when(F.col("id") == "g0", F.concat("child_ids", F.array(F.lit("root")))).otherwise(F.col("child_ids")))
-    return tree.issues(t.withColumn("parent_id", F.when(F.col("id") == "v7", F.lit("root")).otherwise(F.col("parent_id"))))
+    t = nodes.join(kids, nodes["id"] == kids["parent_id"], "left").drop("parent_id").join(parents, "id", "left").withColumn("text", F.col("id"))
+    # seeded defects: children that are not there under leaves, wrong parents, empty summaries, a ring through each group
+    n = F.expr("try_cast(substr(id, 2) as long)")
+    leaf = F.col("node_type") == "leaf"
+    t = t.withColumn("text", F.when(F.col("id").startswith("l") & (n % 4 == 1), " ").otherwise(F.col("text")))
+    t = t.withColumn("child_ids", F.when(leaf & (n % 50 == 11), F.array(F.concat(F.lit("x"), n.cast("string")))).when(F.col("id").startswith("g"), F.concat("child_ids", F.array(F.lit("root")))).otherwise(F.col("child_ids")))
+    return tree.issues(t.withColumn("parent_id", F.when(leaf & (n % 50 == 7), F.lit("root")).otherwise(F.col("parent_id"))))
 
 
 @query("""WITH x AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -535,10 +540,10 @@ def jaccard_pairs(spark, sf_dir):
     return relational.similar_pairs(c, "conv_id", "turn", "s", 0.2)
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role || left(text, 1) ORDER BY turn) AS rn FROM conversations) WHERE rn = 1")
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role || (length(text) % 3) ORDER BY turn) AS rn FROM conversations) WHERE rn = 1")
 def citation_dedupe(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return relational.ordered_distinct(c, ["conv_id"], [F.concat("role", F.left("text", F.lit(1)))], "turn").select("conv_id", "turn", "role")
+    return relational.ordered_distinct(c, ["conv_id"], [F.concat("role", (F.length("text") % 3).cast("string"))], "turn").select("conv_id", "turn", "role")
 
 
 # -- contradiction, evaluation, audit ------------------------------------------------------------

@@ -42,9 +42,9 @@ def facts(spark: SparkSession, path: str) -> DataFrame:  # S03
     return _present(spark, path, _columns(schemas.FACTS), {}, "yyyyMMdd")
 
 
-def facts_of(facts_: DataFrame, filings_: DataFrame, ciks: list[int]) -> tuple[DataFrame, DataFrame]:  # P01, J04
-    """Filings of some companies, and the facts of those filings."""
-    kept = filings_.where(F.col("cik").isin(*ciks))
+def facts_of(facts_: DataFrame, filings_: DataFrame, ciks: list[int] | DataFrame) -> tuple[DataFrame, DataFrame]:  # P01, J04
+    """Filings of some companies (a few, or a table with ``cik``), and the facts of those filings."""
+    kept = relational.semi(filings_, ciks, "cik") if isinstance(ciks, DataFrame) else filings_.where(F.col("cik").isin(*ciks))
     return kept, relational.semi(facts_, kept.select("adsh"), "adsh")
 
 
