@@ -172,35 +172,42 @@ class ShardTable:
             raise RuntimeError("a merge changed the number of rows; nothing was committed")
         return out
 
-    def compact(self, rounds: int = 8) -> int:
-        """Merges until no tier has a run; one commit a round. A round whose shards another writer has merged
-        meanwhile is given up, and the next plans anew. Returns the version."""
-        version = self.manifest()[0]
-        for _ in range(rounds):
+    def compact(self) -> int:
+        """Merges until no tier has a run that becomes fewer files; one commit a round. A run that does not is left as it is,
+        and the others of its round go on. A round whose shards another writer has merged meanwhile is given up, and the
+        next plans anew. Every commit leaves fewer shards, so the rounds end. Returns the version."""
+        unpacked: set[frozenset[str]] = set()
+        while True:
             version, live, schema = self.manifest()
-            runs = self.plan(live)
+            runs = [r for r in self.plan(live) if frozenset(s.path for s in r) not in unpacked]
             if not runs:
-                break
-            folders, committed = [self._folder("merge") for _ in runs], False
+                return version
+            folders, committed, new, gone = [self._folder("merge") for _ in runs], set(), [], set()
             try:
-                new = [s for run, folder in zip(runs, folders) for s in self._merge(run, _schema(schema), folder)]
-                if len(new) >= sum(map(len, runs)):
-                    break  # nothing became fewer: these files do not pack
-                gone = {s.path for run in runs for s in run}
+                for run, folder in zip(runs, folders):
+                    out = self._merge(run, _schema(schema), folder)
+                    if len(out) < len(run):
+                        committed.add(folder)
+                        new += out
+                        gone |= {s.path for s in run}
+                    else:
+                        unpacked.add(frozenset(s.path for s in run))
 
                 def change(now: list[Shard], said: str | None) -> tuple[list[Shard], str]:
                     if not gone <= {s.path for s in now}:
                         raise _Overtaken
                     return [s for s in now if s.path not in gone] + new, said
 
-                version = self._change(change)
-                committed = True
+                if gone:
+                    self._change(change)
             except _Overtaken:
-                continue
+                committed.clear()
+            except BaseException:
+                committed.clear()
+                raise
             finally:
                 for folder in folders:
-                    self._done(folder, committed)
-        return version
+                    self._done(folder, folder in committed)
 
     def vacuum(self, keep_versions: int = 1, stale_s: float = DAY) -> int:
         """Deletes shards that none of the newest manifests names and no writer is busy with; returns how many.
