@@ -121,3 +121,13 @@ SWEEP = (
 )
 SCORE_WEIGHTS = {"faithfulness": 0.35, "completeness": 0.30, "numerical_accuracy": 0.25, "citation_accuracy": 0.10}
 NUMBER = r"(?i)\$?\s*(\d[\d,]*\.?\d*)\s*(?:billion|trillion|million|B|T|M)?"
+
+# How answers are to look. Beginnings of questions for yes or no; phrases that ask for several things, of an
+# answer and of a merged answer; most words of an answer, of one without documents, and of a merged one; bullets at most;
+# characters of a failed context that a rewriter sees.
+YES_NO = ("is ", "are ", "has ", "have ", "can ", "does ", "do ", "did ", "was ", "were ")
+SEVERAL = ("what are", "list", "what patents", "what lawsuits", "what risk factors", "what metrics", "what did management", "enumerate", "summarize all")
+SEVERAL_MERGED = ("what does", "what do", "what topics", "what courses", "what is the syllabus", "cover", "covers", "list")
+MOST_WORDS = {"answer": 140, "direct": 90, "merged": 160}
+MOST_BULLETS = 4
+PREVIEW = 250

@@ -36,7 +36,7 @@ def overlap_grade(question: Column, chunk: Column, least: float = 0.2) -> Column
 
 def extractive_answer(question: Column, contexts: Column) -> Column:
     """The context that shares most words with the question."""
-    scored = F.transform(contexts, lambda c, i: F.struct(lexical_overlap(tokens(question), tokens(c)).alias("s"), (-i).alias("o"), c.alias("c")))
+    scored = F.transform(contexts, lambda c, i: F.named_struct(F.lit("s"), lexical_overlap(tokens(question), tokens(c)), F.lit("o"), -i, F.lit("c"), c))
     return F.coalesce(F.array_max(scored)["c"], F.lit(""))
 
 

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from siltstone.plans import boundary, catalog, indexed, pages, streams  # noqa: F401  the others register their queries in the catalog
+from siltstone.plans import boundary, catalog, indexed, injected, pages, streams  # noqa: F401  the others register their queries in the catalog
 
 DATA = "/root/testdata/sf0.001"
 FOLDERS = (DATA, "/root/testdata/sf0.01")
