@@ -1,9 +1,10 @@
-"""Registered queries over whole web pages: labelled blocks, grids and texts of tables."""
+"""Registered queries over whole web pages and scanned lines: labelled blocks, grids and texts of tables, broken words."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import repair
 from ..sources import blocks
 from ..sources.tables import table
 from . import evidence
@@ -40,3 +41,30 @@ def page_tables(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), grid).alias("html"))
     t = blocks.tables(blocks.located(pages, ["page_id"]), ["page_id"])
     return t.select("page_id", "grid", evidence.table_text(F.col("page_id"), F.col("caption"), F.col("headers"), F.col("n_rows"), F.col("n_cols"), F.col("rows")).alias("text"))
+
+
+_NORMAL = "trim(regexp_replace(replace({0}, chr(160), ' '), '\\s+', ' ', 'g'))"
+_CORE = "regexp_replace(lower({0}), '[.,;:!?]+$', '')"
+_COST = "round(1000 * ln((total + 1) / ({0} + 0.5)))::BIGINT"
+
+
+@query(f"""WITH RECURSIVE w AS MATERIALIZED (SELECT {_CORE.format('t')} AS word, count(*) AS n FROM (SELECT unnest(string_split({_NORMAL.format('text')}, ' ')) AS t FROM documents) GROUP BY 1 HAVING word <> ''), total AS (SELECT sum(n)::DOUBLE AS total FROM w),
+l AS (SELECT conv_id, turn, unnest(range(0, len(ls))) AS line, unnest(ls) AS x FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations)),
+b AS (SELECT conv_id, turn, line, {_NORMAL.format("array_to_string(list_transform(string_split(x, ' '), lambda y, i: CASE WHEN i % 5 = 3 AND length(y) >= 6 THEN left(y, 3) || ' ' || substr(y, 4) ELSE y END), ' ')")} AS x FROM l),
+t AS MATERIALIZED (SELECT conv_id, turn, line, pos, tok, {_CORE.format('tok')} AS core, coalesce(n, 0) AS n FROM (SELECT conv_id, turn, line, unnest(range(1, len(ts) + 1)) AS pos, unnest(ts) AS tok FROM (SELECT *, string_split(x, ' ') AS ts FROM b)) LEFT JOIN w ON word = {_CORE.format('tok')}),
+c2 AS MATERIALIZED (SELECT y.conv_id, y.turn, y.line, y.pos, {_COST.format('w.n')} AS c FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.line = y.line AND y.pos = x.pos + 1 JOIN w ON word = x.core || y.core, total
+  WHERE w.n >= 3 AND w.n > least(x.n, y.n) AND regexp_matches(x.tok, '^\\p{{L}}+$') AND regexp_matches(y.tok, '^\\p{{L}}+[.,;:!?]*$')),
+c3 AS MATERIALIZED (SELECT z.conv_id, z.turn, z.line, z.pos, {_COST.format('w.n')} AS c FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.line = y.line AND y.pos = x.pos + 1 JOIN t z ON x.conv_id = z.conv_id AND x.turn = z.turn AND x.line = z.line AND z.pos = x.pos + 2 JOIN w ON word = x.core || y.core || z.core, total
+  WHERE w.n >= 3 AND w.n > least(x.n, y.n, z.n) AND regexp_matches(x.tok, '^\\p{{L}}+$') AND regexp_matches(y.tok, '^\\p{{L}}+$') AND regexp_matches(z.tok, '^\\p{{L}}+[.,;:!?]*$')),
+m AS MATERIALIZED (SELECT t.conv_id, t.turn, t.line, t.pos, t.tok, {_COST.format('t.n')} AS c1, c2.c AS c2, c3.c AS c3 FROM t LEFT JOIN c2 USING (conv_id, turn, line, pos) LEFT JOIN c3 USING (conv_id, turn, line, pos), total),
+r AS (SELECT conv_id, turn, line, 0::BIGINT AS pos, 0::BIGINT AS b1, NULL::BIGINT AS b2, NULL::BIGINT AS b3, '' AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3, '' AS p1, '' AS p2 FROM b
+  UNION ALL SELECT conv_id, turn, line, pos, best.b, b1, b2, best.s, s1, s2, tok, p1 FROM (SELECT m.conv_id, m.turn, m.line, m.pos, m.tok, b1, b2, s1, s2, p1,
+    list_min(list_filter([{{'b': b1 + c1, 'g': 1, 's': s1 || CASE WHEN s1 = '' THEN '' ELSE ' ' END || tok}}, {{'b': b2 + c2, 'g': 2, 's': s2 || CASE WHEN s2 = '' THEN '' ELSE ' ' END || p1 || tok}}, {{'b': b3 + c3, 'g': 3, 's': s3 || CASE WHEN s3 = '' THEN '' ELSE ' ' END || p2 || p1 || tok}}], lambda z: z.b IS NOT NULL)) AS best
+    FROM r JOIN m ON m.conv_id = r.conv_id AND m.turn = r.turn AND m.line = r.line AND m.pos = r.pos + 1))
+SELECT conv_id, turn, line, s1 AS text FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn, line ORDER BY pos DESC) = 1""")
+def repaired_lines(spark, sf_dir):
+    """lines of all turns with words torn apart, put together by what the documents' words tell."""
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    torn = F.array_join(F.transform(F.split("x", " "), lambda y, i: F.when((i % 5 == 2) & (F.length(y) >= 6), F.concat(F.left(y, F.lit(3)), F.lit(" "), F.substring(y, 4, 1 << 30))).otherwise(y)), " ")
+    words = repair.word_counts(table(spark, sf_dir, "documents"))
+    return repair.repaired(lines.select("conv_id", "turn", F.col("line").cast("long").alias("line"), torn.alias("text")), words, ["conv_id", "turn", "line"])
