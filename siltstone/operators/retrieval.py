@@ -64,12 +64,12 @@ def dense(vectors: DataFrame, query: Column, k: int, key: str, spec: Mapping | N
 QUESTION_BLOCK = 1024
 
 
-def question_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
-    """``queries`` in blocks of QUESTION_BLOCK rows, numbered once in the shared folder; each may be broadcast."""
+def question_blocks(queries: DataFrame, key: str, size: int = QUESTION_BLOCK) -> list[DataFrame]:
+    """``queries`` in blocks of ``size`` rows, numbered once in the shared folder; each may be broadcast."""
     places = relational.ranked(queries.select(key).distinct(), [F.col(key)], "_n").withColumn("_n", F.col("_n") - 1)
     numbered = settled(queries.join(places, key), "questions")
     n = numbered.agg(F.coalesce(F.max("_n") + 1, F.lit(0))).first()[0]
-    return [numbered.where((F.col("_n") >= a) & (F.col("_n") < a + QUESTION_BLOCK)).drop("_n") for a in range(0, n, QUESTION_BLOCK)]
+    return [numbered.where((F.col("_n") >= a) & (F.col("_n") < a + size)).drop("_n") for a in range(0, n, size)]
 
 
 def dense_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, digits: int = 6) -> DataFrame:  # J12

@@ -73,7 +73,7 @@ def test_vector_edges(spark):
     assert vector_index.search(vector_index.build(df, "id"), asked.limit(0), 5).collect() == []
 
 
-def test_postings_equal_a_scan(spark):
+def test_postings_equal_a_scan(spark, monkeypatch):
     r = random.Random(4)
     words = [f"w{int(r.paretovariate(0.6))}" for _ in range(4000)]
     docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(400)] + [(400, None), (401, "")] + [(500 + i, "w1 w2 w2") for i in range(40)]
@@ -86,6 +86,8 @@ def test_postings_equal_a_scan(spark):
     scan = retrieval.bm25(known.select("qid").distinct().crossJoin(d.select("doc", F.coalesce("text", F.lit("")).alias("text"))), known, "doc").where("bm25 <> 0")
     want = {(x.qid, x.doc, x.bm25) for x in relational.top_per(scan, ["qid"], [F.desc("bm25"), F.col("doc")], 10).collect()}
     assert got == want and len(want) > 80
+    monkeypatch.setattr(postings, "QUESTIONS", 5)
+    assert {(x.qid, x.doc, x.bm25) for x in postings.search(index, terms, 10).collect()} == want
     read, every = postings.share_read(index, terms.where("qid < 12"), 3)
     assert 0 < read < every
     assert postings.search(postings.build(d.limit(0), "doc"), terms, 5).collect() == []
