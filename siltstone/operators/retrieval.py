@@ -18,6 +18,7 @@ from . import relational
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K = 60
+MANY = 100_000  # terms and questions up to this number are broadcast
 _OPS = {"$eq": "__eq__", "$ne": "__ne__", "$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 
 
@@ -89,16 +90,18 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str = "text", digits
     qid, term (a term asked twice counts twice). Okapi weights; a negative idf becomes a quarter of the
     mean idf over the candidates' terms."""
     # Only term counts per question travel (summed up before the shuffle); a document's own counts of the
-    # few asked terms are taken from its words in place.
+    # few asked terms are taken from its words in place. Sides that grow with the questions are broadcast if they are few.
+    few = terms.limit(MANY + 1).count() <= MANY and docs.select("qid").distinct().limit(MANY + 1).count() <= MANY
+    small = F.broadcast if few else lambda side: side
     bags = docs.select("qid", key, tokens(text).alias("_t")).withColumn("dl", F.size("_t"))
     size = bags.groupBy("qid").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = bags.select("qid", F.explode(F.array_distinct("_t")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("df"))
-    idf = df.join(size, "qid").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # a row per question
+    idf = df.join(small(size), "qid").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # a row per question
     asked = terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
-    of_asked = idf.join(asked, ["qid", "term"])
+    of_asked = idf.join(small(asked), ["qid", "term"])
     mean = idf.groupBy("qid").agg(F.avg("idf").alias("mean"))
-    of_asked = of_asked.join(mean, "qid").select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))  # sides that grow with the questions are broadcast where the optimizer finds them small
-    hits = bags.join(of_asked, "qid").where(F.array_contains("_t", F.col("term"))).withColumn("tf", F.size(F.filter("_t", lambda x: x == F.col("term"))))
+    of_asked = of_asked.join(small(mean), "qid").select("qid", "term", "times", "avgdl", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
+    hits = bags.join(small(of_asked), "qid").where(F.array_contains("_t", F.col("term"))).withColumn("tf", F.size(F.filter("_t", lambda x: x == F.col("term"))))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = hits.groupBy("qid", key).agg(F.round(F.sum(weight), digits).alias("bm25"))
     return docs.select("qid", key).join(score, ["qid", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))

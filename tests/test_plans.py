@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from siltstone.plans import boundary, catalog  # noqa: F401  boundary registers its queries
+from siltstone.plans import boundary, catalog, indexed, injected, pages, streams  # noqa: F401  the others register their queries in the catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -28,8 +28,9 @@ def test_only_needed_columns_are_read(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(catalog.doc_hash_dedupe(spark, DATA))
 
 
-#: What built-in functions cannot say: parsers of HTML, a source that pages through a REST search, an injected judge.
-PYTHON = {"html_text", "html_tables", "inline_xbrl", "rest_search", "judged_answers"}
+#: What built-in functions cannot say: parsers of HTML, a source that pages through a REST search, injected models; blocks of
+#: vectors and questions as matrices.
+PYTHON = {"html_text", "html_tables", "inline_xbrl", "rest_search", "judged_answers", "page_blocks", "page_tables", "embedded_turns", "retried_models", "indexed_search", "corpus_retrieval", "semantic_cache_live"}
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
