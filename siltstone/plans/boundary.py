@@ -331,7 +331,7 @@ def _length_judge(pairs):
 
 @query("SELECT conv_id AS id, m AS metric, CASE WHEN turn % 3 = 0 THEN 1.0 WHEN m = 'completeness' THEN least(1.0, length(text) / 1000.0) WHEN length(text) % 2 = 1 THEN 0.0 ELSE 0.25 END::DOUBLE AS value FROM conversations, (VALUES ('completeness'), ('contradiction_rate')) v(m)")
 def judged_answers(spark, sf_dir):
-    """E06, E07, LM12 with a judge of lengths; what it cannot read scores 0."""
+    """E06, E07 with a judge of lengths; what it cannot read scores 0."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("text").alias("answer"), F.when(F.col("turn") % 3 == 0, "").otherwise("y").alias("expected"))
     return evaluation.judged(c, _length_judge)
 
@@ -407,7 +407,7 @@ def patent_file(spark, sf_dir):
 @query("""SELECT lpad(o_custkey::VARCHAR, 10, '0') AS cik, 'a' || o_orderkey AS accession, CASE WHEN o_orderkey % 4 = 0 THEN year(o_orderdate) ELSE year(o_orderdate) + 1 END::INTEGER AS year, CASE o_orderstatus WHEN 'F' THEN '8-K' WHEN 'O' THEN 'DEF 14A' ELSE '10-K' END AS form,
 o_orderstatus = 'F' AND o_orderkey % 3 = 0 AND year(o_orderdate) + 1 BETWEEN 1996 AND 1997 AS release, o_orderstatus = 'O' AND CASE WHEN o_orderkey % 4 = 0 THEN year(o_orderdate) ELSE year(o_orderdate) + 1 END BETWEEN 1995 AND 1998 AS annual FROM orders""")
 def submission_rows(spark, sf_dir):
-    """Parallel arrays of a JSON file as rows; releases and yearly statements among them."""
+    """Parallel arrays of a JSON file as rows; releases and yearly statements among them."""
     k, y = F.col("o_orderkey"), F.year("o_orderdate")
     o = table(spark, sf_dir, "orders").select("o_custkey", F.struct(F.concat(F.lit("a"), k.cast("string")).alias("accessionNumber"), F.concat((y + 1).cast("string"), F.lit("-02-01")).alias("filingDate"), F.when(k % 4 == 0, F.concat(y.cast("string"), F.lit("-12-31"))).otherwise("").alias("reportDate"),
                                               F.when(F.col("o_orderstatus") == "F", "8-K").when(F.col("o_orderstatus") == "O", "DEF 14A").otherwise("10-K").alias("form"), F.when(k % 3 == 0, "2.02,9.01").otherwise("5.02").alias("items"), F.lit("d.htm").alias("primaryDocument")).alias("f"))
@@ -434,6 +434,18 @@ def claims_in_order(spark, sf_dir):
     return relational.ranked(joined, [F.desc_nulls_first("grant_date"), F.col("patent_id"), F.col("claim_number"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")], "place").select("patent_id", "grant_date", "claim_number", "place")
 
 
+@query("""SELECT lpad(c_custkey::VARCHAR, 10, '0') AS cik, upper(c_mktsegment) AS ticker, CASE c_custkey % 3 WHEN 0 THEN 'ex21_' || c_custkey WHEN 1 THEN 'late_' || c_custkey END AS exhibit FROM customer""")
+def company_files(spark, sf_dir):
+    """Companies with ten-digit numbers, and the list of subsidiaries among the files of each one's filing."""
+    k = F.col("c_custkey")
+    item = lambda name, kind: F.struct(name.alias("name"), kind.alias("type"))
+    first = item(F.concat(F.lit("main_"), k.cast("string")), F.when(k % 2 == 0, "10-K").otherwise("EX-2"))
+    second = item(F.concat(F.lit("ex21_"), k.cast("string")), F.when(k % 3 == 0, "ex-21.1").otherwise("EX-31"))
+    third = item(F.concat(F.lit("late_"), k.cast("string")), F.when(k % 3 == 2, "EX-99").otherwise("EX-21"))
+    c = table(spark, sf_dir, "customer").select(k.alias("cik"), F.upper("c_mktsegment").alias("ticker"), F.struct(F.array(first, second, third).alias("item")).alias("directory"))
+    return filings.exhibit_21(filings.tickers(c)).select("cik", "ticker", "exhibit")
+
+
 _TRADES = ("Iron & Steel", "Textile", "Grain", "Shipping Lines", "Paper", "Motor-Works", "Glass")
 
 
@@ -502,7 +514,7 @@ def published_tables(spark, sf_dir):
 
 @query("""SELECT label % 3 AS namespace, vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS v, count(*) OVER (PARTITION BY label % 3) AS in_namespace FROM embeddings QUALIFY label % 3 = 1""")
 def vector_store(spark, sf_dir):
-    """Vectors written twice, the last write holds; fetched by id and counted by namespace."""
+    """Vectors written twice, the last write holds; fetched by id and counted by namespace."""
     e = table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("namespace"), F.col("vec_id").alias("id"), F.lit("old").alias("v"), F.lit(0).alias("seq"))
     new = e.where("id % 5 = 0").select("namespace", "id", F.explode(F.array(F.lit("mid"), F.lit("new"))).alias("v")).withColumn("seq", F.when(F.col("v") == "new", 2).otherwise(1))
     store = sinks.upsert_vectors(e, new, "seq")
@@ -531,7 +543,7 @@ _FACT_TAGS = ("us-gaap:Revenues", "us-gaap:PolicyTextBlock", "dei:Name", "us-gaa
 SELECT k, tag, CASE WHEN tag LIKE 'us-gaap:%' THEN o_totalprice END AS value_num, CASE WHEN tag LIKE 'us-gaap:%' AND o_custkey % 2 = 0 THEN 'USD' WHEN tag LIKE 'us-gaap:%' THEN 'iso4217:USD' END AS unit, s::VARCHAR AS start_date, CASE WHEN tag LIKE 'us-gaap:%' THEN 'x:m' || o_custkey END AS member,
 CASE WHEN days <= 110 THEN 'quarterly' WHEN days <= 200 THEN 'semiannual' WHEN days <= 400 THEN 'annual' ELSE 'other' END AS period_type, CASE WHEN days <= 110 THEN 'Q' || quarter(e) END AS fiscal_quarter FROM d WHERE tag <> 'us-gaap:PolicyTextBlock'""")
 def inline_xbrl(spark, sf_dir):
-    """A page of inline XBRL per order, with hidden parts, a nil fact and a repeated one."""
+    """A page of inline XBRL per order, with hidden parts, a nil fact and a repeated one."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     tag = pick(_FACT_TAGS, k)
     end = F.date_add(F.col("o_orderdate").cast("date"), (c % 500).cast("int")).cast("string")
@@ -723,7 +735,7 @@ _CONTEXT = "CASE turn % 3 WHEN 0 THEN '[Document ' || turn || '] Head ' || role
 @query(f"""WITH c AS (SELECT conv_id, turn, {_CONTEXT} AS c, 'n' || conv_id || ' -> n' || turn AS path FROM conversations), t AS (SELECT *, regexp_replace(c, '^\\[Document \\d+\\]\\s*', '') AS t FROM c)
 SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?m)^URL:\\s*\\S') THEN regexp_extract(t, '(?m)^URL:\\s*(\\S+)', 1) ELSE string_split(t, chr(10))[1] || '|' || left({spaced("regexp_replace(t, '^[^\\n]*\\n?', '')")}, 180) END AS source, path, CASE turn % 4 WHEN 0 THEN 0.85 WHEN 1 THEN 0.90 WHEN 2 THEN 0.60 END::DOUBLE AS confidence FROM t""")
 def audit_records(spark, sf_dir):
-    """Audit rows with the identity of each context."""
+    """Audit rows with the identity of each context."""
     t, r = F.col("turn"), F.col("role")
     context = F.when(t % 3 == 0, F.concat(F.lit("[Document "), t.cast("string"), F.lit("] Head "), r, F.lit("\n"), "text")).when(t % 3 == 1, F.concat(F.lit("[Document 1] x\nURL: http://a/"), r, F.lit(" z"))).otherwise(r)
     said = F.when(t % 4 == 1, "yes").when(t % 4 == 2, "yes")
