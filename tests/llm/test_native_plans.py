@@ -7,6 +7,7 @@ import pytest
 from siltstone.llm import queries
 
 DATA = "/root/testdata/sf0.001"
+OF_VECTORS = ("op12_annular_vector_codes", "op13_sort_means")
 
 
 @pytest.mark.parametrize("name", ["op1_size_tiered_shards", "op2_quality_ledger", "quality_ablations", "op9_secret_forest"])
@@ -26,7 +27,7 @@ def test_every_query_runs(spark, name):
     rows = queries.QUERIES[name](spark, DATA)
     assert rows.count() > 0
     if name.startswith("op") and name != "op9_secret_forest":
-        assert "doc_id" in rows.columns
+        assert ("vec_id" if name in OF_VECTORS else "doc_id") in rows.columns
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
@@ -34,7 +35,8 @@ def test_sql_gives_the_same(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, DATA)
     order = sorted(want.columns)
