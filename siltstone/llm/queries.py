@@ -39,9 +39,16 @@ def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The committed manifest: one row per live shard."""
-    version, shards, _ = _compacted(spark, sf_dir).manifest()
-    return spark.createDataFrame([(version, s.path, s.bytes, s.rows) for s in shards], "version long, path string, n_bytes long, n_rows long")
+    """What the committed manifest says: rows in all, whether its shards' rows are those that are read, and whether no tier
+    is left to merge that becomes fewer files."""
+    from pyspark.sql import functions as F
+
+    table = _compacted(spark, sf_dir)
+    version, shards, _ = table.manifest()
+    said = spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.rows) for s in shards], "file string, rows long")
+    read = table.read().groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("found"))
+    both = read.join(said, "file", "full").agg(F.sum("rows").alias("n_rows"), F.coalesce(F.bool_and(F.col("rows").eqNullSafe(F.col("found"))), F.lit(True)).alias("rows_match"))
+    return both.withColumn("compacted", F.lit(table.compact() == version))
 
 
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +192,7 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(stay))::BIGINT A
     "op12_annular_vector_codes": _codes_sql(),
     "op13_sort_means": _means_sql(),
     "op1_size_tiered_shards": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
+    "shard_manifest": "SELECT count(*) AS n_rows, true AS rows_match, true AS compacted FROM documents",
     "op2_quality_ledger": f"""WITH {_LEDGER}
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 1023) = 0 AS kept, 4::INTEGER AS policy_version,
        (CASE WHEN bit_count(fail_bits) = 1 THEN fail_bits ELSE 0 END)::BIGINT AS decisive_bits FROM led""",

@@ -74,3 +74,20 @@ def test_run_equals_the_stages(spark, tmp_path):
     want = packing(spark, personal_data(spark, repeated_passages(spark, near_copies(spark, quality_rules(spark, docs, ""), ""), ""), ""), "")
     total = lambda df: sorted((r.doc_id, r.t) for r in df.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "t").collect())
     assert total(got) == total(want)
+
+
+def test_stages_take_nulls_repeats_and_other_columns(spark):
+    """Every stage by itself, on rows that the stages before it would have dropped."""
+    line = "the quick brown fox jumps over the lazy dog while seven old wizards boil water for tea and sing of rivers"
+    rows = [(None, line + " null id", None, None, None), (1, None, "en", None, None), (2, "", None, "s", 0), (3, line, "en", "s", 9), (3, line, "en", "s", 9), (4, " \n\t", "en", "s", 3), (5, "x" * 300_000, "en", "s", 300_000), (6, "call a.b@c.org " + line, "de", "t", 1)]
+    wide = "doc_id long, text string, lang string, source string, n_chars long, row long, block int, id int, body string, part string, kept string, share int"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "b", "p", "k", 4) for r in rows], wide)
+    kept = {"quality_rules": 4, "ngram_jaccard_join": 5, "suffix_array_dedup": 6, "pii": 8, "packing": None}
+    for name, stage in STAGES:
+        out = stage(spark, docs.select(*COLUMNS) if name not in ("quality_rules", "ngram_jaccard_join") else docs, "")
+        got = out.collect()
+        if name != "packing":
+            assert tuple(out.columns) == COLUMNS and len(got) == kept[name], (name, [r.doc_id for r in got])
+        else:
+            assert sum(r.length for r in got if r.start == 0 and r.length == r.doc_tokens == 1) == 2  # null and empty text
+        assert stage(spark, docs.select(*COLUMNS).limit(0), "").count() == 0
