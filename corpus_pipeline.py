@@ -1,4 +1,9 @@
-"""From raw documents to packed token sequences: quality rules, near copies, repeated passages, personal data, packing."""
+"""From raw documents to packed token sequences: quality rules, near copies, repeated passages, personal data, packing.
+
+Edges, of every stage: null and empty texts are texts without words (the quality rules drop them; a later stage that meets
+them keeps them, and they are packed as their end sign alone); a null doc_id, language or source stays null; rows that repeat
+a doc_id or a text count separately until near copies go, of which one stays; very long texts are worked on whole;
+an empty table gives an empty one; of the input only COLUMNS are read, so other columns may have any name."""
 
 from __future__ import annotations
 
