@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunking, relational
+from .workspace import settled
 
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 LISTS, ITEMS, CELLS = {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"td", "th"}
@@ -151,6 +152,7 @@ def grids(found: DataFrame, key: list[str]) -> DataFrame:  # F19
 def tables(found: DataFrame, key: list[str]) -> DataFrame:  # F20
     """key, grid, caption, headers, n_rows, n_cols, rows (arrays of name and value): what ``evidence.table_text`` takes."""
     of = [*key, "grid"]
+    found = settled(found.where("grid is not null"), "table-texts")  # pages are read once
     places = grids(found, key)
     body = chunking.table_rows(places, of)
     size = places.groupBy(*of).agg((F.max("c") + 1).alias("n_cols"))
