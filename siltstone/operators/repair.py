@@ -26,9 +26,9 @@ def core(token: Column) -> Column:
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """word, n of all texts."""
-    tokens = texts.select(F.explode(F.split(normalize_whitespace(text), " ")).alias("t"))
-    return tokens.select(core(F.col("t")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    """word, n of all texts. Tokens are counted as they stand, so letters and signs are looked at once per token."""
+    tokens = texts.select(F.explode(F.split(normalize_whitespace(text), " ")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    return tokens.select(core(F.col("t")).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _cost(n: Column, total: int) -> Column:
