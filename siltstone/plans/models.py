@@ -35,9 +35,10 @@ def overlap_grade(question: Column, chunk: Column, least: float = 0.2) -> Column
 
 
 def extractive_answer(question: Column, contexts: Column) -> Column:
-    """The context that shares most words with the question."""
-    scored = F.transform(contexts, lambda c, i: F.named_struct(F.lit("s"), lexical_overlap(tokens(question), tokens(c)), F.lit("o"), -i, F.lit("c"), c))
-    return F.coalesce(F.array_max(scored)["c"], F.lit(""))
+    """The context that shares most words with the question, whose words are taken once."""
+    scored = lambda q: F.transform(contexts, lambda c, i: F.named_struct(F.lit("s"), lexical_overlap(q, tokens(c)), F.lit("o"), -i, F.lit("c"), c))
+    best = F.transform(F.array(F.array_distinct(tokens(question))), lambda q: F.array_max(scored(q))["c"])
+    return F.coalesce(F.get(best, F.lit(0)), F.lit(""))
 
 
 def batched(df: DataFrame, column: str, call: Callable[[list[str]], list], out: str, kind: str, batch: int = EMBED_BATCH) -> DataFrame:  # LM01, LM12
