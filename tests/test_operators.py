@@ -96,6 +96,25 @@ def test_similar_pairs_equal_all_pairs(spark, least):
     assert got == sorted(want) and got
 
 
+def test_similar_pairs_of_a_group_in_tiles(spark):
+    """A group of several blocks has the pairs of all its blocks, each once."""
+    r = random.Random(4)
+    sets = {(g, i): {f"w{r.randrange(12)}" for _ in range(r.randrange(9))} for g, n in ((1, 70), (2, 3), (3, 16)) for i in range(n)}
+    df = spark.createDataFrame([(g, i, sorted(s)) for (g, i), s in sets.items()], "g int, i int, words array<string>")
+    got = sorted((x.g, x.i, x.j) for x in relational.similar_pairs(df, "g", "i", "words", 0.4, tile=8).collect())
+    assert got == sorted((g, i, j) for (g, i), s in sets.items() for (h, j), t in sets.items() if g == h and i < j and s and t and len(s & t) / len(s | t) >= 0.4)
+
+
+def test_similar_pairs_send_a_set_once(spark):
+    """A set of many words does not travel with each of them."""
+    c = spark.range(40).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i"))
+    c = c.withColumn("words", F.transform(F.sequence(F.lit(0), F.lit(199)), lambda w: F.concat(F.lit("w"), (w + 7 * F.col("i")).cast("string"))))
+    found = relational.similar_pairs(c, "g", "i", "words", 0.2)
+    assert found.count() == 40
+    p = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(slice" not in p and "_word" not in p
+
+
 def test_carried_levels_reset(spark):
     lines = [(1, "P1", None), (2, None, "I1"), (3, None, None), (4, "P2", None), (5, None, None), (6, None, "I2")]
     df = spark.createDataFrame([("d", *x) for x in lines], "doc string, i int, p string, t string")
