@@ -67,6 +67,11 @@ def test_html():
     assert html.exhibit_link(PAGE) == "/e.htm"
 
 
+def test_text_keeps_incomplete_references():
+    """A reference that a cut has left without its semicolon stays as it is written, as does an unknown name."""
+    assert html.text_of("<title>a&amp;&amp</title><p>&amp;amp &quot;x&quo &copy &notit; &#65;&#66 &x</p>") == 'a&&amp\n\n&amp "x&quo &copy &notit; A&#66 &x'
+
+
 XBRL = """<ix:header><xbrli:context id="c1"><xbrli:period><xbrli:startDate>2023-10-01</xbrli:startDate><xbrli:endDate>2024-09-28</xbrli:endDate></xbrli:period></xbrli:context>
 <xbrli:context id="c2"><xbrli:segment><xbrldi:explicitMember dimension="srt:ProductAxis">aapl:IPhone</xbrldi:explicitMember></xbrli:segment><xbrli:instant>2024-09-28</xbrli:instant></xbrli:context>
 <xbrli:unit id="usd"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit></ix:header>
