@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.numeric import dot, unit
+from ..functions.numeric import unit
 from ..functions.text import any_in
 from . import relational, vector_index
-from .retrieval import question_blocks
+from .retrieval import laid_out, longest, product, question_blocks
 
 TTL_SECONDS, SIMILAR = 3600, 0.92
 UNCACHED_ROUTES = ("contradiction", "graph", "multi_hop")
@@ -34,11 +34,14 @@ def similar(cache: DataFrame, probes: DataFrame, threshold: float = SIMILAR, dig
     its own. Probes are broadcast a block at a time and entries stay where they are, so a scope that holds most
     entries is no hot key; the best is kept by an aggregation, so one candidate per probe and task travels."""
     scope = F.coalesce(F.col("source_filter").cast("string"), F.lit("")).alias("_scope")
-    entries = cache.select("entry_id", scope, unit(F.col("embedding")).alias("_e"))
     asked = probes.select("probe_id", scope, unit(F.col("embedding")).alias("_p"))
+    d = longest(asked, "_p")
+    entries = cache.select("entry_id", scope, unit(F.col("embedding")).alias("_e")).select("entry_id", "_scope", *laid_out(F.col("_e"), d, "_e"))
     found = []
     for block in question_blocks(asked, "probe_id"):
-        scored = entries.join(F.broadcast(block), "_scope").withColumn("similarity", F.round(dot(F.col("_p"), F.col("_e")), digits))
+        block = block.select("probe_id", "_scope", *laid_out(F.col("_p"), d, "_p"))
+        near = entries.join(F.broadcast(block), "_scope").where(product("_p", "_e", d) >= threshold - 10.0**-digits)
+        scored = near.select("probe_id", "entry_id", F.round(product("_p", "_e", d), digits).alias("similarity"))
         best = scored.where((F.col("similarity") >= threshold) & (F.col("similarity") > 0)).groupBy("probe_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("o"))).alias("b"))
         found.append(best.select("probe_id", (-F.col("b.o")).alias("entry_id"), F.col("b.similarity").alias("similarity")))
     if not found:

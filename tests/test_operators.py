@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.functions.numeric import dot, unit
 from siltstone.operators import cache, chunking, contradiction, evaluation, graph, relational, retrieval, tree
 from siltstone.plans import planner
 
@@ -115,6 +116,26 @@ def test_similar_pairs_send_a_set_once(spark):
     assert "explode(slice" not in p and "_word" not in p
 
 
+def test_dense_many_equals_all_pairs(spark):
+    """Floors from a part of the vectors lose nothing: ties, zero, null, broken and shorter vectors, long ones on arrays."""
+    r = random.Random(3)
+    for d, n in ((3, 400), (retrieval.UNROLLED + 1, 70)):
+        data = [(i, [float(r.randrange(-2, 3)) for _ in range(d)]) for i in range(n)] + [(n, None), (n + 1, [1.0, None, *[0.0] * (d - 2)]), (n + 2, [0.0] * d)]
+        v = spark.createDataFrame(data, "id int, embedding array<double>")
+        q = v.where("id % 9 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query"))
+        got = [(x.qid, x.id, x.score, x.rank) for x in retrieval.dense_many(v, q, 4, "id").orderBy("qid", "rank").collect()]
+        score = F.round(dot(unit(F.col("embedding")), unit(F.col("query"))), 6)
+        want = relational.top_per(v.crossJoin(q).select("qid", "id", score.alias("score")), ["qid"], [F.desc("score"), F.col("id")], 4)
+        assert got == [(x.qid, x.id, x.score, x.rank) for x in want.orderBy("qid", "rank").collect()] and got
+
+
+def test_dense_many_walks_no_arrays_per_pair(spark):
+    """Pairs are compiled products of columns, and those below a question's floor are dropped before any sort."""
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id int, embedding array<double>")
+    p = retrieval.dense_many(v, v.select(F.col("id").alias("qid"), F.col("embedding").alias("query")), 2, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in p and "_floor" in p
+
+
 def test_carried_levels_reset(spark):
     lines = [(1, "P1", None), (2, None, "I1"), (3, None, None), (4, "P2", None), (5, None, None), (6, None, "I2")]
     df = spark.createDataFrame([("d", *x) for x in lines], "doc string, i int, p string, t string")
