@@ -76,7 +76,8 @@ def reduced(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]
     out, order = dict(tables), _tree_of(tables, links)
 
     def kept(a: str, of_a: str, b: str, of_b: str) -> DataFrame:
-        return out[a].join(out[b].select(F.col(of_b).alias(of_a)), of_a, "left_semi").select(*out[a].columns)
+        keys = out[b].select(F.col(of_b).alias(of_a))
+        return out[a].join(keys, of_a, "left_semi").select(*out[a].columns)
 
     for parent, up, child, down in reversed(order):
         out[parent] = kept(parent, up, child, down)
@@ -87,18 +88,27 @@ def reduced(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]
 
 def matched(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]], wanted: list[str] | None = None, distinct: bool = False) -> DataFrame:  # G06, J10
     """Matches of an acyclic pattern: tables by name, whose columns have names of their own, and links (table, column,
-    table, column). Tables are reduced first, so no join gives more rows than the input and the matches together. wanted: the
-    columns that matter; with ``distinct``, rows that differ in no column of these or of links to come fall together early."""
+    table, column). Tables are reduced first, then joined from the leaves up. wanted: the columns that matter; with
+    ``distinct``, what hangs below a link comes down to its distinct wanted columns before it is joined, so two branches of
+    a table meet with no more rows than they add to the result, however many rows of theirs match."""
     order, small = _tree_of(tables, links), reduced(tables, links)
-    rows = small[next(iter(tables))]
-    for i, (_, up, child, down) in enumerate(order):
-        far = small[child]
-        copy = f"_{down}"
-        rows = rows.join(far.withColumn(copy, F.col(down)), F.col(up) == F.col(copy)).drop(copy)
-        if wanted is not None:
-            ahead = {c for p, u, _, _ in order[i + 1 :] for c in (u,)}
-            rows = rows.select(*(c for c in rows.columns if c in wanted or c in ahead))
-            rows = rows.distinct() if distinct else rows
+
+    def cut(rows: DataFrame, *needed: str) -> DataFrame:
+        if wanted is None:
+            return rows
+        rows = rows.select(*(c for c in rows.columns if c in wanted or c in needed))
+        return rows.distinct() if distinct else rows
+
+    def below(name: str, *link: str) -> DataFrame:
+        rest = [(up, child, down) for parent, up, child, down in order if parent == name]
+        rows = cut(small[name], *link, *(up for up, _, _ in rest))
+        for i, (up, child, down) in enumerate(rest):
+            copy = f"_{down}"
+            far = below(child, down).withColumn(copy, F.col(down))
+            rows = cut(rows.join(far, F.col(up) == F.col(copy)).drop(copy), *link, *(u for u, _, _ in rest[i + 1 :]))
+        return rows
+
+    rows = below(next(iter(tables)))
     return rows if wanted is None else rows.select(*wanted)
 
 

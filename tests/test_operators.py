@@ -251,6 +251,19 @@ def test_patterns_are_reduced_before_they_are_joined(spark):
             graph.matched(tables, bad)
 
 
+def test_branches_of_a_pattern_come_down_to_their_wanted_columns(spark):
+    """Two branches that meet at a hot row do not multiply: each is distinct in what is wanted of it before they meet."""
+    import re
+
+    one = spark.range(1).select(F.col("id").alias("r1"))
+    a = spark.range(3000).select(F.lit(0).cast("long").alias("a1"), (F.col("id") % 5).alias("a2"))
+    b = spark.range(3000).select(F.lit(0).cast("long").alias("b1"), F.col("id").alias("b2"))
+    c = spark.range(3000).select(F.col("id").alias("c1"), (F.col("id") % 3).alias("c2"))
+    got = graph.matched({"r": one, "a": a, "b": b, "c": c}, [("r", "r1", "a", "a1"), ("r", "r1", "b", "b1"), ("b", "b2", "c", "c1")], ["a2", "c2"], distinct=True)
+    assert sorted(map(tuple, got.collect())) == [(x, y) for x in range(5) for y in range(3)]
+    assert re.search(r"Aggregate \[b1#\d+L?, c2#\d+L?\]", got._jdf.queryExecution().analyzed().toString().replace("Deduplicate", "Aggregate"))
+
+
 def test_cache_gate_and_hit(spark):
     assert spark.range(1).select(cache.is_time_sensitive(F.lit("What do you know?"))).first()[0] is True  # "now" inside "know"
     r = spark.createDataFrame([("graph", "a"), ("sql", "b"), ("sql", "latest c")], "route string, question string")
