@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import repair
 from ..sources import blocks
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import evidence
 from .catalog import query
 
@@ -64,7 +64,7 @@ r AS (SELECT conv_id, turn, line, 0::BIGINT AS pos, 0::BIGINT AS b1, NULL::BIGIN
 SELECT conv_id, turn, line, s1 AS text FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn, line ORDER BY pos DESC) = 1""")
 def repaired_lines(spark, sf_dir):
     """lines of all turns with words torn apart, put together by what the documents' words tell."""
-    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    lines = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "x"))
     torn = F.array_join(F.transform(F.split("x", " "), lambda y, i: F.when((i % 5 == 2) & (F.length(y) >= 6), F.concat(F.left(y, F.lit(3)), F.lit(" "), F.substring(y, 4, 1 << 30))).otherwise(y)), " ")
     words = repair.word_counts(table(spark, sf_dir, "documents"))
     return repair.repaired(lines.select("conv_id", "turn", F.col("line").cast("long").alias("line"), torn.alias("text")), words, ["conv_id", "turn", "line"])
