@@ -103,6 +103,27 @@ def test_common_words_of_a_small_corpus(spark):
     assert got == want
 
 
+def test_common_words_cost_no_row_for_each_question_and_document(spark):
+    """A word that every document holds is looked up only for documents that hold a rarer word of the question."""
+    r = random.Random(6)
+    rows = [(i, " ".join(["the"] * r.randint(1, 5) + ["of"] * r.randint(1, 5) + [f"w{r.randint(0, 60)}" for _ in range(8)] + [f"x{i}"] * r.randint(0, 9))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    terms = spark.createDataFrame([(q, w) for q in range(8) for w in ("the", "of", f"w{q}", f"w{q + 9}")], "qid long, term string")
+    index = postings.build(docs, "doc")
+    got = {(x.qid, x.doc, x.bm25) for x in postings.search(index, terms, 3).collect()}
+    scan = retrieval.bm25(terms.select("qid").distinct().crossJoin(docs), terms, "doc")
+    assert got == {(x.qid, x.doc, x.bm25) for x in relational.top_per(scan, ["qid"], [F.desc("bm25"), F.col("doc")], 3).collect()}
+    read, every = postings.share_read(index, terms, 3)
+    assert every > 8 * 2 * 1200 and read < every / 6
+
+
+def test_postings_of_odd_texts(spark):
+    """Only letters and digits of ASCII are words, whatever lower-casing makes of other signs; signs at the ends are none."""
+    docs = spark.createDataFrame([(1, "\u212a K k-K\u0130I"), (2, " a1 A1, b"), (3, ""), (4, None), (5, "\u00e9"), (6, "b")], "doc long, text string")
+    got = sorted((x._key, x.dl, x.term, x.tf) for x in postings.build(docs, "doc").rows.collect())
+    assert got == [(1, 4, "i", 1), (1, 4, "k", 3), (2, 3, "a1", 2), (2, 3, "b", 1), (6, 1, "b", 1)]
+
+
 def test_containing_equals_all_pairs(spark):
     r = random.Random(8)
     word = lambda n: "".join(r.choice("abcé ß😀") for _ in range(n))
