@@ -1,8 +1,11 @@
 """Indexes against full scans: vectors in inverted lists, postings in blocks."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +127,43 @@ def test_postings_of_odd_texts(spark):
     assert got == [(1, 4, "i", 1), (1, 4, "k", 3), (2, 3, "a1", 2), (2, 3, "b", 1), (6, 1, "b", 1)]
 
 
+def test_postings_are_no_rows(spark, monkeypatch):
+    """What is written on the way has a row for a block, a word or a hit, never one for each posting of the index."""
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 150)}" for _ in range(100))) for i in range(2000)], "doc long, text string").repartition(3)
+    terms = spark.createDataFrame([(q, f"w{r.randint(0, 160)}") for q in range(6) for _ in range(5)], "qid long, term string")
+    rows = {}
+
+    def noted(df, what, settled=postings.settled):
+        out = settled(df, what)
+        rows[what] = rows.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(postings, "settled", noted)
+    index = postings.build(docs, "doc")
+    got = {(x.qid, x.doc, x.bm25) for x in postings.search(index, terms, 10).collect()}
+    scan = retrieval.bm25(terms.select("qid").distinct().crossJoin(docs), terms, "doc")
+    assert got == {(x.qid, x.doc, x.bm25) for x in relational.top_per(scan, ["qid"], [F.desc("bm25"), F.col("doc")], 10).collect()}
+    assert index.rows.count() > 80_000 and max(rows.values()) < 2000
+
+
+def test_blocks_of_postings(monkeypatch):
+    """Blocks hold every document once, whatever their bounds and however a text is sliced."""
+    r = random.Random(10)
+    texts = [" ".join("".join(r.choice("aB1") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 30))) for _ in range(60)] + [None, "", "a" * 90, "\u00e9a" * 30, ", ".join("xyz" * 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t if t is None else t.encode() for t in texts], pa.binary())], names=["_key", "_t"])
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    want = sorted((i, len(w), t, n) for i, w in enumerate(words) for t, n in Counter(w).items())
+    for docs, size, piece in ((4096, 8 << 20, 1 << 20), (7, 8 << 20, 20), (4096, 300, 1), (1, 1, 64)):
+        monkeypatch.setattr(postings, "DOCS", docs)
+        monkeypatch.setattr(postings, "TEXT", size)
+        monkeypatch.setattr(postings, "SLICE", piece)
+        blocks = list(postings._blocks(iter([batch])))
+        assert [k for b in blocks for k in b.column(0)[0].as_py()] == list(range(len(texts)))
+        assert max(len(b.column(0)[0]) for b in blocks) <= docs and sum(b.column(6)[0].as_py() for b in blocks) == sum(map(len, words))
+        assert sorted(tuple(x.values()) for b in postings._rows(iter(blocks)) for x in b.to_pylist()) == want
+
+
 def test_containing_equals_all_pairs(spark):
     r = random.Random(8)
     word = lambda n: "".join(r.choice("abcé ß😀") for _ in range(n))
